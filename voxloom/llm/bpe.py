@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxloom.llm.common import arrow_map, texts_as_bytes
 
-#: Distinct words whose encodings a worker keeps; beyond, it starts anew.  A bound on memory only: results don't change.
+#: Distinct words whose encodings a worker keeps; later ones are kept for one slice of text.  A bound on memory only.
 WORDS_KEPT = 300_000
+#: Sorts after every merge.
+NO_MERGE = (1 << 60, -1)
 
 
 def byte_alphabet() -> list[str]:
@@ -73,6 +75,19 @@ class WordBpe:
         """Exact merging: the lowest rank first, from the left; a heap over a linked list."""
         if len(ids) < 2:
             return ids
+        if len(ids) <= 40:  # scanning a short list beats a heap
+            ids, merges = [*ids], self.merges
+            best = [merges.get(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+            while best and (low := min(best)) is not NO_MERGE:
+                i = best.index(low)
+                ids[i : i + 2] = [low[1]]
+                if i + 1 < len(ids):
+                    best[i : i + 2] = [merges.get((ids[i], ids[i + 1]), NO_MERGE)]
+                else:
+                    del best[i]
+                if i:
+                    best[i - 1] = merges.get((ids[i - 1], ids[i]), NO_MERGE)
+            return ids
         ids, after, before = [*ids], [*range(1, len(ids) + 1)], [*range(-1, len(ids) - 1)]
         end, merges = len(ids), self.merges
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(end - 1) if (m := merges.get((ids[i], ids[i + 1])))]
@@ -128,7 +143,7 @@ class WordBpe:
             ok[k] = self.merge([self.vocab[c] for c in chars]) == pair
         self.good, self.bad = np.union1d(self.good, new[ok]), np.union1d(self.bad, new[~ok])
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> list[bytes]:
         """Encodes new words: proposals, one vectorised test of all their adjacent pairs, exact merging of failures."""
         proposals = [self.propose(w) for w in words]
         lengths = np.array([len(p) for p in proposals])
@@ -145,10 +160,7 @@ class WordBpe:
         self.merged += int(failing.sum())
         for i in np.flatnonzero(failing):
             proposals[i] = self.exact(words[i])
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
-        for w, p in zip(words, proposals):
-            self.known[w] = np.array(p, "<u4").tobytes()
+        return [np.array(p, "<u4").tobytes() for p in proposals]
 
     def split(self, text: str) -> list[str | int]:
         """Words, and ids of special tokens."""
@@ -167,26 +179,20 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        out = []
         split = [self.split(t) for t in texts]
-        new: dict[str, None] = {}
+        new: dict[str | int, None] = {}
         for words in split:
             new.update(dict.fromkeys(words))
         fresh = [w for w in new if isinstance(w, str) and w not in self.known]
-        for i in range(0, len(fresh), WORDS_KEPT // 4):
-            part = fresh[i : i + WORDS_KEPT // 4]
-            self.learn(part)
-        known = self.known
+        self.known.update(zip(fresh, self.learn(fresh)))
+        known, out = self.known, []
         for words in split:
             try:
                 out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:  # a special token, or the store started anew in between
-                if missing := [w for w in dict.fromkeys(words) if isinstance(w, str) and w not in known]:
-                    for i in range(0, len(missing), WORDS_KEPT // 4):
-                        own = {**known}
-                        self.learn(missing[i : i + WORDS_KEPT // 4])
-                        known = {**own, **self.known}
+            except KeyError:  # a special token
                 out.append(b"".join(w.to_bytes(4, "little") if isinstance(w, int) else known[w] for w in words))
+        for w in fresh[max(0, len(fresh) - max(0, len(known) - WORDS_KEPT)) :]:
+            del known[w]
         return out
 
     def decode_batch(self, ids: list[bytes]) -> list[bytes]:
