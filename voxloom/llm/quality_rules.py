@@ -41,16 +41,22 @@ def _without(text: str, chars: str) -> str:
     return out
 
 
+def _fenced(sql: str) -> Column:
+    """The expression as an array that filters above don't get pushed through: inlined into a lambda, it would be
+    evaluated anew for each element.  Expressions that depend on the partition's number are never moved."""
+    return F.expr(f"if(spark_partition_id() < 0, NULL, {sql})")
+
+
 def text_features(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the column ``text`` (not null)."""
     spaces = "".join(rf"\u{ord(c):04x}" for c in " \t\n\x0b\x0c\r")
     bare = f"translate(text, '{spaces}', '')"
     first = docs.withColumns(
         {
-            "__w": F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')"),
+            "__w": _fenced(r"filter(split(text, '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')"),
             "word_chars": F.expr(f"cast(length({bare}) as bigint)"),
             "n_symbols": F.expr(f"cast(length(text) - length({_without('text', SYMBOLS)}) as bigint)"),
-            "__l": F.expr(r"filter(split(text, '\n', -1), l -> trim(BOTH ' \t\n\u000b\u000c\r' FROM l) <> '')"),
+            "__l": _fenced(r"filter(split(text, '\n', -1), l -> trim(BOTH ' \t\n\u000b\u000c\r' FROM l) <> '')"),
         }
     )
     second = first.withColumns(
@@ -58,10 +64,10 @@ def text_features(docs: DataFrame) -> DataFrame:
             "n_words": F.expr("cast(size(__w) as bigint)"),
             "n_dup_lines": F.expr("cast(size(__l) - size(array_distinct(__l)) as bigint)"),
             # windows of three words, equal ones side by side
-            "__s": F.expr("if(size(__w) < 3, array(), sort_array(transform(sequence(0, size(__w) - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) AS h, i AS p))))"),
+            "__s": _fenced("if(size(__w) < 3, array(), sort_array(transform(sequence(0, size(__w) - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) AS h, i AS p))))"),
         }
     ).drop("__w", "__l")
-    third = second.withColumn("__d", F.expr("sort_array(transform(filter(__s, (x, i) -> (i > 0 AND x.h = get(__s, i - 1).h) OR x.h = get(__s, i + 1).h), x -> x.p))")).drop("__s")
+    third = second.withColumn("__d", _fenced("sort_array(transform(filter(__s, (x, i) -> (i > 0 AND x.h = get(__s, i - 1).h) OR x.h = get(__s, i + 1).h), x -> x.p))")).drop("__s")
     covered = "aggregate(transform(__d, (p, i) -> least(3, coalesce(get(__d, i + 1) - p, 3))), 0L, (a, b) -> a + b)"
     return third.withColumn("n_repeat_words", F.expr(covered)).drop("__d")
 
@@ -81,7 +87,7 @@ def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int
     """(__k1, __k2, lines, removed_words) for each document with boilerplate: the hashes of its lines above the limit,
     and the words that go with them."""
     own = _keyed(docs.select(id_col, text_col, host_col), id_col, text_col, host_col)
-    lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text")).withColumn("__lines", F.expr(_LINES)).drop("text")
+    lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text")).withColumn("__lines", _fenced(_LINES)).drop("text")
     short = F.posexplode(F.expr(f"filter(__lines, x -> x.n <= {max_line_words})")).alias("pos", "x")
     rows = lines.select("__k1", "__k2", "__host", F.expr("array_max(transform(__lines, x -> struct(x.n AS n, x.h AS h))).h").alias("doc"), short)
     rows = rows.select("__k1", "__k2", "__host", "doc", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
@@ -99,7 +105,7 @@ def _measured(docs: DataFrame, names: list[str], max_docs: int, max_line_words:
     rows = text_features(keyed.withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text"))
     rows = rows.withColumn("base_failed", base_failed()).select(*names, "__k1", "__k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     depleted = F.coalesce(F.col("removed_words"), F.lit(0)) > max_removed * F.col("n_words")
-    return rows.join(removed, ["__k1", "__k2"], "left").withColumn("kept", F.coalesce(F.col("base_failed").cast("int"), F.lit(1)) + depleted.cast("int") == 0)  # one term, so that a filter on it stays above the join
+    return rows.join(removed, ["__k1", "__k2"], "left").withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -115,6 +121,6 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_L
     line_hash = "xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
     words = "size(filter(split(l, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w <> ''))"
     left = F.expr(f"if(lines IS NULL, __was, array_join(filter(split(__was, '\\n', -1), l -> NOT (array_contains(lines, {line_hash}) AND {words} BETWEEN 1 AND {max_line_words})), '\\n'))")
-    rows = rows.withColumn("__new", left)
+    rows = rows.withColumn("__new", F.when(F.spark_partition_id() < 0, F.lit(None)).otherwise(left))
     out = [F.col("__new").alias(text_col) if c == text_col else F.when(F.col("lines").isNull() | F.col(c).isNull(), F.col(c)).otherwise(F.length("__new").cast(docs.schema[c].dataType)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
     return rows.select(*out)
