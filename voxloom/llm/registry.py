@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import bpe, language_id, packing, quality_rules, secret_scan, simhash, transport_stream
+from voxloom.llm import bpe, language_id, packing, preference_chat, quality_rules, secret_scan, simhash, transport_stream, url_filter
 from voxloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_chat.adjacent_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,6 +27,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Verdict, and host with path; fixed values of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Host labels whose URLs make up the list that the query blocks.
+LISTED_LABELS = ("cheap-pills", "free-bets")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.hosts_listed(pages, LISTED_LABELS), URL_RULES)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
@@ -40,8 +55,79 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_packing, op4_bpe, op6_secret_scan, op7_quality_rules, op8_transport_stream, op9_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_preference_chat, op3_packing, op4_bpe, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_transport_stream, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_preference_chat": OP2_SQL, "op5_url_filter": OP5_SQL, "op7_quality_rules": OP7_SQL}
+
+
+OP2_SQL = """
+WITH t AS (
+    SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn,
+        '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown
+    FROM conversations WHERE conv_id IS NOT NULL),
+m AS (
+    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.rn, b.rn) AS rn, coalesce(a.shown = b.shown, false) AS same
+    FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.rn = b.rn),
+p AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN rn END) - 1, max(rn)) AS n FROM m GROUP BY pair_id),
+r AS (
+    SELECT t.*, p.n, CAST(sum(length(shown)) OVER (PARTITION BY conv_id, rn > n ORDER BY rn) AS BIGINT) - length(shown) AS start_at
+    FROM t JOIN p USING (pair_id))
+SELECT pair_id, CAST(max(n) AS BIGINT) AS n_prefix_turns,
+    coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 0 AND rn <= n), '') AS prompt,
+    coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 0 AND rn > n), '') AS chosen,
+    coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 1 AND rn > n), '') AS rejected,
+    coalesce(string_agg((start_at + 13 + length(role)) || ':' || (start_at + length(shown) - 1), ',' ORDER BY rn) FILTER (side = 0 AND rn > n AND role = 'assistant'), '') AS chosen_spans,
+    coalesce(string_agg((start_at + 13 + length(role)) || ':' || (start_at + length(shown) - 1), ',' ORDER BY rn) FILTER (side = 1 AND rn > n AND role = 'assistant'), '') AS rejected_spans
+FROM r GROUP BY pair_id
+"""
+
+OP5_SQL = r"""
+WITH u AS (
+    SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (
+    SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+        array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'),
+            lambda p: p <> '' AND NOT (starts_with(p, 'utm_') OR starts_with(p, 'fbclid=') OR starts_with(p, 'gclid=') OR starts_with(p, 'ref=')))), '&') AS k FROM u),
+c AS (
+    SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN k = '' THEN '' ELSE '?' || k END END AS canonical FROM h),
+l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['cheap-pills', 'free-bets']) AND canonical IS NOT NULL),
+f AS (
+    SELECT page_id, host, path, canonical, canonical IN (SELECT canonical FROM l) AS member,
+        CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+             WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+             WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+             WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+             WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM c)
+SELECT page_id, host, path, rule, canonical, CASE WHEN rule IS NULL THEN coalesce(member, false) END AS listed,
+    CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'com/de/' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block'
+        ELSE CASE WHEN coalesce(member, false) THEN 'block' ELSE 'allow' END END AS verdict
+FROM f
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+g2 AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g2) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+        trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+    FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+lw AS (SELECT * FROM ln WHERE n > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY doc_id),
+sk AS (SELECT doc_id, arg_max(norm, (n, norm)) AS doc FROM lw GROUP BY doc_id),
+fr AS (SELECT host, norm FROM lw JOIN sk USING (doc_id) WHERE n <= 20 GROUP BY host, norm HAVING count(DISTINCT doc) > 100),
+rm AS (SELECT doc_id, sum(n) AS removed_words FROM lw SEMI JOIN fr USING (host, norm) WHERE n <= 20 GROUP BY doc_id),
+f AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+    FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rm USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed_words > 0.7 * n_words AS kept
+FROM f
+"""
