@@ -24,6 +24,7 @@ from voxloom.llm.common import shared_dir, written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MAX_DOCS, MAX_LINE_WORDS, MAX_REMOVED = 100, 20, 0.7
+SALTS = 64
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 #: Of each line with words: the hash of its normal form, and its words.
@@ -92,7 +93,10 @@ def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int
     rows = lines.select("__k1", "__k2", "__host", F.expr("array_max(transform(__lines, x -> struct(x.n AS n, x.h AS h))).h").alias("doc"), short)
     rows = rows.select("__k1", "__k2", "__host", "doc", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     frequent = rows.select("__host", "h", "doc").distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("__host", "h")
-    hit = rows.select("__k1", "__k2", "__host", "pos", "h", "n").join(frequent, ["__host", "h"]).select("__k1", "__k2", "pos", "h", "n").distinct()  # equal rows count once
+    # a frequent line may stand in a third of all documents: its rows meet it in as many places as there are salts
+    salted = frequent.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = rows.select("__k1", "__k2", "__host", "pos", "h", "n", F.pmod("__k2", F.lit(SALTS)).alias("__salt")).join(salted, ["__host", "h", "__salt"])
+    hit = found.select("__k1", "__k2", "pos", "h", "n").distinct()  # equal rows count once
     return hit.groupBy("__k1", "__k2").agg(F.collect_set("h").alias("lines"), F.sum("n").alias("removed_words"))
 
 
