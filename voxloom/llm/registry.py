@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import bpe, language_id, packing, preference_chat, quality_rules, secret_scan, simhash, transport_stream, url_filter
+from voxloom.llm import bpe, katz, language_id, packing, preference_chat, quality_rules, secret_scan, simhash, transport_stream, url_filter
 from voxloom.llm.common import table
 
 
@@ -54,8 +54,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), language_id.bucket("doc_id") == 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_preference_chat, op3_packing, op4_bpe, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_transport_stream, op9_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_preference_chat, op3_packing, op4_bpe, op5_url_filter, op6_secret_scan, op7_quality_rules, op8_transport_stream, op9_simhash, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
