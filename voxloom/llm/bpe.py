@@ -146,7 +146,7 @@ class WordBpe:
     def learn(self, words: list[str]) -> list[bytes]:
         """Encodes new words: proposals, one vectorised test of all their adjacent pairs, exact merging of failures."""
         proposals = [self.propose(w) for w in words]
-        lengths = np.array([len(p) for p in proposals])
+        lengths = np.array([len(p) for p in proposals], np.int64)
         flat = np.fromiter((x for p in proposals for x in p), np.int64, int(lengths.sum()))
         of = np.repeat(np.arange(len(words)), lengths)
         inside = of[1:] == of[:-1]
