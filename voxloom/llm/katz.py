@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom.llm.common import shared_dir, slices, texts_as_bytes, written
 
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
 TURING, FITTED, DEFAULT_SLOPE = 5, 50, -1.5
 END_HASH, BEGIN_HASH = np.uint64(1), np.uint64(2)
 
