@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, prose
-from voxloom.llm import bpe, katz, language_id, packing, preference_chat, quality_rules, secret_scan, simhash, transport_stream, url_filter
+from voxloom.llm import bloom, bpe, katz, language_id, packing, preference_chat, quality_rules, secret_scan, simhash, transport_stream, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -229,18 +229,13 @@ def test_url_rules_and_list(spark):
 
 
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("canonical"))
-    table, blocks = url_filter.bloom(keys, 3000)
-    assert table.count() <= blocks <= url_filter.MAX_BLOCKS
-
-    def passed(names):
-        probe = names.withColumn("__block", url_filter._block(F.col("canonical"), blocks)).join(table, "__block")
-        for i in range(url_filter.LANES):
-            probe = probe.where(F.col(f"__b{i}").bitwiseAND(url_filter._bit(F.col("canonical"), i)) != 0)
-        return probe.count()
-
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    built = bloom.build(keys, F.col("key"), 3000)
+    assert built[0].count() <= built[1] <= bloom.MAX_BLOCKS
+    passed = lambda names: bloom.mark(names, F.col("key"), built).where("__hit").count()
     assert passed(keys) == 3000
-    assert passed(spark.range(3000).select(F.concat(F.lit("other"), "id").alias("canonical"))) < 100
+    assert passed(spark.range(3000).select(F.concat(F.lit("other"), "id").alias("key"))) < 100
+    assert passed(spark.range(5).select(F.lit(None).cast("string").alias("key"))) == 0
 
 
 # secrets

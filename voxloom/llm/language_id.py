@@ -31,7 +31,7 @@ from voxloom.llm.common import arrow_map, slices
 WORD = re.compile(r"[^\W\d_]+")
 WORD_CHARS, SAMPLE_CHARS, ROUNDS, SMOOTHING, UNKNOWN = 24, 1_500_000, 3, 0.01, 1e-9
 #: Distinct words whose scores a worker keeps; later ones are kept for one slice of text.  A bound on memory only.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 UNDETERMINED = "und"
 
 

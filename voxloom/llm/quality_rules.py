@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.llm import bloom
 from voxloom.llm.common import shared_dir, written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -101,15 +102,18 @@ def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int
 
 
 def _measured(docs: DataFrame, names: list[str], max_docs: int, max_line_words: int, max_removed: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """The features of every row, base_failed, removed_words and kept.  The documents with boilerplate are a table of
-    their own, so that the planner knows its size: only a small one is broadcast."""
+    """The features of every row, base_failed, removed_words and kept.  The documents with boilerplate are a
+    table of their own."""
     folder = shared_dir(docs.sparkSession)
     removed = written(removed_lines(docs, max_docs, max_line_words, id_col, text_col, host_col), "removed-lines", folder)
-    keyed = _keyed(docs, id_col, text_col, host_col).drop("__host")
-    rows = text_features(keyed.withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text"))
-    rows = rows.withColumn("base_failed", base_failed()).select(*names, "__k1", "__k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    keyed = _keyed(docs, id_col, text_col, host_col).drop("__host").withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text")
+    # few documents have boilerplate: a Bloom filter of their keys spares the others, and their texts, the shuffle
+    marked = bloom.mark(keyed, F.col("__k1"), bloom.build(removed, F.col("__k1"), removed.count()))
+    exact = marked.where("__hit").join(removed, ["__k1", "__k2"], "left")
+    clear = marked.where("NOT __hit").withColumns({"lines": F.lit(None).cast("array<bigint>"), "removed_words": F.lit(None).cast("long")})
+    rows = text_features(exact.unionByName(clear)).withColumn("base_failed", base_failed())
     depleted = F.coalesce(F.col("removed_words"), F.lit(0)) > max_removed * F.col("n_words")
-    return rows.join(removed, ["__k1", "__k2"], "left").withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return rows.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

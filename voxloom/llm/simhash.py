@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from voxloom.llm import bloom
 from voxloom.llm.common import arrow_map, shared_dir, texts_as_bytes, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -181,6 +182,11 @@ def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id; of rows that share it, one stays.  Rows
     without an id can't be told apart and all stay."""
-    groups = components(docs, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    folder = shared_dir(docs.sparkSession)
+    fates = components(docs.select("doc_id", "text"), radius).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
+    # rows to drop, and ids that stand more than once: all other rows skip the join, and their texts the shuffle
+    special = written(fates.where("n > 1 OR first <> doc_id").select("doc_id", (F.col("first") == F.col("doc_id")).alias("__stays")), "fates", folder)
+    marked = bloom.mark(docs, F.col("doc_id"), bloom.build(special, F.col("doc_id"), special.count()))
+    names = docs.columns
+    exact = marked.where("__hit").join(special, "doc_id", "left").where("coalesce(__stays, true)").select(*names).dropDuplicates(["doc_id"])
+    return marked.where("NOT __hit").select(*names).unionByName(exact)

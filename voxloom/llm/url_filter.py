@@ -1,8 +1,7 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-The list's keys set eight bits, one in each 32-bit lane of one block.  The filter is built by a partial bit-or per block
-and has at most ``MAX_BLOCKS`` rows, so that its broadcast has a fixed size bound; with longer lists only its rate of
-false positives rises.  URLs that pass it go to an exact hash join with the list, which removes the false positives;
+The filter (module ``bloom``) is built by a partial bit-or per block and has a fixed size bound; with longer lists only
+its rate of false positives rises.  URLs that pass it go to an exact hash join with the list, which removes the false positives;
 all others skip the join.  Everything is DataFrame functions.
 
 Rules (host, path) fit a host and all its subdomains where the URL's path starts with the rule's; the longest fitting
@@ -13,13 +12,12 @@ blocks nothing; columns other than those named are ignored.
 
 from __future__ import annotations
 
-import math
 import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LANES, BITS_PER_KEY = 8, 12
-MAX_BLOCKS = 1 << 16
+from voxloom.llm import bloom
+
 TRACKING = ("utm_", "fbclid=", "gclid=", "ref=")
 Rule = tuple[str, str]
 
@@ -61,40 +59,15 @@ def decided(rules: list[Rule]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _block(key: Column, blocks: int) -> Column:
-    """From the hash's high bits."""
-    return F.pmod(F.shiftrightunsigned(F.xxhash64(key), 5 * LANES), F.lit(blocks)).cast("int")
-
-
-def _bit(key: Column, lane: int) -> Column:
-    """From five of the hash's low bits for each lane."""
-    place = F.shiftright(F.xxhash64(key), 5 * lane).bitwiseAND(F.lit(31)).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
-
-
-def bloom(keys: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """The filter of ``keys`` (column canonical): a row for each block that has bits, and the number of blocks."""
-    blocks = min(MAX_BLOCKS, 1 << max(4, math.ceil(math.log2(max(1, count) * BITS_PER_KEY / (32 * LANES)))))
-    key = F.col("canonical")
-    bits = keys.select(_block(key, blocks).alias("__block"), *[_bit(key, i).alias(f"__b{i}") for i in range(LANES)])
-    return bits.groupBy("__block").agg(*[F.bit_or(f"__b{i}").alias(f"__b{i}") for i in range(LANES)]), blocks
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row per page: its id, host, path, rule (or null), verdict, canonical and listed (null where a rule decides).
 
     ``listed`` has a column ``canonical``."""
     keys = listed.where(F.col("canonical").isNotNull()).select("canonical").distinct()
-    table, blocks = bloom(keys, keys.count())
     rule, verdict = decided(rules)
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).withColumns({"rule": rule, "__verdict": verdict})
-    key = F.col("canonical")
-    probe = rows.withColumn("__block", F.when(F.col("rule").isNull(), _block(key, blocks)))
-    tested = probe.join(F.broadcast(table), "__block", "left")  # at most MAX_BLOCKS rows
-    hit = F.lit(True)
-    for i in range(LANES):
-        hit = hit & (F.col(f"__b{i}").bitwiseAND(_bit(key, i)) != 0)
-    possible = tested.withColumn("__hit", F.coalesce(hit & key.isNotNull(), F.lit(False))).select("page_id", "host", "path", "rule", "__verdict", "canonical", "__hit")
+    rows = rows.select("page_id", "host", "path", "rule", "__verdict", "canonical", F.when(F.col("rule").isNull(), F.col("canonical")).alias("__asked"))
+    possible = bloom.mark(rows, F.col("__asked"), bloom.build(keys, F.col("canonical"), keys.count())).drop("__asked")
     exact = possible.where("__hit").join(keys.withColumn("listed", F.lit(True)), "canonical", "left").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.coalesce("listed", F.lit(False)).alias("listed"))
     clear = possible.where("NOT __hit").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.when(F.col("rule").isNull(), F.lit(False)).alias("listed"))
     return exact.union(clear).withColumn("verdict", F.coalesce("__verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("__verdict")
