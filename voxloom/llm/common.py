@@ -56,14 +56,14 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType, size_by: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType, size_by: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``df.mapInArrow`` for a row-wise kernel: ``fn`` gets slices of bounded bytes, and returns columns."""
     ddl = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, size_by):
+            for part in slices(batch, size_by, limit):
                 got = fn(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 

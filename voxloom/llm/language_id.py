@@ -32,6 +32,8 @@ WORD = re.compile(r"[^\W\d_]+")
 WORD_CHARS, SAMPLE_CHARS, ROUNDS, SMOOTHING, UNKNOWN = 24, 1_500_000, 3, 0.01, 1e-9
 #: Distinct words whose scores a worker keeps; later ones are kept for one slice of text.  A bound on memory only.
 WORDS_KEPT = 200_000
+#: Bytes of text whose words are held at once.
+SLICE = 2 << 20
 UNDETERMINED = "und"
 
 
@@ -125,7 +127,7 @@ class Model:
     index: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
-    def learn_words(self, words: list[str], block: int = 20_000) -> None:
+    def learn_words(self, words: list[str], block: int = 5_000) -> None:
         new = [np.log(Lattice.of(words[i : i + block], self.path).totals(self.probs)) for i in range(0, len(words), block)]
         self.index |= {w: len(self.index) + i for i, w in enumerate(words)}
         self.scores = np.concatenate([self.scores.reshape(-1, len(self.languages)), *new])
@@ -173,7 +175,7 @@ def train(labelled: DataFrame, path: str, sample_chars: int = SAMPLE_CHARS, id_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", SLICE):
                 for lang, text in zip(*(c.to_pylist() for c in some.columns)):
                     seen.update((lang, w) for w in words_of(text))
         langs, words = zip(*seen) if seen else ((), ())
@@ -205,7 +207,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         return {name: batch.column(i) for i, name in enumerate(keep)} | {"lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(docs.select(*keep, F.col(text_col).cast("string").alias("__text")), kernel, f"{types}, lang_pred string, score double", "__text")
+    return arrow_map(docs.select(*keep, F.col(text_col).cast("string").alias("__text")), kernel, f"{types}, lang_pred string, score double", "__text", SLICE)
 
 
 def identify(docs: DataFrame, path: str, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -223,7 +225,7 @@ def keep_identified(docs: DataFrame, path: str, least: float = 0.5, sample_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 got = shared.value.predict([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in got]))
 
