@@ -91,6 +91,17 @@ def cable_lengths(vertices: DataFrame, edges: DataFrame, *more: str) -> DataFram
     return edges_with_ends(vertices, edges).groupBy("volume_id", "label", *more).agg(F.sum(edge_length()).alias("cable"), F.count("*").alias("edges"))
 
 
+def within_cable(vertices: DataFrame, edges: DataFrame, most: float) -> DataFrame:
+    """Skeletons whose cable is no longer than ``most``: (volume_id, label, cable)."""
+    return cable_lengths(vertices, edges).where(F.col("cable") <= most).select("volume_id", "label", "cable")
+
+
+def size_class(stats: DataFrame) -> DataFrame:
+    """Components by voxels: S below 10,000, M below 100,000, L below 1,000,000, else XL."""
+    n = F.col("voxels")
+    return stats.withColumn("size_class", F.when(n < 10_000, "S").when(n < 100_000, "M").when(n < 1_000_000, "L").otherwise("XL"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(volume_id, label, vidx, degree)."""
     return edges.select("volume_id", "label", F.explode(F.array("e0", "e1")).alias("vidx")).groupBy("volume_id", "label", "vidx").agg(F.count("*").alias("degree"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxloom.functions.voxel import allowed, affine, flat_index, freespace_distance, integer_label, penalty, step_array, steps, unravel
 from voxloom.kernels.grid import GRAPH_BITS, OFFSETS
 from voxloom.operators import aggregates as agg
-from voxloom.operators import analysis, components as cc, distance, filters, joins, morphology, postprocess as post, setops
+from voxloom.operators import analysis, components as cc, distance, filters, joins, morphology, paths, postprocess as post, setops
 from voxloom.params import DEFAULT_TEASAR_PARAMS
 from voxloom.plans import pipeline
 from voxloom.schemas import VOLUMES
@@ -703,6 +703,14 @@ def skeletons_stay_inside(spark, sf_dir):
     return v.join(inside, ["label", "x", "y", "z"], "left").groupBy("label").agg(F.count_if(F.col("in").isNull()).alias("outside"))
 
 
+@query("SELECT CAST(t.range * 3 + l.range + 1 AS BIGINT) AS label, true AS traced FROM range(27) t, range(3) l")
+def skeletonize_tiled(spark, sf_dir):
+    """120 voxels a side: 81 components, the unit of throughput."""
+    v, e = pipeline.skeletonize(src.tiled_warm_up(spark, 3), cube(spark, 120), TRACE, dust_threshold=100)
+    size = v.groupBy("label").agg(F.count("*").alias("v")).join(e.groupBy("label").agg(F.count("*").alias("e")), "label")
+    return size.select("label", ((F.col("v") > 20) & (F.col("e") == F.col("v") - 1)).alias("traced"))
+
+
 @query()
 def trace_preparation(spark, sf_dir):
     volumes = cube(spark, 24)
@@ -766,3 +774,109 @@ def invalidated_voxels(spark, sf_dir):
     found = distance.with_dbf(cc.connected_components(src.small_tubes(spark), volumes), volumes)
     path = found.where("label = 1 AND x = 8 AND y = 8 AND z BETWEEN 12 AND 20")
     return morphology.invalidated(found, path, 1.5, 2.0, (1.0, 1.0, 1.0)).groupBy("cc").agg(F.count("*").alias("removed"))
+
+
+@query(WITH + POLY + ", c AS (SELECT e.label, sum(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS cable FROM edge e JOIN vert a ON a.label = e.label AND a.vidx = e0 JOIN vert b ON b.label = e.label AND b.vidx = e1 GROUP BY e.label) SELECT label FROM c WHERE cable <= 5000")
+def within_cable_length(spark, sf_dir):
+    return out(agg.within_cable(*polylines(spark, sf_dir), 5000), "label")
+
+
+@query(WITH + ORDERS + " SELECT label, CASE WHEN count(*) < 10000 THEN 'S' WHEN count(*) < 100000 THEN 'M' WHEN count(*) < 1000000 THEN 'L' ELSE 'XL' END AS size_class FROM vox GROUP BY label")
+def size_classes(spark, sf_dir):
+    return out(agg.size_class(agg.box_stats(order_voxels(spark, sf_dir), "label")), "label", "size_class")
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(364 AS BIGINT)), (1, 273), (2, 182), (3, 91), (4, 10)) t(i, x)")
+def railroad_path(spark, sf_dir):
+    """From the middle of a cube to the nearest voxel of a plane of rails, as indices."""
+    cells = src.generated(spark, (9, 9, 9), F.lit(1)).withColumns({"cc": F.col("label"), "cost": F.when(F.col("z") == 0, 0.0).otherwise(1.0)})
+    start = spark.createDataFrame([(0, 1, 4 + 9 * (4 + 9 * 4))], "volume_id long, cc long, target long")
+    return paths.railroads(cells, start).select("i", F.col("vid").alias("x"))
+
+
+@query(WITH + TUBES + " SELECT CAST(1 AS BIGINT) AS starts, CAST(1 AS BIGINT) AS ends, true AS adjacent")
+def backtrace_path(spark, sf_dir):
+    """A path through the parents of an entry-cost field leads from the source to the target in steps of one voxel."""
+    ball = src.small_tubes(spark).where("label = 1").withColumns({"cc": F.col("label"), "cost": (1 + (F.col("x") + F.col("y")) % 3).cast("double")})
+    tree = distance.component_field(ball, "entry", (1.0, 1.0, 1.0))
+    last = ball.agg(F.max("vid").alias("target"), F.min("vid").alias("source"))
+    goal = last.select(F.lit(0).cast("long").alias("volume_id"), F.lit(1).cast("long").alias("cc"), "target")
+    path = paths.backtraces(tree, goal).join(ball.select("vid", "x", "y", "z"), "vid")
+    step = F.expr("greatest(abs(x - lag(x) OVER (ORDER BY i)), abs(y - lag(y) OVER (ORDER BY i)), abs(z - lag(z) OVER (ORDER BY i)))")  # one path
+    marked = path.withColumn("step", step).join(last)
+    return marked.agg(F.count_if(F.expr("i = 0 AND vid = source")).alias("starts"), F.count_if(F.expr("vid = target")).alias("ends"), F.bool_and(F.expr("step IS NULL OR step = 1")).alias("adjacent"))
+
+
+@query(WITH + TUBES + " SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT)), (2, 0), (3, 0)) t(cc, loops)")
+def traced_components(spark, sf_dir):
+    volumes = cube(spark, 24)
+    found = distance.with_dbf(cc.connected_components(src.small_tubes(spark), volumes), volumes)
+    return post.loop_counts(*paths.traces(found, TRACE, (1.0, 1.0, 1.0))).select(F.col("label").alias("cc"), "loops")
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, CAST(729 AS BIGINT)), (2, false, 0)) t(cc, soma, filled)")
+def soma_flags(spark, sf_dir):
+    """A hollow box is filled and then deep enough; its core is not."""
+    volumes = cube(spark, 15)
+    found = distance.with_dbf(cc.connected_components(src.hollow_box(spark), volumes), volumes)
+    return out(morphology.soma_flags(found, volumes, 0.5, 4.0, 1.0, 0.0), "cc", "soma", "filled")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS cc, CAST(2197 AS BIGINT) AS voxels")
+def repaired_components(spark, sf_dir):
+    """A core that its surroundings enclose becomes part of them."""
+    v = src.generated(spark, (15, 15, 15), F.expr("CASE WHEN x BETWEEN 4 AND 10 AND y BETWEEN 4 AND 10 AND z BETWEEN 4 AND 10 THEN 2 WHEN x BETWEEN 1 AND 13 AND y BETWEEN 1 AND 13 AND z BETWEEN 1 AND 13 THEN 1 ELSE 0 END"))
+    volumes = cube(spark, 15)
+    found = distance.with_dbf(cc.connected_components(v, volumes), volumes)
+    return morphology.repaired(found, volumes, 5.0).groupBy("cc").agg(F.count("*").alias("voxels"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS cc, CAST(729 AS BIGINT) AS added")
+def filled_masks(spark, sf_dir):
+    found = cc.connected_components(src.hollow_box(spark), cube(spark, 15))
+    return morphology.filled_masks(found).where("added").groupBy("cc").agg(F.count("*").alias("added"))
+
+
+@query(WITH + GRAPH_CELLS + " SELECT vid, CAST(0.5 AS DOUBLE) AS dbf FROM vox WHERE label > 0")
+def graph_distances(spark, sf_dir):
+    """Without any permitted step over a face, every voxel is half a voxel from a wall."""
+    cells = graph_cells(spark).withColumn("graph_bits", F.lit(0).cast("long")).join(cube(spark, 0, sides=(6, 5, 4)).select("ax", "ay", "az"))
+    return distance.graph_dbf(cells).where("label > 0").select("vid", F.col("dbf").cast("double").alias("dbf"))
+
+
+@query(WITH + POLY + " SELECT label, CAST(0 AS BIGINT) AS path, count(*) AS vertices FROM vert GROUP BY label")
+def path_decomposition(spark, sf_dir):
+    """A polyline is one path."""
+    return post.path_decomposition(*polylines(spark, sf_dir)).groupBy("label", "path").agg(F.count("*").alias("vertices"))
+
+
+@query(WITH + POLY + " SELECT label, count(*) - 1 AS edges FROM vert GROUP BY label")
+def join_close_components(spark, sf_dir):
+    """Polylines cut into parts of ten vertices are joined to one piece again."""
+    v, e = polylines(spark, sf_dir)
+    few = lambda df: df.where("label <= 5")
+    cut = few(e).where("e0 % 10 <> 9 OR e1 = 1")
+    _, links = post.join_close_components(few(v), cut)
+    return links.unionByName(e.where("label > 5").select(*links.columns)).groupBy("label").agg(F.count("*").alias("edges"))
+
+
+@query(WITH + POLY + " SELECT label, count(*) - 1 AS edges FROM vert GROUP BY label")
+def remove_ticks(spark, sf_dir):
+    """Polylines have no branch points, so no branch goes."""
+    _, links = post.remove_ticks(*polylines(spark, sf_dir), 1000.0)
+    return links.groupBy("label").agg(F.count("*").alias("edges"))
+
+
+@query(WITH + POLY + " SELECT label, CAST(0 AS BIGINT) AS loops FROM vert GROUP BY label")
+def remove_loops(spark, sf_dir):
+    """Polylines whose every twentieth vertices are linked as well have loops, and none afterwards."""
+    v, e = polylines(spark, sf_dir)
+    extra = v.where("vidx % 20 = 0 AND vidx >= 20").select("volume_id", "label", (F.col("vidx") - 20).alias("e0"), F.col("vidx").alias("e1"))
+    return out(post.loop_counts(*post.remove_loops(v, e.unionByName(extra))), "label", "loops")
+
+
+@query(WITH + POLY + " SELECT volume_id, label, count(*) AS vertices FROM vert, (SELECT CAST(range AS BIGINT) AS volume_id FROM range(2)) GROUP BY volume_id, label")
+def combined_batches(spark, sf_dir):
+    """Two batches side by side; equal labels stay apart by volume."""
+    v, e = polylines(spark, sf_dir)
+    return setops.combined([(v, e), (v, e)])[0].groupBy("volume_id", "label").agg(F.count("*").alias("vertices"))

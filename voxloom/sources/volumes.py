@@ -28,7 +28,10 @@ def as_volume(array) -> np.ndarray:
         a = a.view(np.uint8)
     if a.dtype.kind == "f":
         whole = np.where(np.isnan(a), -np.inf, a)
-        out = np.where(whole >= 2.0**63, np.iinfo(np.int64).max, np.where(whole < -(2.0**63), np.iinfo(np.int64).min, np.trunc(np.clip(whole, -(2.0**62), 2.0**62)))).astype(np.int64)
+        out = np.trunc(np.clip(whole, -(2.0**63), 2.0**62)).astype(np.int64)
+        big = (whole > 2.0**62) & (whole < 2.0**63)
+        out[big] = whole[big].astype(np.int64)
+        out[whole >= 2.0**63] = np.iinfo(np.int64).max
         if len(np.unique(a[out != 0])) > len(np.unique(out[out != 0])):
             raise ZeroDivisionError("different labels become the same integer")
         return out
@@ -98,6 +101,20 @@ def warm_up(spark: SparkSession) -> DataFrame:
     return generated(spark, (40, 40, 40), label)
 
 
+def tiled_warm_up(spark: SparkSession, tiles: int) -> DataFrame:
+    """The warm-up volume ``tiles`` times along each axis, every tile with labels of its own."""
+    label = F.expr(
+        f"""CASE WHEN (u-14)*(u-14)+(v-14)*(v-14)+(w-14)*(w-14) <= 100 OR (u BETWEEN 12 AND 16 AND v BETWEEN 12 AND 16 AND w BETWEEN 14 AND 37) THEN 1 + 3 * tile
+        WHEN u BETWEEN 28 AND 31 AND w BETWEEN 28 AND 31 AND v BETWEEN 4 AND 35 THEN 2 + 3 * tile
+        WHEN u BETWEEN 4 AND 35 AND v BETWEEN 30 AND 33 AND w BETWEEN 4 AND 7 THEN 3 + 3 * tile ELSE 0 END"""
+    )
+    side = 40 * tiles
+    x, y, z = unravel("id", F.lit(side), F.lit(side))
+    cells = spark.range(side**3).select(F.lit(0).cast("long").alias("volume_id"), F.col("id").alias("vid"), x.alias("x"), y.alias("y"), z.alias("z"))
+    cells = cells.withColumns({"u": F.expr("x % 40"), "v": F.expr("y % 40"), "w": F.expr("z % 40"), "tile": F.expr(f"(x div 40) + {tiles} * ((y div 40) + {tiles} * (z div 40))")})
+    return cells.withColumn("label", label.cast("long")).where("label <> 0").drop("u", "v", "w", "tile")
+
+
 def small_tubes(spark: SparkSession) -> DataFrame:
     """A ball with a stem and two tubes, 24 voxels a side."""
     label = F.expr(
@@ -209,7 +226,7 @@ def padded(vertices: DataFrame, max_skeletons: int, max_vertices: int) -> DataFr
     rank = F.dense_rank().over(Window.partitionBy("volume_id").orderBy("label")) - 1
     rows = vertices.withColumn("slot", rank.cast("long")).where((F.col("slot") < max_skeletons) & (F.col("vidx") < max_vertices))
     lists = rows.groupBy("volume_id", "slot", "label").agg(F.sort_array(F.collect_list(F.struct("vidx", "x", "y", "z"))).alias("v"))
-    slots = vertices.select("volume_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max_skeletons - 1))).cast("long"))
+    slots = vertices.select("volume_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_skeletons - 1).cast("long"))))
     fill = lambda a: F.concat(F.coalesce(F.transform("v", lambda p: p[a].cast("double")), F.expr("cast(array() AS array<double>)")), F.array_repeat(F.lit(0.0), F.lit(max_vertices) - F.coalesce(F.size("v"), F.lit(0))))
     joined = slots.join(lists, ["volume_id", "slot"], "left")
     count = F.greatest(F.coalesce(F.size("v"), F.lit(0)), F.lit(0))
@@ -225,3 +242,17 @@ def budget_bytes(value: str | int | float | None, default: int = 64 << 20) -> in
     if not math.isfinite(number) or number < 1:
         raise ValueError("a budget is a number of MB, 1 at least")
     return int(number * (1 << 20))
+
+
+def fragment_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """Stored fragments whose names begin with ``prefix``: (path, length); listed by Spark, contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(folder).select("path", "length")
+
+
+def check_environment() -> dict[str, str]:
+    """Versions of what the engine runs on; an error if Spark is too old for grouped Arrow functions."""
+    import pyspark
+
+    if tuple(map(int, pyspark.__version__.split(".")[:2])) < (4, 0):
+        raise RuntimeError("Spark 4.0 or newer is needed")
+    return {"pyspark": pyspark.__version__, "pyarrow": pa.__version__, "numpy": np.__version__}
