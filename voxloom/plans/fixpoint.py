@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder that driver and executors share (spark.checkpoint.dir, else a temporary one)."""
+    """``df`` as a Parquet table in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one
+    where that is unset.  Cuts the lineage, and survives lost executors."""
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="voxloom-checkpoints-"))
-    return df.checkpoint(eager=True)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="voxloom-")
+    path = f"{base.rstrip('/')}/voxloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], bool], rounds: int = 1000) -> DataFrame:

@@ -75,8 +75,11 @@ def _by_component(voxels: DataFrame, volumes: DataFrame, params: TeasarParams, d
     kept = table.where((F.col("voxels") > dust) & (F.col("voxels") > 1)).select("volume_id", "cc", F.col("label").alias("name"))
     # a volume of one component without background has walls outside
     whole = table.groupBy("volume_id").agg(F.count("*").alias("n"), F.sum("voxels").alias("v")).join(volumes, "volume_id").where("n = 1 AND v = sx * sy * sz").select("volume_id")
-    open_, black = found.join(whole, "volume_id", "left_anti"), found.join(whole, "volume_id", "left_semi")
-    fields = reliable(with_dbf(open_, volumes).unionByName(with_dbf(black, volumes, True)).join(kept, ["volume_id", "cc"]))
+    if whole.isEmpty():
+        measured = with_dbf(found, volumes)
+    else:
+        measured = with_dbf(found.join(whole, "volume_id", "left_anti"), volumes).unionByName(with_dbf(found.join(whole, "volume_id", "left_semi"), volumes, True))
+    fields = measured.join(kept, ["volume_id", "cc"])
     points = None
     if fix_borders:
         points = border_targets(found, volumes).select("volume_id", "cc", F.lit("border").alias("kind"), F.expr("ord.face * 1000000000000L + ord.first").alias("ord"), "x", "y", "z")
