@@ -34,23 +34,30 @@ def assign_targets(targets: DataFrame, voxels: DataFrame, volumes: DataFrame) ->
     return rows.join(voxels.select("volume_id", "vid", "label"), ["volume_id", "vid"], "left").select(*targets.columns, "vid", "label")
 
 
-def nearest_label_voxels(queries: DataFrame, voxels: DataFrame, cell: int = 8) -> DataFrame:
+def nearest_label_voxels(queries: DataFrame, voxels: DataFrame, sides: tuple[int, ...] = (128, 8)) -> DataFrame:
     """Each query with the nearest voxel of its label: x, y, z (-1 where the label is absent); ties go to the least
     (x, y, z).
 
-    Voxels are summed up to cells of a grid first.  A query meets the cells of its label, keeps those that could hold its
-    nearest voxel (their least distance is no more than the best cell's greatest), and only then meets voxels."""
-    cells = voxels.groupBy("label", *[F.floor(F.col(a) / cell).alias(f"g{a}") for a in "xyz"]).agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for n, f in ((0, F.min), (1, F.max))])
-    met = queries.join(cells, "label")
-    gap = {a: F.greatest(F.col(f"{a}0") - F.col(f"c{a}"), F.col(f"c{a}") - F.col(f"{a}1"), F.lit(0.0)) for a in "xyz"}
-    far = {a: F.greatest(F.abs(F.col(f"c{a}") - F.col(f"{a}0")), F.abs(F.col(f"c{a}") - F.col(f"{a}1"))) for a in "xyz"}
+    Voxels are summed up to boxes on grids of falling sides (each a divisor of the one before).  A query meets the boxes of
+    its label, keeps those that could hold its nearest voxel (their least distance is no more than the best box's
+    greatest), goes on to the smaller boxes inside them, and meets voxels only at the end."""
+    cell = lambda a, side: F.floor(F.col(a) / side)
     square = lambda d: sum((d[a] * d[a] for a in "xyz"), F.lit(0.0))
-    bounds = met.select("qid", "label", "cx", "cy", "cz", "gx", "gy", "gz", square(gap).alias("low"), square(far).alias("high"))
-    best = bounds.groupBy("qid").agg(F.min("high").alias("best"))
-    near = bounds.join(best, "qid").where(F.col("low") <= F.col("best") + 1e-9).drop("low", "high", "best")
-    held = voxels.select("label", "x", "y", "z", *[F.floor(F.col(a) / cell).alias(f"g{a}") for a in "xyz"])
+    near, inside = queries.select("qid", "label", "cx", "cy", "cz"), []
+    for side in sides:
+        boxes = voxels.groupBy("label", *[cell(a, side).alias(f"g{a}") for a in "xyz"]).agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for n, f in ((0, F.min), (1, F.max))])
+        if inside:
+            boxes = boxes.withColumns({f"p{a}": F.floor(F.col(f"{a}0") / inside[-1]) for a in "xyz"})
+        met = near.join(boxes, ["label", *(["px", "py", "pz"] if inside else [])])
+        gap = {a: F.greatest(F.col(f"{a}0") - F.col(f"c{a}"), F.col(f"c{a}") - F.col(f"{a}1"), F.lit(0.0)) for a in "xyz"}
+        far = {a: F.greatest(F.abs(F.col(f"c{a}") - F.col(f"{a}0")), F.abs(F.col(f"c{a}") - F.col(f"{a}1"))) for a in "xyz"}
+        bounds = met.select("qid", "label", "cx", "cy", "cz", *[F.col(f"g{a}").alias(f"p{a}") for a in "xyz"], square(gap).alias("low"), square(far).alias("high"))
+        best = bounds.groupBy("qid").agg(F.min("high").alias("best"))
+        near = bounds.join(best, "qid").where(F.col("low") <= F.col("best") + 1e-9).drop("low", "high", "best")
+        inside.append(side)
+    held = voxels.select("label", "x", "y", "z", *[cell(a, sides[-1]).alias(f"p{a}") for a in "xyz"])
     d2 = sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in "xyz"), F.lit(0.0))
-    found = near.join(held, ["label", "gx", "gy", "gz"]).groupBy("qid").agg(F.min_by(F.struct("x", "y", "z"), F.struct(d2.alias("d"), "x", "y", "z")).alias("p"))
+    found = near.join(held, ["label", "px", "py", "pz"]).groupBy("qid").agg(F.min_by(F.struct("x", "y", "z"), F.struct(d2.alias("d"), "x", "y", "z")).alias("p"))
     absent = F.lit(-1).cast("long")
     return queries.join(found, "qid", "left").select(*queries.columns, *[F.coalesce(f"p.{a}", absent).alias(a) for a in "xyz"])
 
