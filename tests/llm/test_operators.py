@@ -76,6 +76,11 @@ def test_language_of_nothing(no_docs, docs):
     assert kept.columns == docs.columns and {100, 101, 102, 106}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_only_letters_make_words():
+    assert language_id.words_of("²½ 12 _ ⅷ!") == [] and language_id.words_of("Aß²c Ω") == ["aß", "c", "ω"]
+    assert [len(w) for w in language_id.words_of("x" * 50)] == [24, 24, 2]
+
+
 def test_language_words_beyond_the_store_are_scored_alike(monkeypatch):
     vocab, _ = language_id.pieces(PIECES)
     probs = np.random.default_rng(2).random((len(vocab) + 1, 2)) / len(vocab)

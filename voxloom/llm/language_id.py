@@ -16,7 +16,6 @@ an empty one for the split; repeated rows give repeated rows; other columns are
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,11 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.llm.common import arrow_map, slices
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 WORD_CHARS, SAMPLE_CHARS, ROUNDS, SMOOTHING, UNKNOWN = 24, 1_500_000, 3, 0.01, 1e-9
 #: Distinct words whose scores a worker keeps; later ones are kept for one slice of text.  A bound on memory only.
 WORDS_KEPT = 200_000
