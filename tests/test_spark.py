@@ -12,7 +12,7 @@ import __spark_entry__
 from voxloom.kernels.volume import skeletonize_volume
 from voxloom.operators import analysis, components as cc, distance, filters, joins, morphology, postprocess as post
 from voxloom.params import DEFAULT_TEASAR_PARAMS, TeasarParams
-from voxloom.plans import catalogue, pipeline
+from voxloom.plans import catalogue, fixpoint, pipeline
 from voxloom.plans.fixpoint import components, distances, iterate
 from voxloom.schemas import TARGETS, VOLUMES
 from voxloom.sources import volumes as src
@@ -171,9 +171,13 @@ def test_repair_and_somata(spark):
     assert morphology.filled_masks(found).where("added").count() == 7**3
 
 
-def test_fixpoints(spark):
+def test_fixpoints(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.root for r in components(chain).collect()} == {0, 100}
+    monkeypatch.setattr(fixpoint, "FEW_EDGES", 0)
+    assert rows(components(chain), "node", "root") == sorted([(i, 0) for i in range(41)] + [(100, 100), (101, 100)])
+    pairs = chain.selectExpr("struct(0 AS v, a AS n) AS a", "struct(0 AS v, b AS n) AS b")
+    assert {r.root.n for r in components(pairs).collect()} == {0, 100}
     weighted = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (2, 1, 1.0)], "a long, b long, w double")
     assert rows(distances(weighted, spark.createDataFrame([(0,)], "node long")), "node", "dist") == [(0, 0.0), (1, 2.0), (2, 1.0)]
     halved = iterate(spark.createDataFrame([(64,)], "n long"), lambda d: d.selectExpr("n div 2 AS n"), lambda a, b: a.first() != b.first())

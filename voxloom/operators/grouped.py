@@ -27,7 +27,10 @@ def grouped(df: DataFrame, keys: list[str], kernel: Callable[[Columns], dict], s
                 got[k] = [table.column(k)[0].as_py()] * rows
         return pa.table([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    # groups cost time rather than bytes, so their partitions must not be merged for being small
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def box_of(c: Columns) -> tuple[np.ndarray, np.ndarray]:

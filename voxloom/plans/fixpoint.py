@@ -6,7 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+#: Edges that one task takes at once.
+FEW_EDGES = 1 << 18
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -38,11 +44,42 @@ def _print_of(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, root) of few edges, by union-find."""
+    kind = edges.schema["a"].dataType
+    schema = StructType([StructField("node", kind), StructField("root", kind)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(n):
+            while (up := parent.setdefault(n, n)) != n:
+                parent[n] = parent[up]
+                n = parent[n]
+            return n
+
+        plain = lambda n: tuple(n.values()) if isinstance(n, dict) else n
+        names = [f.name for f in kind.fields] if isinstance(kind, StructType) else None
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = find(plain(row["a"])), find(plain(row["b"]))
+                parent[max(a, b)] = min(a, b)
+        shown = lambda n: dict(zip(names, n)) if names else n
+        nodes = sorted(parent)
+        yield pa.RecordBatch.from_arrays([pa.array([shown(n) for n in nodes], arrow[0].type), pa.array([shown(find(n)) for n in nodes], arrow[1].type)], schema=arrow)
+
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the component's least node.
 
-    Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain."""
+    Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain; ``FEW_EDGES``
+    edges (counted) or less are done in one task."""
     now, before = reliable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    if now.count() <= FEW_EDGES:
+        return _in_one_task(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
