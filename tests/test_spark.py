@@ -166,7 +166,7 @@ def test_repair_and_somata(spark):
     found = distance.with_dbf(cc.connected_components(voxels, volumes), volumes)
     fixed = morphology.repaired(found, volumes, 5)
     assert rows(fixed.groupBy("cc").count(), "cc", "count") == [(1, 13**3)]
-    flags = rows(morphology.soma_flags(found, volumes, 2, 3, 2, 1), "cc", "soma", "radius")
+    flags = rows(morphology.soma_flags(found, volumes, 1.5, 3, 2, 1), "cc", "soma", "radius")
     assert flags == [(1, True, 15.0), (2, True, 9.0)]
     assert morphology.filled_masks(found).where("added").count() == 7**3
 
