@@ -316,6 +316,16 @@ def test_boilerplate_lines_go_and_depleted_documents_are_rejected(spark):
     assert {r.doc_id for r in quality_rules.judge(df, max_docs=5).where("kept").collect()} == {i for i, r in judged.items() if r.kept}
 
 
+def test_clashing_columns_pass_through(docs):
+    names = {"lines": 1, "n_words": 2, "kept": 3, "removed_words": 4, "ids": 5, "n": 6, "first": 7, "fp": 8, "lang_pred": 9, "doc": 10}
+    more = docs.withColumns({k: F.lit(v) for k, v in names.items()})
+    for clean in (quality_rules.clean, lambda d: language_id.keep_identified(d, PIECES), simhash.keep_first, secret_scan.clean):
+        out = clean(more)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert rows and all(r[k] == v for r in rows for k, v in names.items())
+
+
 def test_quality_query_uses_no_python(docs):
     for df in (quality_rules.judge(docs), quality_rules.clean(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()

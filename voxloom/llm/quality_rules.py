@@ -124,11 +124,14 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_L
 
 def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The kept rows of ``docs`` without their boilerplate lines; ``chars_col`` follows where it is not null."""
-    names = [c if c != text_col else "__was" for c in docs.columns]
-    rows = _measured(docs, names, max_docs, max_line_words, max_removed, id_col, text_col, host_col).where("kept")
+    # columns go by number, so that none clashes with the names used here
+    safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    of = dict(zip(docs.columns, safe.columns))
+    names = ["__was" if c == text_col else of[c] for c in docs.columns]
+    rows = _measured(safe, names, max_docs, max_line_words, max_removed, of[id_col], of[text_col], of[host_col]).where("kept")
     line_hash = "xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
     words = "size(filter(split(l, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w <> ''))"
     left = F.expr(f"if(lines IS NULL, __was, array_join(filter(split(__was, '\\n', -1), l -> NOT (array_contains(lines, {line_hash}) AND {words} BETWEEN 1 AND {max_line_words})), '\\n'))")
     rows = rows.withColumn("__new", F.when(F.spark_partition_id() < 0, F.lit(None)).otherwise(left))
-    out = [F.col("__new").alias(text_col) if c == text_col else F.when(F.col("lines").isNull() | F.col(c).isNull(), F.col(c)).otherwise(F.length("__new").cast(docs.schema[c].dataType)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
-    return rows.select(*out)
+    changed = lambda c: F.when(F.col("lines").isNull() | F.col(of[c]).isNull(), F.col(of[c])).otherwise(F.length("__new").cast(docs.schema[c].dataType))
+    return rows.select(*[(F.col("__new") if c == text_col else changed(c) if c == chars_col else F.col(of[c])).alias(c) for c in docs.columns])
