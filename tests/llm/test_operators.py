@@ -316,6 +316,17 @@ def test_boilerplate_lines_go_and_depleted_documents_are_rejected(spark):
     assert {r.doc_id for r in quality_rules.judge(df, max_docs=5).where("kept").collect()} == {i for i, r in judged.items() if r.kept}
 
 
+def test_long_boilerplate_lines_go(spark):
+    rng = random.Random(4)
+    body = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    legal = " ".join(f"clause{chr(97 + i)}" for i in range(25))
+    rows = [(i, f"{legal}\n{body()}\n\n{body()}", "en", "h", 0) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    judged = quality_rules.judge(df, max_docs=5).collect()
+    assert len(judged) == 8 and all(r.removed_words == 25 and r.kept for r in judged)
+    assert {r.doc_id: r.text for r in quality_rules.clean(df, max_docs=5).collect()} == {i: text.removeprefix(legal + "\n") for i, text, *_ in rows}
+
+
 def test_clashing_columns_pass_through(docs):
     names = {"lines": 1, "n_words": 2, "kept": 3, "removed_words": 4, "ids": 5, "n": 6, "first": 7, "fp": 8, "lang_pred": 9, "doc": 10}
     more = docs.withColumns({k: F.lit(v) for k, v in names.items()})

@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency; DataFrame functions only.
 
 Rules on a text alone: counts of words, characters, symbols, repeated lines and repeated three-word windows.  Across
-documents: short lines are normalised (lower case, digit runs as 0, white space collapsed) and hashed; a line that stands
+documents: lines are normalised (lower case, digit runs as 0, white space collapsed) and hashed; a line that stands
 in more than ``max_docs`` distinct documents of its host is boilerplate and is removed; a document that loses more than
 ``max_removed`` of its words to that is depleted and rejected.  Copies count as one document: documents are told apart
 by the hash of their longest line, so that a group of copies doesn't make its own text boilerplate (removing copies is
-for near-duplicate stages).  Lines of over ``max_line_words`` words are passages, not boilerplate.
+for near-duplicate stages).  Lines count whatever their length: a passage that fills one line is a line.
 
 Per-line rows are pre-aggregated before each shuffle, first to distinct (host, line, document), so a line or host that
 holds a third of all rows spreads over its documents.  The texts themselves are never shuffled by the query.
@@ -24,7 +24,7 @@ from voxloom.llm.common import shared_dir, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-MAX_DOCS, MAX_LINE_WORDS, MAX_REMOVED = 100, 20, 0.7
+MAX_DOCS, MAX_REMOVED = 100, 0.7
 SALTS = 64
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
@@ -85,13 +85,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     )
 
 
-def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(__k1, __k2, lines, removed_words) for each document with boilerplate: the hashes of its lines above the limit,
     and the words that go with them."""
     own = _keyed(docs.select(id_col, text_col, host_col), id_col, text_col, host_col)
     lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text")).withColumn("__lines", _fenced(_LINES)).drop("text")
-    short = F.posexplode(F.expr(f"filter(__lines, x -> x.n <= {max_line_words})")).alias("pos", "x")
-    rows = lines.select("__k1", "__k2", "__host", F.expr("array_max(transform(__lines, x -> struct(x.n AS n, x.h AS h))).h").alias("doc"), short)
+    rows = lines.select("__k1", "__k2", "__host", F.expr("array_max(transform(__lines, x -> struct(x.n AS n, x.h AS h))).h").alias("doc"), F.posexplode("__lines").alias("pos", "x"))
     rows = rows.select("__k1", "__k2", "__host", "doc", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     frequent = rows.select("__host", "h", "doc").distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("__host", "h")
     # a frequent line may stand in a third of all documents: its rows meet it in as many places as there are salts
@@ -101,11 +100,11 @@ def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int
     return hit.groupBy("__k1", "__k2").agg(F.collect_set("h").alias("lines"), F.sum("n").alias("removed_words"))
 
 
-def _measured(docs: DataFrame, names: list[str], max_docs: int, max_line_words: int, max_removed: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
+def _measured(docs: DataFrame, names: list[str], max_docs: int, max_removed: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """The features of every row, base_failed, removed_words and kept.  The documents with boilerplate are a
     table of their own."""
     folder = shared_dir(docs.sparkSession)
-    removed = written(removed_lines(docs, max_docs, max_line_words, id_col, text_col, host_col), "removed-lines", folder)
+    removed = written(removed_lines(docs, max_docs, id_col, text_col, host_col), "removed-lines", folder)
     keyed = _keyed(docs, id_col, text_col, host_col).drop("__host").withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text")
     # few documents have boilerplate: a Bloom filter of their keys spares the others, and their texts, the shuffle
     marked = bloom.mark(keyed, F.col("__k1"), bloom.build(removed, F.col("__k1"), removed.count()))
@@ -116,22 +115,21 @@ def _measured(docs: DataFrame, names: list[str], max_docs: int, max_line_words:
     return rows.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row per document: its features, base_failed, kept and removed_words."""
-    rows = _measured(docs.select(id_col, text_col, host_col), [id_col], max_docs, max_line_words, max_removed, id_col, text_col, host_col)
+    rows = _measured(docs.select(id_col, text_col, host_col), [id_col], max_docs, max_removed, id_col, text_col, host_col)
     return rows.select(F.col(id_col).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"))
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The kept rows of ``docs`` without their boilerplate lines; ``chars_col`` follows where it is not null."""
     # columns go by number, so that none clashes with the names used here
     safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
     of = dict(zip(docs.columns, safe.columns))
     names = ["__was" if c == text_col else of[c] for c in docs.columns]
-    rows = _measured(safe, names, max_docs, max_line_words, max_removed, of[id_col], of[text_col], of[host_col]).where("kept")
+    rows = _measured(safe, names, max_docs, max_removed, of[id_col], of[text_col], of[host_col]).where("kept")
     line_hash = "xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
-    words = "size(filter(split(l, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w <> ''))"
-    left = F.expr(f"if(lines IS NULL, __was, array_join(filter(split(__was, '\\n', -1), l -> NOT (array_contains(lines, {line_hash}) AND {words} BETWEEN 1 AND {max_line_words})), '\\n'))")
+    left = F.expr(f"if(lines IS NULL, __was, array_join(filter(split(__was, '\\n', -1), l -> NOT array_contains(lines, {line_hash})), '\\n'))")
     rows = rows.withColumn("__new", F.when(F.spark_partition_id() < 0, F.lit(None)).otherwise(left))
     changed = lambda c: F.when(F.col("lines").isNull() | F.col(of[c]).isNull(), F.col(of[c])).otherwise(F.length("__new").cast(docs.schema[c].dataType))
     return rows.select(*[(F.col("__new") if c == text_col else changed(c) if c == chars_col else F.col(of[c])).alias(c) for c in docs.columns])
