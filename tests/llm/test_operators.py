@@ -327,6 +327,22 @@ def test_long_boilerplate_lines_go(spark):
     assert {r.doc_id: r.text for r in quality_rules.clean(df, max_docs=5).collect()} == {i: text.removeprefix(legal + "\n") for i, text, *_ in rows}
 
 
+def test_documents_that_share_their_longest_line_are_told_apart(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    notice = " ".join(f"notice{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    body = lambda: "\n".join(" ".join(word() for _ in range(30)) for _ in range(5))
+    rows = [(i, f"home news contact\n{body()}\n{notice}", "en", "h", 0) for i in range(8)]
+    rows += [(20 + i, f"{notice}\n{word()} {word()}", "en", "h", 0) for i in range(8)]
+    copy = "not a menu\n" + body()
+    rows += [(40 + i, copy.upper() if i % 2 else copy, "en", "h", 0) for i in range(8)]  # one document
+    df = spark.createDataFrame(rows, SCHEMA)
+    judged = {r.doc_id: r for r in quality_rules.judge(df, max_docs=5).collect()}
+    assert all(judged[i].removed_words == 63 and judged[i].kept for i in range(8))
+    assert all(judged[20 + i].removed_words == 60 and not judged[20 + i].kept for i in range(8))
+    assert all(judged[40 + i].removed_words == 0 and judged[40 + i].kept for i in range(8))
+
+
 def test_clashing_columns_pass_through(docs):
     names = {"lines": 1, "n_words": 2, "kept": 3, "removed_words": 4, "ids": 5, "n": 6, "first": 7, "fp": 8, "lang_pred": 9, "doc": 10}
     more = docs.withColumns({k: F.lit(v) for k, v in names.items()})

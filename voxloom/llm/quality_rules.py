@@ -4,8 +4,8 @@ Rules on a text alone: counts of words, characters, symbols, repeated lines and
 documents: lines are normalised (lower case, digit runs as 0, white space collapsed) and hashed; a line that stands
 in more than ``max_docs`` distinct documents of its host is boilerplate and is removed; a document that loses more than
 ``max_removed`` of its words to that is depleted and rejected.  Copies count as one document: documents are told apart
-by the hash of their longest line, so that a group of copies doesn't make its own text boilerplate (removing copies is
-for near-duplicate stages).  Lines count whatever their length: a passage that fills one line is a line.
+by the hash of their whole normalised text, so that a group of copies doesn't make its own text boilerplate (removing
+copies is for near-duplicate stages); texts that differ in any line are different documents.  Lines count whatever their length: a passage that fills one line is a line.
 
 Per-line rows are pre-aggregated before each shuffle, first to distinct (host, line, document), so a line or host that
 holds a third of all rows spreads over its documents.  The texts themselves are never shuffled by the query.
@@ -90,7 +90,7 @@ def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_
     and the words that go with them."""
     own = _keyed(docs.select(id_col, text_col, host_col), id_col, text_col, host_col)
     lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text")).withColumn("__lines", _fenced(_LINES)).drop("text")
-    rows = lines.select("__k1", "__k2", "__host", F.expr("array_max(transform(__lines, x -> struct(x.n AS n, x.h AS h))).h").alias("doc"), F.posexplode("__lines").alias("pos", "x"))
+    rows = lines.select("__k1", "__k2", "__host", F.expr("xxhash64(transform(__lines, x -> x.h))").alias("doc"), F.posexplode("__lines").alias("pos", "x"))
     rows = rows.select("__k1", "__k2", "__host", "doc", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     frequent = rows.select("__host", "h", "doc").distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("__host", "h")
     # a frequent line may stand in a third of all documents: its rows meet it in as many places as there are salts
