@@ -343,6 +343,21 @@ def test_documents_that_share_their_longest_line_are_told_apart(spark):
     assert all(judged[40 + i].removed_words == 0 and judged[40 + i].kept for i in range(8))
 
 
+def test_boilerplate_of_hosts_of_any_size_goes_by_default(spark):
+    rng = random.Random(6)
+    body = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    rows = []
+    for host, n, marked in (("small", 12, 12), ("middle", 100, 12), ("large", 1500, 16), ("rare", 1500, 15), ("few", 10, 10)):
+        rows += [(len(rows), f"licence of {host}\n{body()}" if i < marked else body(), "en", host, 0) for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    removed = Counter()
+    for r in quality_rules.judge(df).where("removed_words > 0").collect():
+        assert r.removed_words == 3 and r.kept
+        removed[rows[r.doc_id][3]] += 1
+    assert removed == {"small": 12, "middle": 12, "large": 16}
+    assert sum("licence" in r.text for r in quality_rules.clean(df).collect()) == 25
+
+
 def test_clashing_columns_pass_through(docs):
     names = {"lines": 1, "n_words": 2, "kept": 3, "removed_words": 4, "ids": 5, "n": 6, "first": 7, "fp": 8, "lang_pred": 9, "doc": 10}
     more = docs.withColumns({k: F.lit(v) for k, v in names.items()})

@@ -1,8 +1,9 @@
 """Quality rules with cross-document line frequency; DataFrame functions only.
 
 Rules on a text alone: counts of words, characters, symbols, repeated lines and repeated three-word windows.  Across
-documents: lines are normalised (lower case, digit runs as 0, white space collapsed) and hashed; a line that stands
-in more than ``max_docs`` distinct documents of its host is boilerplate and is removed; a document that loses more than
+documents: lines are normalised (lower case, digit runs as 0, white space collapsed) and hashed; a line is
+boilerplate, and is removed, if it stands in more distinct documents of its host than a share of them (but at least
+``MIN_DOCS``) or than ``max_docs``, whichever is less; a document that loses more than
 ``max_removed`` of its words to that is depleted and rejected.  Copies count as one document: documents are told apart
 by the hash of their whole normalised text, so that a group of copies doesn't make its own text boilerplate (removing
 copies is for near-duplicate stages); texts that differ in any line are different documents.  Lines count whatever their length: a passage that fills one line is a line.
@@ -25,6 +26,8 @@ from voxloom.llm.common import shared_dir, written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MAX_DOCS, MAX_REMOVED = 100, 0.7
+#: Share of a host's distinct documents above which a line is boilerplate, and the documents that it needs to exceed.
+MAX_SHARE, MIN_DOCS = 0.01, 10
 SALTS = 64
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
@@ -85,14 +88,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     )
 
 
-def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def removed_lines(docs: DataFrame, folder: str, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(__k1, __k2, lines, removed_words) for each document with boilerplate: the hashes of its lines above the limit,
     and the words that go with them."""
     own = _keyed(docs.select(id_col, text_col, host_col), id_col, text_col, host_col)
     lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text")).withColumn("__lines", _fenced(_LINES)).drop("text")
-    rows = lines.select("__k1", "__k2", "__host", F.expr("xxhash64(transform(__lines, x -> x.h))").alias("doc"), F.posexplode("__lines").alias("pos", "x"))
-    rows = rows.select("__k1", "__k2", "__host", "doc", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    frequent = rows.select("__host", "h", "doc").distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("__host", "h")
+    doc = F.expr("xxhash64(transform(__lines, x -> x.h))").alias("doc")
+    rows = lines.select("__k1", "__k2", "__host", F.posexplode("__lines").alias("pos", "x"))
+    rows = rows.select("__k1", "__k2", "__host", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    # a row of each document that stands for its host, without a line, counts the host's documents on the way
+    of_host = lines.select("__host", doc, F.explode(F.expr("if(size(__lines) = 0, array(), concat(array(cast(null AS bigint)), transform(__lines, x -> x.h)))")).alias("h"))
+    floor = min(max_docs, MIN_DOCS)
+    counts = written(of_host.distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > floor), "line-counts", folder)
+    limits = counts.where("h IS NULL").select("__host", F.least(F.lit(max_docs), F.greatest(F.lit(floor), F.lit(MAX_SHARE) * F.col("docs"))).alias("__limit"))
+    frequent = counts.where("h IS NOT NULL").join(limits, "__host").where("docs > __limit").select("__host", "h")
     # a frequent line may stand in a third of all documents: its rows meet it in as many places as there are salts
     salted = frequent.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = rows.select("__k1", "__k2", "__host", "pos", "h", "n", F.pmod("__k2", F.lit(SALTS)).alias("__salt")).join(salted, ["__host", "h", "__salt"])
@@ -104,7 +113,7 @@ def _measured(docs: DataFrame, names: list[str], max_docs: int, max_removed: flo
     """The features of every row, base_failed, removed_words and kept.  The documents with boilerplate are a
     table of their own."""
     folder = shared_dir(docs.sparkSession)
-    removed = written(removed_lines(docs, max_docs, id_col, text_col, host_col), "removed-lines", folder)
+    removed = written(removed_lines(docs, folder, max_docs, id_col, text_col, host_col), "removed-lines", folder)
     keyed = _keyed(docs, id_col, text_col, host_col).drop("__host").withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text")
     # few documents have boilerplate: a Bloom filter of their keys spares the others, and their texts, the shuffle
     marked = bloom.mark(keyed, F.col("__k1"), bloom.build(removed, F.col("__k1"), removed.count()))
