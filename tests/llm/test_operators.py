@@ -279,6 +279,16 @@ def test_weak_candidates_need_their_complement():
         assert sorted(secret_scan.linked(text, strong, weak)) == sorted(s for s in weak if all(near(s, p) for p in need[s[2]]))
 
 
+def test_parts_are_linked_across_their_whole_paragraph(spark):
+    ident, key, url = "ZX12CV34BN56QW78ER90", "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8v", "https://db.internal.example"
+    fill = " " + "field " * 100
+    texts = [f"{url}{fill}{ident}{fill}{key}", f"{key}{fill}{ident}", f"{ident}{fill}\n\n{key}", fill.join([ident] * 2000 + ["x"]), f"{fill.join([ident] * 2000)} {key}"]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.n_linked for r in secret_scan.find(df).collect()} == {0: 3, 1: 2, 2: 0, 3: 0, 4: 2001}
+    cleaned = {r.doc_id: r.text for r in secret_scan.clean(df).collect()}
+    assert cleaned[0] == fill.join(["[secret]"] * 3) and cleaned[1] == fill.join(["[secret]"] * 2) and cleaned[2] == texts[2]
+
+
 def test_secrets_are_replaced(spark):
     df = spark.createDataFrame([(1, "my password=hunter22 here", "en", "a", 25), (2, "clean", "en", "a", 5), (3, None, None, None, None)], SCHEMA)
     rows = {r.doc_id: r for r in secret_scan.clean(df).collect()}

@@ -2,7 +2,7 @@
 
 Strong patterns (assignments, access identifiers, long hexadecimal runs) are always reported.  Weak candidates
 (identifier-like, key-like and endpoint-like strings) are too common to report alone: an interval join within a scope
-(the paragraph, and at most ``radius`` characters between the spans) looks for complementary parts, and only candidates
+(the paragraph; with a ``radius``, at most so many characters between the spans as well) looks for complementary parts, and only candidates
 whose complement is there are reported: an identifier near a secret, a key near an identifier, an endpoint near both.
 The join runs over the sorted intervals of one document by bisection; it asks whether a partner exists, so its output
 has at most one row per candidate, however many parts crowd into a scope.
@@ -33,7 +33,8 @@ TRIGGER = ("password", "passwd", "secret", "token", "api")
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "key", "endpoint")
-#: Characters between two spans that may still be parts of one credential; bits of entropy a character of a weak key.
+#: Default of ``scan`` for the characters between two parts (``find`` and ``clean`` take whole paragraphs); bits of entropy
+#: a character of a weak key.
 RADIUS, KEY_ENTROPY = 200, 3.5
 #: How each kind serves as a part.
 PARTS = {"access": "id", "identifier": "id", "assign": "secret", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
@@ -73,10 +74,12 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     return [s for s in found if free(s[0], s[1])]
 
 
-def linked(text: str, strong: list[Span], weak: list[Span], radius: int = RADIUS) -> list[Span]:
-    """The weak candidates with complementary parts in their scope."""
+def linked(text: str, strong: list[Span], weak: list[Span], radius: int | None = RADIUS) -> list[Span]:
+    """The weak candidates with complementary parts in their scope; without a radius, the scope alone is the bound."""
     if not weak:
         return []
+    if radius is None:
+        radius = len(text)
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
     of: dict[str, list[tuple[int, int, int]]] = {"id": [], "secret": [], "endpoint": []}
     for a, b, kind in strong + weak:
@@ -103,7 +106,7 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], rank[s[2]])))
 
 
-def scan(text: str, radius: int = RADIUS) -> tuple[list[Span], list[Span]]:
+def scan(text: str, radius: int | None = RADIUS) -> tuple[list[Span], list[Span]]:
     strong = base_spans(text)
     return strong, linked(text, strong, weak_spans(text, strong), radius)
 
@@ -118,7 +121,7 @@ def redact(text: str, spans: list[Span], mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: counts of the strong kinds, digest of the strong spans, and all spans."""
 
     def kernel(batch):
@@ -135,7 +138,7 @@ def find(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, schema, "text")
 
 
-def clean(docs: DataFrame, radius: int = RADIUS, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, radius: int | None = None, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced in the texts; ``chars_col`` follows where it is not null.  Null stays null."""
     names = docs.columns
 
