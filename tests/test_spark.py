@@ -219,5 +219,14 @@ def test_other_queries_have_rows(spark, name):
     assert not catalogue.queries()[name](spark, DATA).isEmpty()
 
 
+def test_join_close_components_takes_every_label(spark, monkeypatch):
+    joined, taken = catalogue.post.join_close_components, []
+    monkeypatch.setattr(catalogue.post, "join_close_components", lambda v, e: taken.append((v, e)) or joined(v, e))
+    catalogue.join_close_components(spark, DATA)
+    labels = lambda df: {r.label for r in df.select("label").distinct().collect()}
+    v, e = catalogue.polylines(spark, DATA)
+    assert labels(taken[0][0]) == labels(v) and labels(taken[0][1]) == labels(e) and max(labels(v)) > 5
+
+
 def test_a_volume_needs_its_size(spark):
     assert spark.createDataFrame([(0, 1, 1, 1, 1.0, 1.0, 1.0)], VOLUMES).count() == 1

@@ -854,11 +854,10 @@ def path_decomposition(spark, sf_dir):
 def join_close_components(spark, sf_dir):
     """Polylines cut into parts of ten vertices are joined to one piece again."""
     v, e = polylines(spark, sf_dir)
-    few = lambda df: df.where("label <= 5")
     last = v.groupBy("label").agg(F.max("vidx").alias("last"))
-    cut = few(e).join(last, "label").where("e0 % 10 <> 9 OR e1 = last").select(*e.columns)  # a lone vertex would be no part
-    _, links = post.join_close_components(few(v), cut)
-    return links.unionByName(e.where("label > 5").select(*links.columns)).groupBy("label").agg(F.count("*").alias("edges"))
+    cut = e.join(last, "label").where("e0 % 10 <> 9 OR e1 = last").select(*e.columns)  # a lone vertex would be no part
+    _, links = post.join_close_components(v, cut)
+    return links.groupBy("label").agg(F.count("*").alias("edges"))
 
 
 @query(WITH + POLY + " SELECT label, count(*) - 1 AS edges FROM vert GROUP BY label")
