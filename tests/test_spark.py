@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -173,11 +177,13 @@ def test_repair_and_somata(spark):
 
 def test_fixpoints(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.root for r in components(chain).collect()} == {0, 100}
-    monkeypatch.setattr(fixpoint, "FEW_EDGES", 0)
-    assert rows(components(chain), "node", "root") == sorted([(i, 0) for i in range(41)] + [(100, 100), (101, 100)])
+    want = sorted([(i, 0) for i in range(41)] + [(100, 100), (101, 100)])
+    assert rows(components(chain), "node", "root") == want
+    assert components(chain.where("a < 0")).isEmpty()
     pairs = chain.selectExpr("struct(0 AS v, a AS n) AS a", "struct(0 AS v, b AS n) AS b")
     assert {r.root.n for r in components(pairs).collect()} == {0, 100}
+    monkeypatch.setattr(fixpoint, "HELD_EDGES", 3)  # most of the work is left to the joins
+    assert rows(components(chain.repartition(5)), "node", "root") == want
     weighted = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (2, 1, 1.0)], "a long, b long, w double")
     assert rows(distances(weighted, spark.createDataFrame([(0,)], "node long")), "node", "dist") == [(0, 0.0), (1, 2.0), (2, 1.0)]
     halved = iterate(spark.createDataFrame([(64,)], "n long"), lambda d: d.selectExpr("n div 2 AS n"), lambda a, b: a.first() != b.first())
@@ -228,5 +234,17 @@ def test_join_close_components_takes_every_label(spark, monkeypatch):
     assert labels(taken[0][0]) == labels(v) and labels(taken[0][1]) == labels(e) and max(labels(v)) > 5
 
 
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    """In a copy without the subpackage, with and without the pipeline that imports it."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; import sys; q = e.queries(); s = e.oracle_sql(); sys.exit(not (len(q) > 90 and set(s) <= set(q) and 'pipeline' not in q and not any(n.startswith('op1') for n in q)))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for name in (None, "corpus_pipeline.py"):
+        if name and (tmp_path / "copy" / name).exists():
+            (tmp_path / "copy" / name).unlink()
+        assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, capture_output=True).returncode == 0
+
+
 def test_a_volume_needs_its_size(spark):
     assert spark.createDataFrame([(0, 1, 1, 1, 1.0, 1.0, 1.0)], VOLUMES).count() == 1

@@ -52,8 +52,8 @@ def cube(spark: SparkSession, side: int, *, sides: tuple[int, int, int] | None =
     return spark.createDataFrame([(0, *(sides or (side, side, side)), *aniso)], VOLUMES)
 
 
-def order_voxels(spark: SparkSession, sf_dir: str, suppliers_below: int | None = None) -> DataFrame:
-    return src.lineitem_voxels(table(spark, sf_dir, "lineitem"), suppliers_below)
+def order_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.lineitem_voxels(table(spark, sf_dir, "lineitem"))
 
 
 def order_volume(spark: SparkSession, voxels: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def polylines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.lit(0).cast("long").alias("volume_id"), F.lit(0).cast("long").alias("label"), F.col("l_orderkey").alias("e0"), (F.col("l_partkey") + 1000000000).alias("e1")).distinct()
 
 
@@ -87,17 +87,16 @@ HOLLOW = generated_sql("vox", 15, "WHEN x BETWEEN 2 AND 12 AND y BETWEEN 2 AND 1
 WARM = generated_sql("vox", 40, "WHEN (x-14)*(x-14)+(y-14)*(y-14)+(z-14)*(z-14) <= 100 OR (x BETWEEN 12 AND 16 AND y BETWEEN 12 AND 16 AND z BETWEEN 14 AND 37) THEN 1 WHEN x BETWEEN 28 AND 31 AND z BETWEEN 28 AND 31 AND y BETWEEN 4 AND 35 THEN 2 WHEN x BETWEEN 4 AND 35 AND y BETWEEN 30 AND 33 AND z BETWEEN 4 AND 7 THEN 3")
 
 
-def orders_sql(where: str = "true") -> str:
-    return f"""raw AS (SELECT l_orderkey % 64 AS x, l_suppkey AS y, CAST(l_quantity AS BIGINT) - 1 AS z, CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT) AS label FROM lineitem WHERE {where}),
+ORDERS = """raw AS (SELECT l_orderkey % 64 AS x, l_suppkey AS y, CAST(l_quantity AS BIGINT) - 1 AS z, CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT) AS label FROM lineitem),
 dims AS (SELECT max(y) + 1 AS sy FROM raw),
 vox AS (SELECT x, y, z, min(label) AS label, x + 64 * (y + any_value(sy) * z) AS vid FROM raw, dims GROUP BY x, y, z)"""
 
-
-ORDERS = orders_sql()
-FEW_ORDERS = orders_sql("l_suppkey < 10")
 STEPS = "off AS (SELECT CAST(k AS BIGINT) AS k, CAST(dx AS BIGINT) AS dx, CAST(dy AS BIGINT) AS dy, CAST(dz AS BIGINT) AS dz, CAST(bit AS BIGINT) AS bit FROM (VALUES " + ", ".join(f"({k}, {x}, {y}, {z}, {GRAPH_BITS[k]})" for k, (x, y, z) in enumerate(OFFSETS.tolist())) + ") o(k, dx, dy, dz, bit))"
 NEAR = f"{STEPS}, nb AS MATERIALIZED (SELECT a.vid AS a, b.vid AS b, k, bit, sqrt(dx*dx + dy*dy + dz*dz) AS w FROM vox a, off JOIN vox b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND b.label = a.label)"
 ROOTS = f"{NEAR}, t(id, root) USING KEY (id) AS (SELECT vid, vid FROM vox UNION SELECT nb.b, min(t.root) FROM t JOIN nb ON nb.a = t.id JOIN recurring.t r ON r.id = nb.b WHERE t.root < r.root GROUP BY nb.b), comp AS (SELECT vox.*, root, dense_rank() OVER (ORDER BY root) AS cc FROM vox JOIN t ON t.id = vox.vid)"
+#: The same over all of lineitem's voxels: neighbours meet by index, after a test that the step stays inside.
+ORDER_ROOTS = f"""{STEPS}, nb AS MATERIALIZED (SELECT a.vid AS a, b.vid AS b FROM (SELECT vox.*, vid + dx + 64 * (dy + sy * dz) AS nvid, x + dx AS nx, y + dy AS ny, z + dz AS nz, sy FROM vox, off, dims) a JOIN vox b ON b.vid = a.nvid AND b.label = a.label WHERE nx BETWEEN 0 AND 63 AND ny BETWEEN 0 AND a.sy - 1 AND nz BETWEEN 0 AND 49),
+t(id, root) USING KEY (id) AS (SELECT vid, vid FROM vox UNION SELECT nb.b, min(t.root) FROM t JOIN nb ON nb.a = t.id JOIN recurring.t r ON r.id = nb.b WHERE t.root < r.root GROUP BY nb.b), comp AS (SELECT vox.*, root, dense_rank() OVER (ORDER BY root) AS cc FROM vox JOIN t ON t.id = vox.vid)"""
 POLY = """k AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS z FROM (SELECT DISTINCT event_type FROM events)),
 v AS (SELECT user_id + 1 AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS vidx, CAST(floor(value) AS BIGINT) AS y, z, 1 + event_id % 5 AS radius FROM events JOIN k USING (event_type)),
 vert AS (SELECT label, vidx, vidx AS x, y, z, radius FROM v),
@@ -318,10 +317,10 @@ def filling_owners(spark, sf_dir):
 CC_STATS = ", n AS (SELECT cc, any_value(label) AS label, min(root) AS root, count(*) AS voxels, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, min(z) AS lo_z, max(z) AS hi_z FROM comp GROUP BY cc) SELECT cc, CAST(label AS BIGINT) AS label, root, voxels, lo_x, hi_x, lo_y, hi_y, lo_z, hi_z FROM n WHERE voxels > 2"
 
 
-@query(WITH + FEW_ORDERS + f", {ROOTS}" + CC_STATS)
+@query(WITH + ORDERS + f", {ORDER_ROOTS}" + CC_STATS)
 def component_stats(spark, sf_dir):
     """Pieces of each label above the dust threshold, with their boxes."""
-    v = order_voxels(spark, sf_dir, 10)
+    v = order_voxels(spark, sf_dir)
     return pipeline.component_stats(v, order_volume(spark, v), dust_threshold=2).drop("volume_id")
 
 
@@ -362,7 +361,7 @@ def face_components(spark, sf_dir):
     return cc.face_components(plane).select("u", "v", (F.col("patch.u") + 24 * F.col("patch.v")).alias("root"))
 
 
-GRAPH = "e AS (SELECT DISTINCT l_orderkey AS e0, 1000000000 + l_partkey AS e1 FROM lineitem WHERE l_quantity >= 49)"
+GRAPH = "e AS (SELECT DISTINCT l_orderkey AS e0, 1000000000 + l_partkey AS e1 FROM lineitem)"
 
 
 @query(WITH + GRAPH + ", nb AS MATERIALIZED (SELECT e0 AS a, e1 AS b FROM e UNION SELECT e1, e0 FROM e), t(id, root) USING KEY (id) AS (SELECT DISTINCT a, a FROM nb UNION SELECT nb.b, min(t.root) FROM t JOIN nb ON nb.a = t.id JOIN recurring.t r ON r.id = nb.b WHERE t.root < r.root GROUP BY nb.b) SELECT id AS vidx, root AS part FROM t")

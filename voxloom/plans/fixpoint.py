@@ -9,21 +9,28 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
-#: Edges that one task takes at once.
-FEW_EDGES = 1 << 18
+#: Edges that a task holds at once while it shortens chains before the joins.
+HELD_EDGES = 1 << 17
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a session that runs in one process may do
+    without, and gets a temporary folder."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="voxloom-")
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one
-    where that is unset.  Cuts the lineage, and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder.  Cuts the lineage, and survives lost executors."""
     spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="voxloom-")
-    path = f"{base.rstrip('/')}/voxloom-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/voxloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,46 +51,52 @@ def _print_of(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """(node, root) of few edges, by union-find."""
-    kind = edges.schema["a"].dataType
-    schema = StructType([StructField("node", kind), StructField("root", kind)])
-    arrow = to_arrow_schema(schema)
+def shortened(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: each task replaces every ``HELD_EDGES`` of its edges by stars around the least
+    nodes that these edges alone connect."""
+    arrow = to_arrow_schema(edges.schema)
+    names = [f.name for f in kind.fields] if isinstance(kind := edges.schema["a"].dataType, StructType) else None
+    plain = lambda n: tuple(n.values()) if names else n
+    shown = lambda n: dict(zip(names, n)) if names else n
 
-    def run(batches):
+    def stars(pairs: list[tuple]) -> pa.RecordBatch:
         parent: dict = {}
 
         def find(n):
             while (up := parent.setdefault(n, n)) != n:
-                parent[n] = parent[up]
-                n = parent[n]
+                parent[n] = n = parent[up]
             return n
 
-        plain = lambda n: tuple(n.values()) if isinstance(n, dict) else n
-        names = [f.name for f in kind.fields] if isinstance(kind, StructType) else None
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        linked = [(root, n) for n in parent if (root := find(n)) != n]
+        return pa.RecordBatch.from_arrays([pa.array([shown(x[i]) for x in linked], arrow[i].type) for i in (0, 1)], schema=arrow)
+
+    def run(batches):
+        held: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                a, b = find(plain(row["a"])), find(plain(row["b"]))
-                parent[max(a, b)] = min(a, b)
-        shown = lambda n: dict(zip(names, n)) if names else n
-        nodes = sorted(parent)
-        yield pa.RecordBatch.from_arrays([pa.array([shown(n) for n in nodes], arrow[0].type), pa.array([shown(find(n)) for n in nodes], arrow[1].type)], schema=arrow)
+                held.append((plain(row["a"]), plain(row["b"])))
+                if len(held) >= HELD_EDGES:
+                    yield stars(held)
+                    held = []
+        yield stars(held)
 
-    return edges.coalesce(1).mapInArrow(run, schema)
+    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the component's least node.
 
-    Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain; ``FEW_EDGES``
-    edges (counted) or less are done in one task."""
+    Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain.  The
+    least neighbours are a table of their own, so that the join with them may be split where a node has very many edges."""
     now, before = reliable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
-    if now.count() <= FEW_EDGES:
-        return _in_one_task(now)
+    now = reliable(shortened(now))
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a AND m <> b").select(F.col("m").alias("a"), "b").distinct()
+        least = reliable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = reliable(both.join(least, "a").where("b > a AND m <> b").select(F.col("m").alias("a"), "b").distinct())
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         now = reliable(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
         if (state := _print_of(now)) == before:

@@ -138,10 +138,9 @@ def speckles(spark: SparkSession) -> DataFrame:
     return generated(spark, (24, 24, 24), label)
 
 
-def lineitem_voxels(lineitem: DataFrame, suppliers_below: int | None = None) -> DataFrame:
+def lineitem_voxels(lineitem: DataFrame) -> DataFrame:
     """Voxels from a fact table: order, supplier and quantity as coordinates, the return flag as label."""
-    rows = lineitem if suppliers_below is None else lineitem.where(F.col("l_suppkey") < suppliers_below)
-    raw = rows.select((F.col("l_orderkey") % 64).alias("x"), F.col("l_suppkey").cast("long").alias("y"), (F.col("l_quantity").cast("long") - 1).alias("z"), F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END").alias("label"))
+    raw = lineitem.select((F.col("l_orderkey") % 64).alias("x"), F.col("l_suppkey").cast("long").alias("y"), (F.col("l_quantity").cast("long") - 1).alias("z"), F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END").alias("label"))
     cells = raw.groupBy("x", "y", "z").agg(F.min("label").cast("long").alias("label"))
     size = raw.agg((F.max("y") + 1).alias("sy"))
     return cells.crossJoin(F.broadcast(size)).select(F.lit(0).cast("long").alias("volume_id"), flat_index("x", "y", "z", F.lit(64), "sy").alias("vid"), F.col("x").cast("long").alias("x"), "y", "z", "label")  # one row
