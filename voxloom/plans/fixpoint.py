@@ -46,9 +46,10 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: C
     raise RuntimeError("the loop did not settle")
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) are stars: no node has an edge to and one from it, or two to it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(0).alias("to")), F.struct(F.col("b").alias("n"), F.lit(1).alias("to")))).alias("e"))
+    return ends.groupBy("e.n").agg(F.sum("e.to").alias("to"), F.min("e.to").alias("least")).where("to > 1 OR (to = 1 AND least = 0)").isEmpty()
 
 
 def shortened(edges: DataFrame) -> DataFrame:
@@ -91,18 +92,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain.  The
     least neighbours are a table of their own, so that the join with them may be split where a node has very many edges."""
-    now, before = reliable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
-    now = reliable(shortened(now))
+    now = reliable(shortened(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     for _ in range(rounds):
+        if settled(now):
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = reliable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = reliable(both.join(least, "a").where("b > a AND m <> b").select(F.col("m").alias("a"), "b").distinct())
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         now = reliable(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
-        if (state := _print_of(now)) == before:
-            roots = now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
-        before = state
     raise RuntimeError("components did not settle")
 
 
