@@ -1,9 +1,14 @@
 """BPE encoding by speculation and verification, and decoding.
 
 A word is first cut greedily into its longest vocabulary entries.  Byte-pair merging is local: a sequence of tokens is
-the merge result of their concatenation exactly if that holds for every adjacent pair.  So the pairs of all new words of
-a slice of text are tested together against a table of known pairs (NumPy ``isin``); pairs not seen before are settled
-once by exact merging of the two tokens; and only words with a failing pair are merged exactly as a whole.
+the merge result of their concatenation exactly if that holds for every adjacent pair, and for a lone token itself.  So
+the pairs of all new words of a slice of text are tested together against a table of known pairs (NumPy ``isin``); pairs
+and lone tokens not seen before are settled once by exact merging; and only words with a failing test are merged exactly
+as a whole.
+
+Texts are cut into words by the file's own pattern.  Tables of character classes, cases and compositions differ between
+versions of Unicode; so a text with a character outside ``PLAIN``, whose classes are the same in all of them, is
+normalised and cut by the tokenizers library itself.
 
 Results equal those of the tokenizers library for files with BPE model, end-of-word suffix, NFC and lower-case
 normalisation, and no decoder (tokens joined by a space).  Defined results: null counts as empty text, which has no
@@ -22,11 +27,15 @@ from functools import lru_cache
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from voxloom.llm.common import arrow_map, texts_as_bytes
 
 #: Distinct words whose encodings a worker keeps; later ones are kept for one slice of text.  A bound on memory only.
 WORDS_KEPT = 300_000
+#: Characters whose letters, numbers, cases and compositions don't depend on the version of Unicode: Latin, Greek,
+#: Cyrillic, common punctuation and signs, kana, Han, Hangul.
+PLAIN = regex.compile("[\\x00-\u0377\u0384-\u038a\u038c\u038e-\u03a1\u03a3-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fa5\uac00-\ud7a3]*+")
 #: Sorts after every merge.
 NO_MERGE = (1 << 60, -1)
 
@@ -61,8 +70,11 @@ class WordBpe:
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if self.special else None
         self.alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.library = Tokenizer.from_file(path)
         self.longest = max(map(len, self.vocab))
         self.good, self.bad = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.lone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.verified = self.merged = 0
 
@@ -127,21 +139,20 @@ class WordBpe:
             at = stop
         return out
 
+    def stands(self, ids: list[int]) -> bool:
+        """Whether exact merging of the tokens' text gives these tokens."""
+        text = "".join([self.tokens[i] for i in ids])
+        chars = [*(text.removesuffix(self.suffix) if self.suffix else text)]
+        if len(chars) < len(text):
+            chars[-1] += self.suffix
+        return self.merge([self.vocab[c] for c in chars]) == ids
+
     def settle(self, pairs: np.ndarray) -> None:
         """Exact merging of pairs not seen before; from then on they are known as good or bad."""
         new = np.setdiff1d(pairs, np.concatenate((self.good, self.bad)))
-        if not len(new):
-            return
-        size, ok = len(self.tokens), np.zeros(len(new), bool)
-        for k, code in enumerate(new.tolist()):
-            pair = list(divmod(code, size))
-            text = self.tokens[pair[0]] + self.tokens[pair[1]]
-            body = text[: len(text) - len(self.suffix)] if self.suffix and text.endswith(self.suffix) else text
-            chars = [*body]
-            if body != text:
-                chars[-1] += self.suffix
-            ok[k] = self.merge([self.vocab[c] for c in chars]) == pair
-        self.good, self.bad = np.union1d(self.good, new[ok]), np.union1d(self.bad, new[~ok])
+        if len(new):
+            ok = np.array([self.stands([*divmod(code, len(self.tokens))]) for code in new.tolist()])
+            self.good, self.bad = np.union1d(self.good, new[ok]), np.union1d(self.bad, new[~ok])
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Encodes new words: proposals, one vectorised test of all their adjacent pairs, exact merging of failures."""
@@ -154,8 +165,10 @@ class WordBpe:
         self.settle(np.unique(pairs))
         failing = np.zeros(len(words), bool)
         failing[of[:-1][inside][~np.isin(pairs, self.good)]] = True
-        for i in np.flatnonzero(lengths == 1):  # a lone token has no pair to test
-            failing[i] = len(words[i]) > 1
+        for i in np.flatnonzero(lengths == 1).tolist():  # a lone token has no pair to test
+            if (token := proposals[i][0]) not in self.lone:
+                self.lone[token] = self.stands([token])
+            failing[i] = not self.lone[token]
         self.verified += int((~failing).sum())
         self.merged += int(failing.sum())
         for i in np.flatnonzero(failing):
@@ -174,6 +187,9 @@ class WordBpe:
 
     def split_plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if not PLAIN.fullmatch(text):
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in cut]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form of sigma
         return self.words.findall(text.lower())
 

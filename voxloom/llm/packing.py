@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -36,13 +37,18 @@ END_ID = 1
 #: Tokens that wait in a task before they are packed, and tokens of a step group.
 BUFFER_TOKENS, STEP_TOKENS = 2 << 20, 64 << 10
 
+#: Characters of a run that only the tokenizers library takes.
+LONG_RUN = 20_000
+RUN = re.compile(rf"\s{{{LONG_RUN}}}|\w{{{LONG_RUN}}}|[^\s\w]{{{LONG_RUN}}}")
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long"
 
 
 @lru_cache(maxsize=2)
 def byte_tokenizer(json_path: str, ranks_path: str | None, pattern: str) -> Callable[[str], list[int]]:
     """Ids as the tokenizers library gives them.  The same vocabulary as a rank file is faster; texts with special
-    tokens in them go to the library itself."""
+    tokens in them go to the library itself, and so do those with a long run of one kind of character, for which the
+    faster one needs a stack as deep as the run."""
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(json_path)
@@ -56,7 +62,13 @@ def byte_tokenizer(json_path: str, ranks_path: str | None, pattern: str) -> Call
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     special = [t.content for t in plain.get_added_tokens_decoder().values()]
-    return lambda text: plain.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        if any(s in text for s in special) or (len(text) > LONG_RUN and RUN.search(text)):
+            return plain.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 class Packer:

@@ -2,14 +2,15 @@
 
 Rules on a text alone: counts of words, characters, symbols, repeated lines and repeated three-word windows.  Across
 documents: lines are normalised (lower case, digit runs as 0, white space collapsed) and hashed; a line is
-boilerplate, and is removed, if it stands in more distinct documents of its host than a share of them (but at least
-``MIN_DOCS``) or than ``max_docs``, whichever is less; a document that loses more than
-``max_removed`` of its words to that is depleted and rejected.  Copies count as one document: documents are told apart
-by the hash of their whole normalised text, so that a group of copies doesn't make its own text boilerplate (removing
-copies is for near-duplicate stages); texts that differ in any line are different documents.  Lines count whatever their length: a passage that fills one line is a line.
+boilerplate, and is removed, if it stands in more than ``max_percent`` of its host's distinct documents and in more than
+``min_docs`` of them; a document that loses more than ``max_removed_percent`` of its words to that is depleted and
+rejected.  Documents are told apart by the hash of their whole text: exact copies count as one document, so that a group
+of copies doesn't make its own text boilerplate (removing copies is for near-duplicate stages), and texts that differ in
+anything are different documents.  Lines count whatever their length: a passage that fills one line is a line.
 
 Per-line rows are pre-aggregated before each shuffle, first to distinct (host, line, document), so a line or host that
-holds a third of all rows spreads over its documents.  The texts themselves are never shuffled by the query.
+holds a third of all rows spreads over its documents.  The texts themselves are never shuffled by the query, but for
+those that a line is removed from.
 
 Defined results: null text has no words and fails the base rules; a null host is the empty host; rows are told apart by
 id, host and text together, so repeated ids with different texts are judged apart and repeated rows alike; other
@@ -25,9 +26,9 @@ from voxloom.llm.common import shared_dir, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-MAX_DOCS, MAX_REMOVED = 100, 0.7
-#: Share of a host's distinct documents above which a line is boilerplate, and the documents that it needs to exceed.
-MAX_SHARE, MIN_DOCS = 0.01, 10
+#: A line is boilerplate above this share of its host's distinct documents, and above so many of them.
+MAX_PERCENT, MIN_DOCS = 1, 10
+MAX_REMOVED_PERCENT = 70
 SALTS = 64
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
@@ -88,20 +89,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     )
 
 
-def removed_lines(docs: DataFrame, folder: str, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(__k1, __k2, lines, removed_words) for each document with boilerplate: the hashes of its lines above the limit,
+def removed_lines(docs: DataFrame, folder: str, max_percent: int = MAX_PERCENT, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(__k1, __k2, lines, removed_words) for each document with boilerplate: the hashes of its lines above the limits,
     and the words that go with them."""
     own = _keyed(docs.select(id_col, text_col, host_col), id_col, text_col, host_col)
-    lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text")).withColumn("__lines", _fenced(_LINES)).drop("text")
-    doc = F.expr("xxhash64(transform(__lines, x -> x.h))").alias("doc")
+    lines = own.select("__k1", "__k2", "__host", F.col("__text").alias("text"), F.xxhash64("__text").alias("doc")).withColumn("__lines", _fenced(_LINES)).drop("text")
     rows = lines.select("__k1", "__k2", "__host", F.posexplode("__lines").alias("pos", "x"))
     rows = rows.select("__k1", "__k2", "__host", "pos", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     # a row of each document that stands for its host, without a line, counts the host's documents on the way
-    of_host = lines.select("__host", doc, F.explode(F.expr("if(size(__lines) = 0, array(), concat(array(cast(null AS bigint)), transform(__lines, x -> x.h)))")).alias("h"))
-    floor = min(max_docs, MIN_DOCS)
-    counts = written(of_host.distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > floor), "line-counts", folder)
-    limits = counts.where("h IS NULL").select("__host", F.least(F.lit(max_docs), F.greatest(F.lit(floor), F.lit(MAX_SHARE) * F.col("docs"))).alias("__limit"))
-    frequent = counts.where("h IS NOT NULL").join(limits, "__host").where("docs > __limit").select("__host", "h")
+    of_host = lines.select("__host", "doc", F.explode(F.expr("if(size(__lines) = 0, array(), concat(array(cast(null AS bigint)), transform(__lines, x -> x.h)))")).alias("h"))
+    counts = written(of_host.distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs), "line-counts", folder)
+    hosts = counts.where("h IS NULL").select("__host", F.col("docs").alias("__all"))
+    frequent = counts.where("h IS NOT NULL").join(hosts, "__host").where(F.col("docs") * 100 > F.col("__all") * max_percent).select("__host", "h")
     # a frequent line may stand in a third of all documents: its rows meet it in as many places as there are salts
     salted = frequent.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = rows.select("__k1", "__k2", "__host", "pos", "h", "n", F.pmod("__k2", F.lit(SALTS)).alias("__salt")).join(salted, ["__host", "h", "__salt"])
@@ -109,34 +108,35 @@ def removed_lines(docs: DataFrame, folder: str, max_docs: int = MAX_DOCS, id_col
     return hit.groupBy("__k1", "__k2").agg(F.collect_set("h").alias("lines"), F.sum("n").alias("removed_words"))
 
 
-def _measured(docs: DataFrame, names: list[str], max_docs: int, max_removed: float, id_col: str, text_col: str, host_col: str) -> DataFrame:
+def _measured(docs: DataFrame, names: list[str], limits: tuple[int, int, int], id_col: str, text_col: str, host_col: str) -> DataFrame:
     """The features of every row, base_failed, removed_words and kept.  The documents with boilerplate are a
     table of their own."""
     folder = shared_dir(docs.sparkSession)
-    removed = written(removed_lines(docs, folder, max_docs, id_col, text_col, host_col), "removed-lines", folder)
+    max_percent, min_docs, max_removed_percent = limits
+    removed = written(removed_lines(docs, folder, max_percent, min_docs, id_col, text_col, host_col), "removed-lines", folder)
     keyed = _keyed(docs, id_col, text_col, host_col).drop("__host").withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text")
     # few documents have boilerplate: a Bloom filter of their keys spares the others, and their texts, the shuffle
     marked = bloom.mark(keyed, F.col("__k1"), bloom.build(removed, F.col("__k1"), removed.count()))
     exact = marked.where("__hit").join(removed, ["__k1", "__k2"], "left")
     clear = marked.where("NOT __hit").withColumns({"lines": F.lit(None).cast("array<bigint>"), "removed_words": F.lit(None).cast("long")})
     rows = text_features(exact.unionByName(clear)).withColumn("base_failed", base_failed())
-    depleted = F.coalesce(F.col("removed_words"), F.lit(0)) > max_removed * F.col("n_words")
+    depleted = F.coalesce(F.col("removed_words"), F.lit(0)) * 100 > F.col("n_words") * max_removed_percent
     return rows.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, max_percent: int = MAX_PERCENT, min_docs: int = MIN_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row per document: its features, base_failed, kept and removed_words."""
-    rows = _measured(docs.select(id_col, text_col, host_col), [id_col], max_docs, max_removed, id_col, text_col, host_col)
+    rows = _measured(docs.select(id_col, text_col, host_col), [id_col], (max_percent, min_docs, max_removed_percent), id_col, text_col, host_col)
     return rows.select(F.col(id_col).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"))
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, max_percent: int = MAX_PERCENT, min_docs: int = MIN_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The kept rows of ``docs`` without their boilerplate lines; ``chars_col`` follows where it is not null."""
     # columns go by number, so that none clashes with the names used here
     safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
     of = dict(zip(docs.columns, safe.columns))
     names = ["__was" if c == text_col else of[c] for c in docs.columns]
-    rows = _measured(safe, names, max_docs, max_removed, of[id_col], of[text_col], of[host_col]).where("kept")
+    rows = _measured(safe, names, (max_percent, min_docs, max_removed_percent), of[id_col], of[text_col], of[host_col]).where("kept")
     line_hash = "xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
     left = F.expr(f"if(lines IS NULL, __was, array_join(filter(split(__was, '\\n', -1), l -> NOT array_contains(lines, {line_hash})), '\\n'))")
     rows = rows.withColumn("__new", F.when(F.spark_partition_id() < 0, F.lit(None)).otherwise(left))

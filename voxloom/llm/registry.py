@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_chat.adjacent_pairs(table(spark, sf_dir, "conversations"))
+    return preference_chat.answered_otherwise(table(spark, sf_dir, "conversations"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +29,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Verdict, and host with path; fixed values of the query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Host labels whose URLs make up the list that the query blocks.
-LISTED_LABELS = ("cheap-pills", "free-bets")
+#: Host labels and first hexadecimal digits of the canonical URL's MD5 that put a URL on the list: whole hosts, and single
+#: URLs of any host.
+LISTED_LABELS, LISTED_DIGITS = ("cheap-pills", "free-bets"), "0"
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.hosts_listed(pages, LISTED_LABELS), URL_RULES)
+    return url_filter.judge(pages, url_filter.listed_urls(pages, LISTED_LABELS, LISTED_DIGITS), URL_RULES)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,24 +69,31 @@ def oracle_sql() -> dict[str, str]:
 
 OP2_SQL = """
 WITH t AS (
-    SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
-        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn,
-        '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown
+    SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS rn
     FROM conversations WHERE conv_id IS NOT NULL),
-m AS (
-    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.rn, b.rn) AS rn, coalesce(a.shown = b.shown, false) AS same
-    FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.rn = b.rn),
-p AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN rn END) - 1, max(rn)) AS n FROM m GROUP BY pair_id),
-r AS (
-    SELECT t.*, p.n, CAST(sum(length(shown)) OVER (PARTITION BY conv_id, rn > n ORDER BY rn) AS BIGINT) - length(shown) AS start_at
-    FROM t JOIN p USING (pair_id))
-SELECT pair_id, CAST(max(n) AS BIGINT) AS n_prefix_turns,
+l AS (SELECT conv_id, k, max(rn) AS rn, arg_max(text, rn) AS text FROM t WHERE role = 'assistant' GROUP BY conv_id, k),
+s AS (
+    SELECT conv_id, rn, role, text, 0 AS side FROM t
+    UNION ALL
+    SELECT t.conv_id, t.rn, t.role, CASE WHEN l.rn = t.rn THEN coalesce(o.text, '') ELSE t.text END, 1
+    FROM t LEFT JOIN l ON l.conv_id = t.conv_id LEFT JOIN l o ON o.k = t.k AND o.conv_id <> t.conv_id),
+w AS (
+    SELECT *, replace(replace(role, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS r,
+        '<|im_start|>' || r || chr(10) || replace(replace(text, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10) AS shown FROM s),
+p AS (
+    SELECT conv_id, coalesce(min(CASE WHEN x <> y THEN rn END) - 1, max(rn)) AS n
+    FROM (SELECT conv_id, rn, max(text) FILTER (side = 0) AS x, max(text) FILTER (side = 1) AS y FROM s GROUP BY conv_id, rn) GROUP BY conv_id),
+f AS (
+    SELECT w.*, n, CAST(sum(length(shown)) OVER (PARTITION BY conv_id, side, rn > n ORDER BY rn) AS BIGINT) - length(shown) AS start_at
+    FROM w JOIN p USING (conv_id))
+SELECT conv_id AS pair_id, CAST(max(n) AS BIGINT) AS n_prefix_turns,
     coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 0 AND rn <= n), '') AS prompt,
     coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 0 AND rn > n), '') AS chosen,
     coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 1 AND rn > n), '') AS rejected,
-    coalesce(string_agg((start_at + 13 + length(role)) || ':' || (start_at + length(shown) - 1), ',' ORDER BY rn) FILTER (side = 0 AND rn > n AND role = 'assistant'), '') AS chosen_spans,
-    coalesce(string_agg((start_at + 13 + length(role)) || ':' || (start_at + length(shown) - 1), ',' ORDER BY rn) FILTER (side = 1 AND rn > n AND role = 'assistant'), '') AS rejected_spans
-FROM r GROUP BY pair_id
+    coalesce(string_agg((start_at + 13 + length(r)) || ':' || (start_at + length(shown) - 1), ',' ORDER BY rn) FILTER (side = 0 AND rn > n AND role = 'assistant'), '') AS chosen_spans,
+    coalesce(string_agg((start_at + 13 + length(r)) || ':' || (start_at + length(shown) - 1), ',' ORDER BY rn) FILTER (side = 1 AND rn > n AND role = 'assistant'), '') AS rejected_spans
+FROM f GROUP BY conv_id
 """
 
 OP5_SQL = r"""
@@ -98,7 +106,7 @@ h AS (
             lambda p: p <> '' AND NOT (starts_with(p, 'utm_') OR starts_with(p, 'fbclid=') OR starts_with(p, 'gclid=') OR starts_with(p, 'ref=')))), '&') AS k FROM u),
 c AS (
     SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN k = '' THEN '' ELSE '?' || k END END AS canonical FROM h),
-l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['cheap-pills', 'free-bets']) AND canonical IS NOT NULL),
+l AS (SELECT DISTINCT canonical FROM c WHERE (list_has_any(string_split(host, '.'), ['cheap-pills', 'free-bets']) OR starts_with(md5(canonical), '0')) AND canonical IS NOT NULL),
 f AS (
     SELECT page_id, host, path, canonical, canonical IN (SELECT canonical FROM l) AS member,
         CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -118,20 +126,20 @@ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lam
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 g2 AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g2) GROUP BY doc_id),
-ln AS (SELECT doc_id, host, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+ln AS (SELECT doc_id, host, text, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
         trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
-    FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+    FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 lw AS (SELECT * FROM ln WHERE n > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY doc_id),
-sk AS (SELECT doc_id, arg_max(norm, (n, norm)) AS doc FROM lw GROUP BY doc_id),
-fr AS (SELECT host, norm FROM lw JOIN sk USING (doc_id) WHERE n <= 20 GROUP BY host, norm HAVING count(DISTINCT doc) > 100),
-rm AS (SELECT doc_id, sum(n) AS removed_words FROM lw SEMI JOIN fr USING (host, norm) WHERE n <= 20 GROUP BY doc_id),
+hs AS (SELECT host, count(DISTINCT text) AS all_docs FROM lw GROUP BY host),
+fr AS (SELECT host, norm FROM lw JOIN hs USING (host) GROUP BY host, norm, all_docs HAVING count(DISTINCT text) > 10 AND 100 * count(DISTINCT text) > all_docs),
+rm AS (SELECT doc_id, sum(n) AS removed_words FROM lw SEMI JOIN fr USING (host, norm) GROUP BY doc_id),
 f AS (
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
     FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rm USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed_words > 0.7 * n_words AS kept
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * removed_words > 70 * n_words AS kept
 FROM f
 """

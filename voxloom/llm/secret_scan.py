@@ -18,6 +18,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -60,11 +61,11 @@ def entropy(s: str) -> float:
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     """Candidates that overlap no strong span."""
     taken = sorted((a, b) for a, b, _ in strong)
-    starts = [a for a, _ in taken]
+    starts, reach = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
 
     def free(a: int, b: int) -> bool:
-        i = bisect_left(starts, b)
-        return all(taken[k][1] <= a for k in range(max(0, i - 3), i))
+        """No strong span that starts before ``b`` reaches beyond ``a``."""
+        return reach[bisect_left(starts, b)] <= a
 
     found = [(m.start(), m.end(), "identifier") for m in WEAK_ID.finditer(text)]
     if found or any(k == "access" for _, _, k in strong):  # a key is reported near an identifier only
@@ -81,21 +82,22 @@ def linked(text: str, strong: list[Span], weak: list[Span], radius: int | None =
     if radius is None:
         radius = len(text)
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
-    of: dict[str, list[tuple[int, int, int]]] = {"id": [], "secret": [], "endpoint": []}
+    starts: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
+    ends: dict[str, list[tuple[int, int]]] = {part: [] for part in starts}
     for a, b, kind in strong + weak:
-        of[PARTS[kind]].append((bisect_right(breaks, a), a, b))
-    for spans in of.values():
+        scope = bisect_right(breaks, a)
+        starts[PARTS[kind]].append((scope, a))
+        ends[PARTS[kind]].append((scope, b))
+    for spans in (*starts.values(), *ends.values()):
         spans.sort()
-    widest = {part: max((b - a for _, a, b in spans), default=0) for part, spans in of.items()}
 
     def near(part: str, a: int, b: int) -> bool:
-        scope, spans = bisect_right(breaks, a), of[part]
-        i = bisect_left(spans, (scope, a - radius - widest[part], 0))
-        while i < len(spans) and spans[i][0] == scope and spans[i][1] <= b + radius:
-            if spans[i][2] >= a - radius and (spans[i][1] >= b or spans[i][2] <= a):
-                return True
-            i += 1
-        return False
+        """Whether a span of the part ends at or before ``a``, or starts at or after ``b``, in the scope and the radius:
+        the nearest on each side decides."""
+        scope = bisect_right(breaks, a)
+        i, j = bisect_right(ends[part], (scope, a)) - 1, bisect_left(starts[part], (scope, b))
+        before, after = ends[part][i] if i >= 0 else (-1, 0), starts[part][j] if j < len(starts[part]) else (-1, 0)
+        return (before[0] == scope and before[1] >= a - radius) or (after[0] == scope and after[1] <= b + radius)
 
     needs = {"identifier": ("secret",), "key": ("id",), "endpoint": ("id", "secret")}
     return [(a, b, kind) for a, b, kind in weak if all(near(part, a, b) for part in needs[kind])]

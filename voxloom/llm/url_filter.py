@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-The filter (module ``bloom``) is built by a partial bit-or per block and has a fixed size bound; with longer lists only
-its rate of false positives rises.  URLs that pass it go to an exact hash join with the list, which removes the false positives;
+The filter (module ``bloom``) is built by a partial bit-or per block and broadcast up to a fixed size; for a longer list
+there is none, and all URLs go to the exact join.  URLs that pass it go to an exact hash join with the list, which removes the false positives;
 all others skip the join.  Everything is DataFrame functions.
 
 Rules (host, path) fit a host and all its subdomains where the URL's path starts with the rule's; the longest fitting
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxloom.llm import bloom
 
 TRACKING = ("utm_", "fbclid=", "gclid=", "ref=")
+SALTS = 8
 Rule = tuple[str, str]
 
 
@@ -68,12 +69,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str =
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).withColumns({"rule": rule, "__verdict": verdict})
     rows = rows.select("page_id", "host", "path", "rule", "__verdict", "canonical", F.when(F.col("rule").isNull(), F.col("canonical")).alias("__asked"))
     possible = bloom.mark(rows, F.col("__asked"), bloom.build(keys, F.col("canonical"), keys.count())).drop("__asked")
-    exact = possible.where("__hit").join(keys.withColumn("listed", F.lit(True)), "canonical", "left").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.coalesce("listed", F.lit(False)).alias("listed"))
+    # a very common URL meets its key in as many places as there are salts
+    salted = keys.select("canonical", F.lit(True).alias("listed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    asked = possible.where("__hit").withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    exact = asked.join(salted, ["canonical", "__salt"], "left").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.coalesce("listed", F.lit(False)).alias("listed"))
     clear = possible.where("NOT __hit").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.when(F.col("rule").isNull(), F.lit(False)).alias("listed"))
     return exact.union(clear).withColumn("verdict", F.coalesce("__verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("__verdict")
 
 
-def hosts_listed(pages: DataFrame, labels: tuple[str, ...], url_col: str = "url") -> DataFrame:
-    """(canonical): the URLs among ``pages`` whose host has one of ``labels``; a list for tests and queries."""
+def listed_urls(pages: DataFrame, labels: tuple[str, ...], digits: str, url_col: str = "url") -> DataFrame:
+    """(canonical): a list for tests and queries.  Of the URLs of ``pages``, those whose host has one of ``labels`` or whose
+    MD5 starts with ``digits``; and as many that no page has."""
     rows = with_parts(pages.select(F.col(url_col).cast("string").alias("url")))
-    return rows.where(F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))).select("canonical").distinct()
+    named = F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))
+    own = rows.where(named | F.md5(F.col("canonical").cast("binary")).startswith(digits)).select("canonical").distinct()
+    return own.select(F.explode(F.array(F.col("canonical"), F.concat("canonical", F.lit("/#gone")))).alias("canonical"))
