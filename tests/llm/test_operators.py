@@ -78,7 +78,33 @@ def test_language_of_nothing(no_docs, docs):
 
 def test_only_letters_make_words():
     assert language_id.words_of("²½ 12 _ ⅷ!") == [] and language_id.words_of("Aß²c Ω") == ["aß", "c", "ω"]
-    assert [len(w) for w in language_id.words_of("x" * 50)] == [24, 24, 2]
+    assert [len(w) for w in language_id.words_of("x" * 50)] == [50]
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    vocab, _ = language_id.pieces(PIECES)
+    probs = np.random.default_rng(3).random((len(vocab) + 1, 3)) / len(vocab)
+    words = ["thehousestandsontheotherside", "日本語の文章には空白がありません", "straße", "a" * 40]
+    lattice = language_id.Lattice.of(words, PIECES)
+    assert np.allclose([language_id.long_total(w, np.log(probs), PIECES) for w in words], np.log(lattice.totals(probs)), rtol=1e-12)
+    counts, into = np.random.default_rng(4).random((len(words), 3)), np.zeros_like(probs)
+    for w, n in zip(words, counts):
+        language_id.long_expected(w, np.log(probs), PIECES, n, into)
+    assert np.allclose(into, lattice.expected(probs, counts))
+    huge = language_id.Model(["a", "b", "c"], probs, PIECES).predict(["xyz" * 30_000, f"the house {words[0]}"])
+    assert all(x in "abc" and 0 <= p <= 1 for x, p in huge)
+    monkeypatch.setattr(language_id, "SHORT", 2)  # all words one by one
+    assert np.allclose(language_id.Model(["a", "b", "c"], probs, PIECES).predict([f"the house {words[0]}"])[0][1], huge[1][1])
+
+
+def test_learning_is_alike_for_short_and_long_words(docs, monkeypatch):
+    one = language_id.train(docs.where("doc_id < 6"), PIECES)
+    monkeypatch.setattr(language_id, "SHORT", 3)
+    assert np.allclose(one.probs, language_id.train(docs.where("doc_id < 6"), PIECES).probs)
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "MAX_LANGUAGES", 1)
+        with pytest.raises(ValueError):
+            language_id.train(docs, PIECES)
 
 
 def test_language_words_beyond_the_store_are_scored_alike(monkeypatch):
@@ -485,16 +511,38 @@ def test_quality_query_uses_no_python(docs):
 def test_stream_round_trip(n):
     payload = transport_stream.padded(random.Random(n).randbytes(n))
     got = transport_stream.demux(transport_stream.mux(payload))
-    assert got.payload == payload and got.error is None and got.continuity_errors == 0 and got.stream_type == transport_stream.PRIVATE_DATA
-    assert [u[0] for u in got.units] == [i * transport_stream.UNIT_TICKS for i in range(len(got.units))] and got.units[0][2]
+    assert got.payload == payload and got.error is None and got.total("continuity_errors") == 0
+    (e,) = got.streams
+    assert e.stream_type == transport_stream.PRIVATE_DATA and all(u.whole for u in e.units)
+    assert [u.pts for u in e.units] == [i * transport_stream.UNIT_TICKS for i in range(len(e.units))] and e.units[0].random_access
+
+
+def test_all_streams_of_all_programs_are_read():
+    rng, cut = random.Random(8), lambda m: [m[i : i + 188] for i in range(0, len(m), 188)]
+    payloads = {pid: transport_stream.padded(rng.randbytes(n)) for pid, n in ((0x100, 40_000), (0x101, 200), (0x110, 17_000), (0x1FF, 64))}
+    tables = transport_stream.program_tables({1: [(0x100, 27), (0x101, 15)], 7: [(0x110, 6)]})
+    queues = [cut(transport_stream.packets_of(payloads[pid], pid)) for pid in payloads]  # one is in no program
+    mixed = [tables]
+    while any(queues):
+        mixed.append(rng.choice([q for q in queues if q]).pop(0))
+        mixed += [tables] if rng.random() < 0.02 else []
+    got = transport_stream.demux(b"".join(mixed))
+    assert [(e.program, e.pid, e.stream_type) for e in got.streams] == [(1, 0x100, 27), (1, 0x101, 15), (7, 0x110, 6)] and got.error is None
+    assert all(e.payload == payloads[e.pid] and e.continuity_errors == 0 for e in got.streams)
+    # a packet lost inside one stream's second unit tears that unit and no other
+    at = [i for i, x in enumerate(b for p in mixed for b in cut(p)) if x[1] & 31 == 1 and x[2] == 0][95]
+    torn = transport_stream.demux(b"".join(x for i, x in enumerate(b for p in mixed for b in cut(p)) if i != at))
+    assert [e.continuity_errors for e in torn.streams] == [1, 0, 0]
+    assert [[u.whole for u in e.units] for e in torn.streams] == [[True, False, True], [True], [True, True]]
+    assert torn.streams[1].payload == payloads[0x101] and len(torn.streams[0].payload) < len(payloads[0x100])
 
 
 def test_damaged_streams_are_reported():
     packets = lambda m: [m[i : i + 188] for i in range(0, len(m), 188)]
     good = packets(transport_stream.mux(bytes(range(256)) * 64))
-    assert transport_stream.demux(b"".join(good[:10] + good[11:])).continuity_errors == 1
+    assert transport_stream.demux(b"".join(good[:10] + good[11:])).total("continuity_errors") == 1
     again = transport_stream.demux(b"".join(good[:10] + [good[9]] + good[10:]))
-    assert again.repeated == 1 and again.continuity_errors == 0 and again.payload == bytes(range(256)) * 64
+    assert again.total("repeated") == 1 and again.total("continuity_errors") == 0 and again.payload == bytes(range(256)) * 64
     assert transport_stream.demux(b"".join(good[1:])).error == "program tables"
     assert transport_stream.demux(b"x" + b"".join(good)[1:]).error == "sync" and transport_stream.demux(b"abc").error == transport_stream.demux(b"").error == "length"
     assert transport_stream.crc32_mpeg(b"123456789") == 0x0376E6E7

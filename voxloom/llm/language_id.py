@@ -4,13 +4,14 @@ Each language has its own probabilities of the pieces of one fixed public vocabu
 sum over all its segmentations into pieces (forward algorithm); a text's is the product over its words; the prediction
 is the language with the highest posterior.  Probabilities are learned by expectation maximisation (forward-backward
 over the distinct words of a bounded sample of labelled rows: about ``SAMPLE_CHARS`` characters a language, chosen by a
-hash of the id).  Words are runs of letters in lower case; longer ones are cut every ``WORD_CHARS`` letters.
+hash of id and text).  Words are runs of letters in lower case, of any length: short ones advance together, those of more
+than ``SHORT`` letters one by one in logarithms (their probabilities may be below the least float).
 
 Prediction runs per partition: word scores are kept in each worker, so that a word is scored once however often it
 occurs, and the matrix of a batch of new words advances position by position in NumPy.
 
 Defined results: null text, or one without letters, is ``und`` with score 0; ties go to the first language in order;
-rows without language or text aren't learned from; with no row to learn from every text is ``und``; a null id counts as
+rows without language or text aren't learned from; more than ``MAX_LANGUAGES`` languages are an error; with no row to learn from every text is ``und``; a null id counts as
 an empty one for the split; repeated rows give repeated rows; other columns are ignored.
 """
 
@@ -29,7 +30,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxloom.llm.common import arrow_map, slices
 
 WORD = regex.compile(r"\p{L}+")
-WORD_CHARS, SAMPLE_CHARS, ROUNDS, SMOOTHING, UNKNOWN = 24, 1_500_000, 3, 0.01, 1e-9
+SHORT, SAMPLE_CHARS, ROUNDS, SMOOTHING, UNKNOWN = 24, 1_500_000, 3, 0.01, 1e-9
+#: Languages of one model, which every worker holds.
+MAX_LANGUAGES = 500
 #: Distinct words whose scores a worker keeps; later ones are kept for one slice of text.  A bound on memory only.
 WORDS_KEPT = 200_000
 #: Bytes of text whose words are held at once.
@@ -43,20 +46,60 @@ def pieces(path: str) -> tuple[dict[str, int], frozenset[str]]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = sorted({p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i)).removeprefix("▁").isalpha() and p == p.lower() and len(p) <= WORD_CHARS + 1} | {"▁"})
+    names = sorted({p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i)).removeprefix("▁").isalpha() and p == p.lower()} | {"▁"})
     return {p: i for i, p in enumerate(names)}, frozenset(p[:n] for p in names for n in range(1, len(p) + 1))
 
 
 def words_of(text: str) -> list[str]:
-    words = WORD.findall(text.lower())
-    if any(len(w) > WORD_CHARS for w in words):
-        words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
-    return words
+    return WORD.findall(text.lower())
+
+
+def arcs(s: str, i: int, path: str) -> Iterator[tuple[int, int]]:
+    """(end, piece) of the pieces that start at ``i``; every letter can stand alone, so each word has a segmentation."""
+    vocab, beginnings = pieces(path)
+    single = False
+    for j in range(i + 1, len(s) + 1):
+        part = s[i:j]
+        if part not in beginnings:
+            break
+        if (piece := vocab.get(part)) is not None:
+            yield j, piece
+            single |= j == i + 1
+    if not single:
+        yield i + 1, len(vocab)
+
+
+def long_total(word: str, logs: np.ndarray, path: str) -> np.ndarray:
+    """Log probability of a word in each language; holds no more positions than the longest piece has letters."""
+    s, ahead = "▁" + word, {0: np.zeros(logs.shape[1])}
+    for i in range(len(s)):
+        here = ahead.pop(i)
+        for j, piece in arcs(s, i, path):
+            step = here + logs[piece]
+            ahead[j] = np.logaddexp(ahead[j], step) if j in ahead else step
+    return ahead[len(s)]
+
+
+def long_expected(word: str, logs: np.ndarray, path: str, counts: np.ndarray, into: np.ndarray) -> None:
+    """Adds the expected counts of the pieces of a word, weighted with its count in each language."""
+    s = "▁" + word
+    n = len(s)
+    out = [list(arcs(s, i, path)) for i in range(n)]
+    ahead, behind = np.full((n + 1, logs.shape[1]), -np.inf), np.full((n + 1, logs.shape[1]), -np.inf)
+    ahead[0] = behind[n] = 0
+    for i in range(n):
+        for j, piece in out[i]:
+            ahead[j] = np.logaddexp(ahead[j], ahead[i] + logs[piece])
+    for i in range(n - 1, -1, -1):
+        for j, piece in out[i]:
+            step = behind[j] + logs[piece]
+            behind[i] = np.logaddexp(behind[i], step)
+            into[piece] += counts * np.exp(ahead[i] + step - ahead[n])
 
 
 @dataclass
 class Lattice:
-    """Arcs (word, start, end, piece) of all segmentations of a batch of words, sorted by end and by start."""
+    """Arcs (word, start, end, piece) of all segmentations of a batch of short words, sorted by end and by start."""
 
     count: int
     word: np.ndarray
@@ -67,23 +110,12 @@ class Lattice:
 
     @classmethod
     def of(cls, words: list[str], path: str) -> Lattice:
-        vocab, beginnings = pieces(path)
-        unknown = len(vocab)
         w, a, b, p = [], [], [], []
         for k, word in enumerate(words):
             s = "▁" + word
-            n = len(s)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, n + 1):
-                    part = s[i:j]
-                    if part not in beginnings:
-                        break
-                    if (piece := vocab.get(part)) is not None:
-                        w.append(k), a.append(i), b.append(j), p.append(piece)
-                        single |= j == i + 1
-                if not single:  # every letter can stand alone, so each word has a segmentation
-                    w.append(k), a.append(i), b.append(i + 1), p.append(unknown)
+            for i in range(len(s)):
+                for j, piece in arcs(s, i, path):
+                    w.append(k), a.append(i), b.append(j), p.append(piece)
         as_ints = lambda x: np.array(x, dtype=np.int64)
         return cls(len(words), as_ints(w), as_ints(a), as_ints(b), as_ints(p), as_ints([len(x) + 1 for x in words]))
 
@@ -137,14 +169,21 @@ class Model:
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
         split = [words_of(t) for t in texts]
-        if fresh := list(dict.fromkeys(w for words in split for w in words if w not in self.index)):
+        known, long = self.index, dict.fromkeys(w for words in split for w in words if len(w) > SHORT)
+        if fresh := list(dict.fromkeys(w for words in split for w in words if w not in known and w not in long)):
             self.learn_words(fresh)
+        logs = np.log(self.probs) if long else None
+        for w in long:  # never stored: they are rare, and of any size
+            long[w] = long_total(w, logs, self.path)
         out = []
         for words in split:
             if not words:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = self.scores[list(map(self.index.__getitem__, words))].sum(axis=0)
+            if long:
+                total = sum((long[w] if w in long else self.scores[self.index[w]] for w in words), np.zeros(len(self.languages)))
+            else:
+                total = self.scores[list(map(self.index.__getitem__, words))].sum(axis=0)
             best = int(total.argmax())
             out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
         if (extra := max(0, len(self.index) - WORDS_KEPT)):
@@ -161,15 +200,15 @@ def bucket(id_col: str) -> Column:
 
 def train(labelled: DataFrame, path: str, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits a model; one pass counts characters a language, one takes the words of the sample."""
-    rows = labelled.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    rows = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"a model holds at most {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
     vocab, _ = pieces(path)
     if not languages:
         return Model([], np.empty((len(vocab) + 1, 0)), path)
-    part = F.lit(0.0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, float(min(1.0, sample_chars / max(1, n)))).otherwise(part)
+    part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(min(1.0, sample_chars / max(1, n))))])[F.col("lang")]
     sample = rows.where(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +221,8 @@ def train(labelled: DataFrame, path: str, sample_chars: int = SAMPLE_CHARS, id_c
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
 
     found = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    words = sorted(set(found["word"]))
+    words = sorted(set(found["word"]), key=lambda w: (len(w) > SHORT, w))
+    short = sum(len(w) <= SHORT for w in words)
     at, lang_at = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(words), len(languages)))
     for lang, word, n in zip(found["lang"], found["word"], found["n"]):
@@ -191,8 +231,11 @@ def train(labelled: DataFrame, path: str, sample_chars: int = SAMPLE_CHARS, id_c
     probs[-1] = UNKNOWN
     for _ in range(ROUNDS):
         total = np.zeros_like(probs)
-        for i in range(0, len(words), 50_000):
-            total += Lattice.of(words[i : i + 50_000], path).expected(probs, counts[i : i + 50_000])
+        for i in range(0, short, 50_000):
+            total += Lattice.of(words[i : min(short, i + 50_000)], path).expected(probs, counts[i : min(short, i + 50_000)])
+        logs = np.log(probs)
+        for word, n in zip(words[short:], counts[short:]):
+            long_expected(word, logs, path, n, total)
         known = total[:-1] + SMOOTHING
         probs = np.concatenate([known / known.sum(axis=0) * (1 - UNKNOWN), np.full((1, len(languages)), UNKNOWN)])
     return Model(languages, probs, path)
