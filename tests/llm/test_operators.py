@@ -590,6 +590,7 @@ def reach(n: int, edges) -> list[int]:
 def test_masks_cover_every_pair_within_the_radius():
     family, rng = simhash.masks(), random.Random(1)
     assert len(family) == 31
+    assert len(simhash.masks(8)) == 511 and min(m.bit_count() for r in (4, 8) for t in range(4) for m in simhash.masks(r, turn=t)) >= 20
     small = simhash.masks(radius=2, bits=9)
     for places in itertools.combinations(range(9), 2):
         assert any(not m & sum(1 << p for p in places) for m in small)
@@ -598,20 +599,42 @@ def test_masks_cover_every_pair_within_the_radius():
         assert any(not m & differing for m in family)
 
 
-def test_forest_links_what_plain_comparison_links():
+def points_of(fps, more=None) -> np.ndarray:
+    points = np.zeros(len(fps), simhash.POINT)
+    points["fp"] = fps
+    if more is not None:
+        points["more"] = more
+    return points
+
+
+@pytest.mark.parametrize("radius, limit, pivots, few", [(4, 96, 64, 512), (4, 96, 2, 3), (8, 19, 64, 512), (8, 19, 1, 5), (4, 6, 1, 1)])
+def test_forest_links_what_plain_comparison_links(radius, limit, pivots, few):
     rng = random.Random(4)
-    for _ in range(20):
-        points = set()
+    for _ in range(8):
+        fps, more = [], []
         for _ in range(4):
-            centre = rng.getrandbits(64)
-            for _ in range(rng.choice([2, 40, 150])):
-                points.add(centre ^ sum(1 << p for p in rng.sample(range(64), rng.randint(0, 5))))
-        points = np.array(sorted(points), np.uint64)
-        near = np.argwhere(np.bitwise_count(points[:, None] ^ points[None]) <= 4).tolist()
-        links = simhash.forest(points)
+            centre = rng.getrandbits(96)
+            for _ in range(rng.choice([2, 40, 120])):
+                x = centre ^ sum(1 << p for p in rng.sample(range(96), rng.randint(0, 9)))
+                fps.append(x & (1 << 64) - 1), more.append(x >> 64)
+        points = np.unique(points_of(fps, more))
+        first = np.bitwise_count(points["fp"][:, None] ^ points["fp"][None]).astype(int)
+        near = np.argwhere((first <= radius) & (first + np.bitwise_count(points["more"][:, None] ^ points["more"][None]) <= limit)).tolist()
+        links = simhash.forest(points, radius, limit, pivots, few)
         assert len(links) < len(points) and reach(len(points), links) == reach(len(points), near)
 
 
+def test_dense_runs_are_split():
+    """Many different fingerprints within a few bits of each other, in one run."""
+    rng = np.random.default_rng(5)
+    flips = rng.integers(0, 24, (6000, 6)).astype(np.uint64)
+    points = np.unique(points_of(np.bitwise_xor.reduce(np.uint64(1) << flips, axis=1)))
+    links = simhash.forest(points, 4)
+    assert len(links) == len(points) - 1 and len(set(reach(len(points), links))) == 1
+    sparse = np.unique(points_of(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) << np.uint64(1)))
+    assert simhash.forest(sparse, 4) == []
+
+
 def test_components_by_brute_force(spark, docs, odd_rows):
     rng = random.Random(9)
     base = [prose(rng, "en", 400) for _ in range(5)]
@@ -628,17 +651,36 @@ def test_components_by_brute_force(spark, docs, odd_rows):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = sorted(((r[0], f"{p:016x}", least[k]) for r, p, k in zip(rows, prints, roots)), key=key)
     assert sorted((tuple(r) for r in got), key=key) == want
-    kept = simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(x for x in least.values() if x is not None)
 
 
-def test_long_chains_contract(spark):
-    edges = [(i, i + 1) for i in range(0, 200)] + [(300 + i, 500) for i in range(50)]
-    random.Random(0).shuffle(edges)
-    from voxloom.llm.common import shared_dir
-
-    roots = {r.node: r.root for r in simhash.contract(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark)).collect()}
-    assert len(roots) == 201 + 51 and {roots[i] for i in range(201)} == {0} and {roots[i] for i in [*range(300, 350), 500]} == {300}
+@pytest.mark.parametrize("cell", [1 << 21, 50])
+def test_one_of_each_component_is_kept(spark, odd_rows, cell, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_POINTS", cell)
+    monkeypatch.setattr(simhash, "PACKED_POINTS", cell)
+    rng = random.Random(10)
+    base = [prose(rng, "en", 300) for _ in range(4)]
+    rows = list(odd_rows)
+    for k in range(80):
+        words = rng.choice(base).split(" ")
+        for _ in range(rng.choice([0, 1, 4, 9, 30])):
+            words[rng.randrange(len(words))] = f"edited{rng.randrange(9)}"
+        rows.append((1000 + k, " ".join(words), "en", "s", None))
+    rows += [(None, base[0] + " more", "en", "s", None), (None, "nobody has this number " * 9, "en", "s", None), (None, "nobody has this number " * 9, "en", "s", None)]
+    rows += [(2000, base[0] + " again", "en", "s", None), (2000, "another text under the same number", "en", "s", None), (2001, "one  two three", "en", "s", None), (2001, "one two three", "en", "s", None)]
+    hashes = [simhash.shingle_hashes((r[1] or "").encode(), 5) for r in rows]
+    prints = [(simhash.majority(h), simhash.majority(simhash.mixed(h)) & (1 << 32) - 1) for h in hashes]
+    far = lambda i, j: ((prints[i][0] ^ prints[j][0]).bit_count(), (prints[i][1] ^ prints[j][1]).bit_count())
+    roots = reach(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (d := far(i, j))[0] <= 8 and sum(d) <= 19])
+    groups = [[r for r, k in zip(rows, roots) if k == root] for root in set(roots)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(kept) == len(groups)
+    ids = lambda g: [r[0] for r in g if r[0] is not None]
+    assert Counter(r.doc_id for r in kept) == Counter(min(ids(g)) if ids(g) else None for g in groups)
+    assert all((r.doc_id, r.text) in {(x[0], x[1]) for x in rows} for r in kept)
+    # copies with a few edits of 300 words are found at a similarity of 0.9
+    similar = lambda i, j: (lambda a, b: len(a & b) / len(a | b))(set(hashes[i].tolist()), set(hashes[j].tolist()))
+    pairs = [(i, j) for i in range(len(odd_rows), len(rows)) for j in range(len(odd_rows), i) if similar(i, j) >= 0.9]
+    assert sum(roots[i] == roots[j] for i, j in pairs) >= 0.9 * len(pairs)
 
 
 def test_no_documents(no_docs):
