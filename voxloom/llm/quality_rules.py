@@ -30,6 +30,7 @@ SYMBOLS = "#*$%&|<>"
 MAX_PERCENT, MIN_DOCS = 1, 10
 MAX_REMOVED_PERCENT = 70
 SALTS = 64
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 #: Of each line with words: the hash of its normal form, and its words.
@@ -101,7 +102,10 @@ def removed_lines(docs: DataFrame, folder: str, max_percent: int = MAX_PERCENT,
     counts = written(of_host.distinct().groupBy("__host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs), "line-counts", folder)
     hosts = counts.where("h IS NULL").select("__host", F.col("docs").alias("__all"))
     frequent = counts.where("h IS NOT NULL").join(hosts, "__host").where(F.col("docs") * 100 > F.col("__all") * max_percent).select("__host", "h")
-    # a frequent line may stand in a third of all documents: its rows meet it in as many places as there are salts
+    # most lines are no boilerplate: a Bloom filter spares them the shuffle.  A frequent line may stand in a third of all
+    # documents: its rows meet it in as many places as there are salts
+    frequent = written(frequent, "frequent-lines", folder)
+    rows = bloom.mark(rows, F.xxhash64("__host", "h"), bloom.build(frequent, F.xxhash64("__host", "h"), frequent.count())).where("__hit").drop("__hit")
     salted = frequent.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = rows.select("__k1", "__k2", "__host", "pos", "h", "n", F.pmod("__k2", F.lit(SALTS)).alias("__salt")).join(salted, ["__host", "h", "__salt"])
     hit = found.select("__k1", "__k2", "pos", "h", "n").distinct()  # equal rows count once
@@ -109,19 +113,18 @@ def removed_lines(docs: DataFrame, folder: str, max_percent: int = MAX_PERCENT,
 
 
 def _measured(docs: DataFrame, names: list[str], limits: tuple[int, int, int], id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """The features of every row, base_failed, removed_words and kept.  The documents with boilerplate are a
-    table of their own."""
-    folder = shared_dir(docs.sparkSession)
-    max_percent, min_docs, max_removed_percent = limits
+    """The columns ``names`` and the features of every row, base_failed, removed_words and kept.  The documents with
+    boilerplate are a table of their own."""
+    folder, (max_percent, min_docs, max_removed_percent) = shared_dir(docs.sparkSession), limits
     removed = written(removed_lines(docs, folder, max_percent, min_docs, id_col, text_col, host_col), "removed-lines", folder)
     keyed = _keyed(docs, id_col, text_col, host_col).drop("__host").withColumnRenamed(text_col, "__was").withColumnRenamed("__text", "text")
-    # few documents have boilerplate: a Bloom filter of their keys spares the others, and their texts, the shuffle
+    # few documents have boilerplate: a Bloom filter of their keys spares the others the shuffle
     marked = bloom.mark(keyed, F.col("__k1"), bloom.build(removed, F.col("__k1"), removed.count()))
-    exact = marked.where("__hit").join(removed, ["__k1", "__k2"], "left")
-    clear = marked.where("NOT __hit").withColumns({"lines": F.lit(None).cast("array<bigint>"), "removed_words": F.lit(None).cast("long")})
-    rows = text_features(exact.unionByName(clear)).withColumn("base_failed", base_failed())
+    features = lambda rows: text_features(rows).withColumn("base_failed", base_failed()).select(*names, "__k1", "__k2", *FEATURES, "base_failed")
+    exact = features(marked.where("__hit")).join(removed, ["__k1", "__k2"], "left")
+    clear = features(marked.where("NOT __hit")).withColumns({"lines": F.lit(None).cast("array<bigint>"), "removed_words": F.lit(None).cast("long")})
     depleted = F.coalesce(F.col("removed_words"), F.lit(0)) * 100 > F.col("n_words") * max_removed_percent
-    return rows.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return exact.unionByName(clear).select(*names, *FEATURES, "base_failed", "lines", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 def judge(docs: DataFrame, max_percent: int = MAX_PERCENT, min_docs: int = MIN_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
