@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 
@@ -101,47 +103,66 @@ def target_order(daf: np.ndarray) -> np.ndarray:
     return np.lexsort((-np.arange(len(daf)), -away))
 
 
+class Tracer:
+    """Finds paths one by one; each takes the voxels around it out of ``alive``, and is a rail for those to come."""
+
+    def __init__(self, ready: Preparation, params: TeasarParams, anisotropy) -> None:
+        self.ready, self.params, self.anisotropy = ready, params, anisotropy
+        self.alive = np.ones(len(ready.voxels.coords), bool)
+        self.rails = None
+        if ready.soma:
+            self._absorb([ready.root], params.soma_invalidation_scale, params.soma_invalidation_const)
+            away = np.asarray(anisotropy, np.float64) * (ready.voxels.coords - ready.voxels.coords[ready.root])
+            self.outside = np.sqrt((away**2).sum(axis=1)) > ready.soma_radius
+        if ready.parent is None:
+            self.rails = ready.cost.copy()
+
+    def _absorb(self, path: list[int], scale: float, const: float) -> None:
+        geo.invalidate(self.ready.voxels, self.alive, self.ready.dbf, path, scale, const, self.anisotropy)
+
+    def targets(self) -> Iterator[tuple[int, bool]]:
+        """(voxel, whether it was asked for): those before, the last first; what is alive, farthest first; those after,
+        the last first."""
+        for asked in reversed(self.ready.before):
+            yield asked, True
+        for far in target_order(self.ready.daf).tolist():
+            if self.alive[far]:
+                yield far, False
+        for asked in reversed(self.ready.after):
+            yield asked, True
+
+    def path_to(self, target: int) -> list[int]:
+        if self.rails is None:
+            return geo.walk_back(self.ready.parent, target, self.ready.root)
+        return geo.railroad(self.ready.voxels, self.rails, target)
+
+    def without_body(self, path: list[int]) -> list[int]:
+        """The path's first voxel and those outside the cell body; an end within it becomes the root."""
+        kept = [v for i, v in enumerate(path) if not i or self.outside[v]]
+        return kept if self.rails is None or self.outside[path[-1]] else [*kept, self.ready.root]
+
+    def paths(self) -> Iterator[list[int]]:
+        if self.rails is not None:
+            self.rails[self.ready.root] = 0
+        for target, asked in self.targets():
+            path = self.path_to(target)
+            if not path and not asked:
+                return
+            if self.ready.soma and path:
+                path = self.without_body(path)
+            if path and self.alive.any():
+                self._absorb(path, self.params.scale, self.params.const)
+            if self.rails is not None:
+                self.rails[path] = 0
+            yield path
+
+
 def trace(ready: Preparation, params: TeasarParams, anisotropy) -> list[list[int]]:
-    """The paths, as numbers of the voxels, in the order they are found."""
-    voxels, root = ready.voxels, ready.root
-    alive = np.ones(len(voxels.coords), bool)
-    order, cursor = target_order(ready.daf), 0
-    if ready.soma:
-        geo.invalidate(voxels, alive, ready.dbf, [root], params.soma_invalidation_scale, params.soma_invalidation_const, anisotropy)
-    before, after = list(ready.before), list(ready.after)
-    most = int(alive.sum()) if params.max_paths is None else params.max_paths
-    if len(before) + len(after) >= most:
-        return []
-    cost = ready.cost.copy()
-    rails = ready.parent is None
-    if rails:
-        cost[root] = 0
-    paths: list[list[int]] = []
-    left = int(alive.sum())
-    w = np.asarray(anisotropy, np.float64)
-    while (left or before or after) and len(paths) < most:
-        chosen = False
-        if before:
-            target = before.pop()
-        elif not left:
-            target = after.pop()
-        else:
-            while not alive[order[cursor]]:
-                cursor += 1
-            target, chosen = int(order[cursor]), True
-        path = geo.railroad(voxels, cost, target) if rails else geo.walk_back(ready.parent, target, root)
-        if chosen and not path:
-            break
-        if ready.soma and path:
-            away = np.sqrt(((w * (voxels.coords[path] - voxels.coords[root])) ** 2).sum(axis=1)) > ready.soma_radius
-            trimmed = [path[0], *[v for v, far in zip(path, away) if far]]
-            path = [*trimmed, root] if rails and not away[-1] else trimmed
-        if left and path:
-            left -= geo.invalidate(voxels, alive, ready.dbf, path, params.scale, params.const, anisotropy)
-        if rails:
-            cost[path] = 0
-        paths.append(path)
-    return paths
+    """The paths, as numbers of the voxels, in the order they are found; ``max_paths`` at most, and none if the points
+    asked for are as many."""
+    tracer = Tracer(ready, params, anisotropy)
+    most = int(tracer.alive.sum()) if params.max_paths is None else params.max_paths
+    return list(islice(tracer.paths(), most)) if len(ready.before) + len(ready.after) < most else []
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from voxloom.kernels.edt import edt, graph_edt, squared_edt
@@ -73,59 +75,66 @@ def fill_all_holes(ids: np.ndarray, count: int) -> tuple[np.ndarray, int]:
     return ids, total
 
 
-def _enclosing(ids: np.ndarray, centre: tuple[int, int, int]) -> int:
-    """The component that most of six rays from ``centre`` meet first, or the centre's own if they disagree.
+RAYS = [(axis, side) for axis in range(3) for side in (1, -1)]
+
 
-    Rays end at the background; rays downward don't look at coordinate 0."""
+def enclosing(ids: np.ndarray, centre: tuple[int, int, int]) -> int:
+    """Whose inside ``centre`` lies in: the component that rays along the axes meet first on leaving its own, if at least
+    three meet one and they agree (but for one of more than three); else its own.  A ray to the low side stops short of
+    the first plane."""
     own = int(ids[centre])
-    hits: dict[int, int] = {}
-    for axis in range(3):
-        line = ids[tuple(slice(None) if a == axis else centre[a] for a in range(3))]
-        for ray in (line[centre[axis] :], line[centre[axis] : 0 : -1]):
-            other = np.flatnonzero(ray != own)
-            if len(other) and (value := int(ray[other[0]])):
-                hits[value] = hits.get(value, 0) + 1
-    rays = sum(hits.values())
-    if rays < 3:
+    met: Counter[int] = Counter()
+    for axis, side in RAYS:
+        line = np.moveaxis(ids, axis, 0)[(slice(None), *(c for k, c in enumerate(centre) if k != axis))]
+        ray = line[centre[axis] :] if side > 0 else line[1 : centre[axis] + 1][::-1]
+        left = ray[ray != own]
+        if len(left) and left[0]:
+            met[int(left[0])] += 1
+    votes = met.total()
+    if votes < 3 or votes - max(met.values()) > (votes > 3):
         return own
-    most = max(hits.values())
-    return own if rays - most > (1 if rays > 3 else 0) else min(k for k, n in hits.items() if n == most)
+    return min(met, key=lambda other: (-met[other], other))
+
+
+def _closed(ids: np.ndarray, box: tuple, own: int) -> np.ndarray:
+    """The component's mask in its box, with holes in the box's six walls filled."""
+    mask = ids[box] == own
+    for axis, side in RAYS:
+        wall = np.moveaxis(mask, axis, 0)[0 if side > 0 else -1]
+        wall[...] = fill_voids(wall)[0]
+    return mask
 
 
 def fix_avocados(ids: np.ndarray, dbf: np.ndarray, threshold: float, anisotropy, black_border: bool = False, refresh=None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Gives a large inner component (a nucleus) to the one around it; at most 20 rounds.  Candidates go by rising id."""
-    ids, dbf, settled, rounds = ids.copy(), dbf, set(), 0
+    """Gives a large inner component (a nucleus) to the one around it; at most 20 rounds.  In a round, the components with
+    a voxel deeper than threshold / 2.5 take their turn by rising id, but for those that an earlier round left alone: each
+    is joined to what its deepest voxel lies in, and its voids are filled."""
+    ids, dbf = ids.copy(), dbf
     refresh = refresh or (lambda x: edt(x, anisotropy, black_border))
-    for rounds in range(1, 21):
-        found = sorted(set(np.unique(ids[dbf > np.float32(threshold / 2.5)]).tolist()) - settled - {0})
-        if not found:
-            rounds -= 1
-            break
-        box, kept, changed = boxes(ids, int(ids.max())), set(), set()
-        for i in found:
-            where = box[i]
-            mask = ids[where] == i
-            for axis in range(3):
-                for end in (0, -1):
-                    wall = [slice(None)] * 3
-                    wall[axis] = end
-                    mask[tuple(wall)] = fill_voids(mask[tuple(wall)])[0]
-            best = np.unravel_index(np.argmax((mask * dbf[where]).ravel(order="F")), mask.shape, order="F")
-            centre = tuple(int(b) + s.start for b, s in zip(best, where))
-            pit = int(ids[centre])
-            owner = _enclosing(ids, centre)
-            if pit == owner and pit not in changed:
-                kept.add(pit)
+    alone: set[int] = set()
+    for done in range(20):
+        turn = np.setdiff1d(ids[dbf > np.float32(threshold / 2.5)], [0, *alone]).tolist()
+        if not turn:
+            return ids, dbf, done
+        place, untouched, merged = boxes(ids, int(ids.max())), set(), set()
+        for own in turn:
+            box = place[own]
+            mask = _closed(ids, box, own)
+            deepest = int((mask * dbf[box]).ravel(order="F").argmax())
+            centre = tuple(int(c) + b.start for c, b in zip(np.unravel_index(deepest, mask.shape, order="F"), box))
+            pit, owner = int(ids[centre]), enclosing(ids, centre)
+            if pit != owner or pit in merged:
+                merged |= {pit, owner}
+                untouched -= merged
+                mask |= ids[box] == owner
             else:
-                kept -= {pit, owner}
-                changed |= {pit, owner}
-                mask |= ids[where] == owner
-            ids[where][fill_voids(mask)[0]] = owner
-        settled |= kept
-        if not changed:
-            break
+                untouched.add(pit)
+            ids[box][fill_voids(mask)[0]] = owner
+        alone |= untouched
+        if not merged:
+            return ids, dbf, done + 1
         dbf = refresh(ids)
-    return ids, dbf, rounds
+    return ids, dbf, 20
 
 
 FACE_AXES = ((0, 1, 2), (0, 2, 1), (1, 2, 0))
