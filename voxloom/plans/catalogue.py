@@ -5,6 +5,7 @@ same tables; without one, tests hold it against the kernels and fixed expectatio
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,9 +15,11 @@ from voxloom.kernels.grid import GRAPH_BITS, OFFSETS
 from voxloom.operators import aggregates as agg
 from voxloom.operators import analysis, components as cc, distance, filters, joins, morphology, paths, postprocess as post, setops
 from voxloom.params import DEFAULT_TEASAR_PARAMS
-from voxloom.plans import pipeline
-from voxloom.schemas import VOLUMES
+from voxloom.plans import pipeline, shapes
+from voxloom.plans.fixpoint import shared_base
+from voxloom.schemas import VOLUMES, VOXELS
 from voxloom.sources import volumes as src
+from voxloom.streaming.slabs import SlabComponents
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -374,7 +377,14 @@ def void_voxels(spark, sf_dir):
     return out(cc.void_voxels(src.hollow_box(spark), cube(spark, 15), block=6), "vid")
 
 
-@query(WITH + HOLLOW + " SELECT CAST(1331 AS BIGINT) AS voxels, CAST(1 AS BIGINT) AS components")
+#: Background of the hollow box that no walk over faces leads out of.
+VOIDS = """, cell AS (SELECT i % 15 AS x, (i // 15) % 15 AS y, i // 225 AS z, i AS vid FROM range(3375) r(i)),
+empty AS (SELECT * FROM cell WHERE NOT EXISTS (SELECT 1 FROM vox WHERE vox.vid = cell.vid AND vox.label = 42)),
+outside(vid, x, y, z) USING KEY (vid) AS (SELECT vid, x, y, z FROM empty WHERE x IN (0, 14) OR y IN (0, 14) OR z IN (0, 14) UNION SELECT e.vid, e.x, e.y, e.z FROM outside o JOIN empty e ON abs(e.x - o.x) + abs(e.y - o.y) + abs(e.z - o.z) = 1 LEFT JOIN recurring.outside r ON r.vid = e.vid WHERE r.vid IS NULL),
+inside AS (SELECT * FROM empty WHERE vid NOT IN (SELECT vid FROM outside))"""
+
+
+@query(WITH + HOLLOW + VOIDS + " SELECT (SELECT count(*) FROM vox WHERE label = 42) + (SELECT count(*) FROM inside) AS voxels, 1 + (SELECT count(*) FROM vox WHERE label <> 42 AND vid NOT IN (SELECT vid FROM inside)) AS components")
 def filled_holes(spark, sf_dir):
     """The box with a core: filling the shell's void paints the core over."""
     found = cc.connected_components(src.hollow_box(spark), cube(spark, 15))
@@ -454,15 +464,17 @@ def feature_map_geodesic(spark, sf_dir):
     return out(distance.nearest_source(tube, points, (1.0, 1.0, 1.0)), "vid", "source")
 
 
-@query()
+BARS = shapes.bar_sql() + """, f AS (SELECT 0 AS face, x AS u, y AS v, label, x, y, z FROM vox WHERE z = 0 UNION ALL SELECT 1, x, y, label, x, y, z FROM vox WHERE z = 11 UNION ALL SELECT 2, x, z, label, x, y, z FROM vox WHERE y = 0 UNION ALL SELECT 3, x, z, label, x, y, z FROM vox WHERE y = 19 UNION ALL SELECT 4, y, z, label, x, y, z FROM vox WHERE x = 0 UNION ALL SELECT 5, y, z, label, x, y, z FROM vox WHERE x = 29),
+around AS (SELECT range % 34 - 2 AS u, range // 34 - 2 AS v FROM range(816)),
+deep AS (SELECT f.*, (SELECT min((f.u-a.u)*(f.u-a.u) + (f.v-a.v)*(f.v-a.v)) FROM around a WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.face = f.face AND g.label = f.label AND g.u = a.u AND g.v = a.v)) AS d2, avg(u) OVER (PARTITION BY face, label) AS mu, avg(v) OVER (PARTITION BY face, label) AS mv FROM f),
+number AS (SELECT label, dense_rank() OVER (ORDER BY min(vid)) AS cc FROM vox GROUP BY label)"""
+
+
+@query(WITH + BARS + " SELECT cc, CAST(face AS BIGINT) AS face, arg_min(x, (-d2, (u-mu)*(u-mu) + (v-mv)*(v-mv))) AS x, arg_min(y, (-d2, (u-mu)*(u-mu) + (v-mv)*(v-mv))) AS y, arg_min(z, (-d2, (u-mu)*(u-mu) + (v-mv)*(v-mv))) AS z FROM deep JOIN number USING (label) GROUP BY cc, face")
 def border_face_targets(spark, sf_dir):
-    """Where the components of a cut-out meet its faces."""
-    part = src.warm_up(spark).where("x BETWEEN 4 AND 27 AND y BETWEEN 4 AND 27 AND z BETWEEN 4 AND 27")
-    for a in "xyz":
-        part = part.withColumn(a, F.col(a) - 4)
-    part = part.withColumn("vid", F.expr("x + 24 * (y + 24 * z)"))
-    found = cc.connected_components(part, cube(spark, 24))
-    return morphology.border_targets(found, cube(spark, 24)).select("cc", "face", "x", "y", "z")
+    """Where bars meet the volume's faces: the pixel farthest from the rim, the nearest to the patch's centroid on ties."""
+    volumes = shapes.size(spark, shapes.BAR_SHAPE)
+    return morphology.border_targets(cc.connected_components(shapes.bars(spark), volumes), volumes).select("cc", "face", "x", "y", "z")
 
 
 @query(WITH + TUBES + ", p AS (SELECT x AS u, y AS v, label FROM vox WHERE z = 20), bg AS (SELECT i % 26 - 1 AS u, i // 26 - 1 AS v FROM range(676) r(i)) SELECT label AS patch_label, CAST(max(d2) AS BIGINT) AS d2, count(*) AS pixels, CAST(sum(u) AS BIGINT) AS sum_u, CAST(sum(v) AS BIGINT) AS sum_v FROM (SELECT p.u, p.v, p.label, min((p.u-bg.u)*(p.u-bg.u) + (p.v-bg.v)*(p.v-bg.v)) AS d2 FROM p, bg WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.u = bg.u AND q.v = bg.v AND q.label = p.label) GROUP BY p.u, p.v, p.label) GROUP BY label")
@@ -517,7 +529,13 @@ def nested_cube(spark) -> DataFrame:
     return src.generated(spark, (9, 9, 9), F.expr("CASE WHEN x BETWEEN 3 AND 5 AND y BETWEEN 3 AND 5 AND z BETWEEN 3 AND 5 THEN 2 WHEN x BETWEEN 1 AND 7 AND y BETWEEN 1 AND 7 AND z BETWEEN 1 AND 6 THEN 1 ELSE 0 END"))
 
 
-@query("SELECT CAST(axis AS VARCHAR) AS axis, CAST(dir AS INTEGER) AS direction, CAST(27 AS BIGINT) AS hits FROM (VALUES ('x', 1), ('x', -1), ('y', 1), ('y', -1), ('z', 1), ('z', -1)) a(axis, dir)")
+NESTED = generated_sql("vox", 9, "WHEN x BETWEEN 3 AND 5 AND y BETWEEN 3 AND 5 AND z BETWEEN 3 AND 5 THEN 2 WHEN x BETWEEN 1 AND 7 AND y BETWEEN 1 AND 7 AND z BETWEEN 1 AND 6 THEN 1")
+RAYS_SQL = """, ray AS (SELECT * FROM (VALUES ('x', 1, 1, 0, 0), ('x', -1, -1, 0, 0), ('y', 1, 0, 1, 0), ('y', -1, 0, -1, 0), ('z', 1, 0, 0, 1), ('z', -1, 0, 0, -1)) r(axis, direction, dx, dy, dz)),
+seen AS (SELECT c.vid AS cid, axis, direction, n, coalesce(o.label, 0) AS label FROM (SELECT * FROM vox WHERE label = 2) c, ray, range(1, 9) s(n) LEFT JOIN vox o ON o.x = c.x + n * dx AND o.y = c.y + n * dy AND o.z = c.z + n * dz),
+hit AS (SELECT cid, axis, direction, arg_min(label, n) AS label FROM seen WHERE label <> 2 GROUP BY cid, axis, direction)"""
+
+
+@query(WITH + NESTED + RAYS_SQL + " SELECT axis, CAST(direction AS INTEGER) AS direction, count(*) AS hits FROM hit WHERE label = 1 GROUP BY axis, direction")
 def enclosing_rays(spark, sf_dir):
     """What six rays from every voxel of a core meet first."""
     v = nested_cube(spark)
@@ -525,7 +543,7 @@ def enclosing_rays(spark, sf_dir):
     return joins.first_hits(v, centres).where("label = 1").groupBy("axis", "direction").agg(F.count("*").alias("hits"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS owner, CAST(27 AS BIGINT) AS centres")
+@query(WITH + NESTED + RAYS_SQL + ", votes AS (SELECT cid, count(*) FILTER (label > 0) AS rays, count(*) FILTER (label = 1) AS ones FROM hit GROUP BY cid) SELECT CAST(CASE WHEN rays >= 3 AND rays - ones <= (CASE WHEN rays > 3 THEN 1 ELSE 0 END) THEN 1 ELSE 2 END AS BIGINT) AS owner, count(*) AS centres FROM votes GROUP BY 1")
 def ray_votes(spark, sf_dir):
     v = nested_cube(spark)
     centres = v.where("label = 2").select("volume_id", F.col("vid").alias("cid"), "x", "y", "z", "label")
@@ -562,10 +580,27 @@ def branch_counts(spark, sf_dir):
     return agg.branch_counts(polylines(spark, sf_dir)[1]).drop("volume_id")
 
 
-@query(WITH + POLY + " SELECT v.label, CAST(0 AS BIGINT) AS a, max(vidx) AS b FROM vert v GROUP BY v.label")
+COMBS = POLY + ", " + shapes.COMB_GRAPH
+
+
+def comb_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return shapes.comb_graph(polylines(spark, sf_dir)[0])
+
+
+LOOPS = ", chord AS (SELECT s.label, s.vidx FROM spine s WHERE s.vidx % 20 = 5 AND s.vidx + 11 < n), bypassed AS (SELECT label, vidx + d AS vidx FROM chord, range(1, 10) r(d))"
+
+
+def chords(vertices: DataFrame) -> DataFrame:
+    """Edges past nine vertices of the spine, where one goes on beyond."""
+    spine = vertices.where("vidx < 1000000")
+    ends = spine.groupBy("volume_id", "label").agg(F.max("vidx").alias("last"))
+    return spine.join(ends, ["volume_id", "label"]).where("vidx % 20 = 5 AND vidx + 10 < last").select("volume_id", "label", F.col("vidx").alias("e0"), (F.col("vidx") + 10).alias("e1"))
+
+
+@query(WITH + COMBS + " SELECT label, vidx AS a, 1000000 + vidx * 10 + long AS b, CAST(long AS DOUBLE) AS cable FROM roots UNION ALL SELECT label, 0, min(vidx), CAST(10 * min(vidx) AS DOUBLE) FROM roots GROUP BY label UNION ALL SELECT label, max(vidx), any_value(n) - 1, CAST(10 * (any_value(n) - 1 - max(vidx)) AS DOUBLE) FROM roots GROUP BY label")
 def terminal_branches(spark, sf_dir):
-    """A polyline is one branch between its two ends."""
-    return out(post.terminal_branches(*polylines(spark, sf_dir)), "label", "a", "b")
+    """Combs end in their teeth and the two ends of the spine."""
+    return out(post.terminal_branches(*comb_graph(spark, sf_dir)), "label", "a", "b", "cable")
 
 
 @query(WITH + GRAPH + ", nb AS MATERIALIZED (SELECT e0 AS a, e1 AS b FROM e UNION SELECT e1, e0 FROM e), t(id, root) USING KEY (id) AS (SELECT DISTINCT a, a FROM nb UNION SELECT nb.b, min(t.root) FROM t JOIN nb ON nb.a = t.id JOIN recurring.t r ON r.id = nb.b WHERE t.root < r.root GROUP BY nb.b) SELECT (SELECT count(*) FROM e) - count(*) + count(DISTINCT root) AS loops FROM t")
@@ -667,10 +702,11 @@ def skeleton_downsample(spark, sf_dir):
     return out(post.downsampled(*polylines(spark, sf_dir), 6), "label", "vidx")
 
 
-@query(WITH + POLY + ", a AS (SELECT label, vidx, vidx % 2 AS path, CAST(vidx * 3 AS DOUBLE) AS area FROM vert) SELECT label, vidx, area FROM a")
+@query(WITH + COMBS + " SELECT p.label, p.vidx, CAST(p.vidx * 3 + CASE WHEN r.vidx IS NULL THEN 0 ELSE 5 END AS DOUBLE) AS area FROM point p LEFT JOIN roots r ON r.label = p.label AND r.vidx = p.vidx")
 def branch_means(spark, sf_dir):
-    v, e = polylines(spark, sf_dir)
-    areas = v.select("volume_id", "label", "vidx", (F.col("vidx") % 2).alias("path"), (F.col("vidx") * 3).cast("double").alias("area"))
+    """Two paths with other areas: where a tooth branches off, the mean counts, elsewhere the first path."""
+    v, e = comb_graph(spark, sf_dir)
+    areas = v.select("volume_id", "label", "vidx", F.explode(F.array(F.lit(0), F.lit(1))).alias("path")).withColumn("area", (F.col("vidx") * 3 + F.col("path") * 10).cast("double"))
     return out(agg.branch_means(areas, e), "label", "vidx", "area")
 
 
@@ -681,25 +717,41 @@ TRACE = {**DEFAULT_TEASAR_PARAMS, "const": 2}
 
 
 def traced(spark) -> tuple[DataFrame, DataFrame]:
-    return pipeline.skeletonize(src.small_tubes(spark), cube(spark, 24), TRACE, dust_threshold=0)
+    return pipeline.skeletonize(shapes.combs(spark), shapes.size(spark, shapes.COMB_SHAPE), TRACE, dust_threshold=0)
+
+
+def shown(vertices: DataFrame, *more: str) -> DataFrame:
+    """Vertices with whole numbers as places and radii."""
+    return vertices.select(*more, "label", "vidx", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "radius")])
+
 
+SHOWN = "label, vidx, x, y, z, CAST(1 AS BIGINT) AS radius"
 
-@query()
+
+@query(WITH + shapes.comb_sql() + f" SELECT {SHOWN} FROM {shapes.comb_kept()}")
 def skeleton_vertices(spark, sf_dir):
-    v, _ = traced(spark)
-    return out(v, "label", "vidx", "x", "y", "z", "radius")
+    """Combs: the spine, and the teeth that reach beyond what the spine's path takes along; all radii are 1."""
+    return shown(traced(spark)[0])
+
 
+@query(WITH + shapes.comb_sql() + f" SELECT {SHOWN} FROM {shapes.comb_kept()}")
+def skeleton_one_tree(spark, sf_dir):
+    """The same along the parents of one tree, without rails."""
+    return shown(pipeline.skeletonize(shapes.combs(spark), shapes.size(spark, shapes.COMB_SHAPE), TRACE, dust_threshold=0, fix_branching=False)[0])
 
-@query(WITH + TUBES + " SELECT CAST(label AS BIGINT) AS label, CAST(0 AS BIGINT) AS loops FROM vox GROUP BY label")
+
+@query(WITH + shapes.comb_sql() + f" SELECT label, count(*) AS vertices, count(*) - 1 AS edges, CAST(0 AS BIGINT) AS loops FROM {shapes.comb_kept()} GROUP BY label")
 def skeletons_are_trees(spark, sf_dir):
-    return out(post.loop_counts(*traced(spark)), "label", "loops")
+    v, e = traced(spark)
+    size = v.groupBy("label").agg(F.count("*").alias("vertices")).join(e.groupBy("label").agg(F.count("*").alias("edges")), "label")
+    return size.join(post.loop_counts(v, e).select("label", "loops"), "label").select("label", "vertices", "edges", "loops")
 
 
-@query(WITH + TUBES + " SELECT CAST(label AS BIGINT) AS label, CAST(0 AS BIGINT) AS outside FROM vox GROUP BY label")
+@query(WITH + shapes.comb_sql() + f" SELECT label, count(*) AS inside, CAST(0 AS BIGINT) AS outside FROM {shapes.comb_kept()} GROUP BY label")
 def skeletons_stay_inside(spark, sf_dir):
     v, _ = traced(spark)
-    inside = src.small_tubes(spark).select("label", *[F.col(a).cast("float").alias(a) for a in "xyz"]).withColumn("in", F.lit(1))
-    return v.join(inside, ["label", "x", "y", "z"], "left").groupBy("label").agg(F.count_if(F.col("in").isNull()).alias("outside"))
+    inside = shapes.combs(spark).select("label", *[F.col(a).cast("float").alias(a) for a in "xyz"]).withColumn("in", F.lit(1))
+    return v.join(inside, ["label", "x", "y", "z"], "left").groupBy("label").agg(F.count("in").alias("inside"), F.count_if(F.col("in").isNull()).alias("outside"))
 
 
 @query("SELECT CAST(t.range * 3 + l.range + 1 AS BIGINT) AS label, true AS traced FROM range(27) t, range(3) l")
@@ -710,38 +762,49 @@ def skeletonize_tiled(spark, sf_dir):
     return size.select("label", ((F.col("v") > 20) & (F.col("e") == F.col("v") - 1)).alias("traced"))
 
 
-@query()
+TWICE = (
+    ", s1(id, d) USING KEY (id) AS (SELECT vid, 0.0::DOUBLE FROM comp WHERE vid = root UNION SELECT nb.b, min(s1.d + nb.w) FROM s1 JOIN nb ON nb.a = s1.id LEFT JOIN recurring.s1 r ON r.id = nb.b WHERE r.d IS NULL OR s1.d + nb.w < r.d - 1e-9 GROUP BY nb.b), "
+    "far AS (SELECT cc, arg_max(id, (round(d, 3), -id)) AS start FROM s1 JOIN comp ON vid = id GROUP BY cc), "
+    "s2(id, d) USING KEY (id) AS (SELECT start, 0.0::DOUBLE FROM far UNION SELECT nb.b, min(s2.d + nb.w) FROM s2 JOIN nb ON nb.a = s2.id LEFT JOIN recurring.s2 r ON r.id = nb.b WHERE r.d IS NULL OR s2.d + nb.w < r.d - 1e-9 GROUP BY nb.b)"
+)
+
+
+@query(WITH + shapes.comb_sql() + f", {ROOTS}{TWICE} SELECT comp.cc, start AS root, arg_max(id, (round(d, 3), -id)) AS target, CAST(1 AS BIGINT) AS maximum, false AS soma, count(*) AS valid FROM s2 JOIN comp ON vid = id JOIN far ON far.cc = comp.cc GROUP BY comp.cc, start")
 def trace_preparation(spark, sf_dir):
-    volumes = cube(spark, 24)
-    found = distance.with_dbf(cc.connected_components(src.small_tubes(spark), volumes), volumes)
-    return out(pipeline.prepared(found, volumes, TRACE), "cc", "root", "target", "maximum", "soma", "valid")
+    """Combs: the root is the farthest voxel from the first one, the target the farthest from the root."""
+    volumes = shapes.size(spark, shapes.COMB_SHAPE)
+    found = distance.with_dbf(cc.connected_components(shapes.combs(spark), volumes), volumes)
+    return pipeline.prepared(found, volumes, TRACE).select("cc", "root", "target", F.col("maximum").cast("long").alias("maximum"), "soma", "valid")
 
 
-@query()
+@query(WITH + COMBS + LOOPS + ", kept AS (SELECT label, vidx FROM point ANTI JOIN bypassed USING (label, vidx) WHERE vidx < 1000000 OR 1 + (((vidx - 1000000) // 10) * 3 + label) % 7 > 4) SELECT label, count(*) AS vertices, count(*) - 1 AS edges FROM kept GROUP BY label")
 def postprocess_tree(spark, sf_dir):
-    v, e = post.postprocess(*traced(spark), 5, 3)
+    """Combs with chords, gaps in the spine and a far speck of dust: one tree each, without bypassed vertices and ticks."""
+    v, e = comb_graph(spark, sf_dir)
+    speck = v.where("vidx IN (0, 1)").withColumns({"x": (F.col("vidx") - 5000).cast("float"), "vidx": F.col("vidx") + 900000})
+    dust = speck.groupBy("volume_id", "label").agg(F.lit(900000).cast("long").alias("e0"), F.lit(900001).cast("long").alias("e1"))
+    cut = e.where("e0 % 40 <> 38 OR e1 > 1000000")
+    v, e = post.postprocess(v.unionByName(speck), cut.unionByName(chords(v)).unionByName(dust), 5, 4.5)
     return v.groupBy("label").agg(F.count("*").alias("vertices")).join(e.groupBy("label").agg(F.count("*").alias("edges")), "label").select("label", "vertices", "edges")
 
 
-@query()
+@query(WITH + shapes.comb_sql() + ", " + shapes.comb_sql("vox2", 3) + f" SELECT CAST(0 AS BIGINT) AS volume_id, {SHOWN} FROM {shapes.comb_kept()} UNION ALL SELECT 1, {SHOWN} FROM {shapes.comb_kept('vox2', 3)}")
 def skeletonize_batch(spark, sf_dir):
-    one = (cube(spark, 24), src.small_tubes(spark))
-    two = (cube(spark, 15), src.hollow_box(spark))
-    v, _ = pipeline.skeletonize_batch([one, two], TRACE, dust_threshold=0)
-    return out(v, "volume_id", "label", "vidx", "x", "y", "z", "radius")
+    """Two volumes of combs with other teeth."""
+    samples = [(shapes.size(spark, shapes.COMB_SHAPE), shapes.combs(spark, factor)) for factor in (7, 3)]
+    return shown(pipeline.skeletonize_batch(samples, TRACE, dust_threshold=0)[0], "volume_id")
 
 
-@query()
+@query(WITH + shapes.comb_sql() + f" SELECT {SHOWN} FROM {shapes.comb_kept()}")
 def skeletonize_chunked(spark, sf_dir):
-    v, _ = pipeline.skeletonize_chunked(src.small_tubes(spark), cube(spark, 24), (14, 14, 14), TRACE)
-    return out(v, "label", "vidx", "x", "y", "z", "radius")
+    """Combs cut into three chunks give the skeletons of the whole."""
+    return shown(pipeline.skeletonize_chunked(shapes.combs(spark), shapes.size(spark, shapes.COMB_SHAPE), (20, 20, 12), TRACE)[0])
 
 
-@query()
+@query(WITH + shapes.PIPE_SKELETONS + " SELECT label, row_number() OVER (PARTITION BY label ORDER BY x, y, z) - 1 AS vidx, x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z, CAST(radius AS BIGINT) AS radius FROM line")
 def skeletonize_whole(spark, sf_dir):
-    """With holes filled and nested components repaired."""
-    v, _ = pipeline.skeletonize(src.hollow_box(spark), cube(spark, 15), TRACE, dust_threshold=0, fill_holes=True, fix_avocados=True)
-    return out(v, "label", "vidx", "x", "y", "z", "radius")
+    """Pipes, hollow or with a core, with holes filled: the middle lines of solid bars."""
+    return shown(pipeline.skeletonize(shapes.pipes(spark), shapes.size(spark, shapes.PIPE_SHAPE), TRACE, dust_threshold=0, fill_holes=True, fix_avocados=True)[0])
 
 
 @query(WITH + TUBES + ", p AS (SELECT * FROM vox WHERE z BETWEEN 16 AND 19 AND x BETWEEN 16 AND 19) SELECT y, CAST(16.0 AS DOUBLE) AS area FROM p GROUP BY y")
@@ -761,18 +824,20 @@ def oversegment(spark, sf_dir):
     return features.groupBy("feature").agg(F.count("*").alias("voxels"))
 
 
-@query()
+@query(WITH + TUBES + f", {ROOTS}{EDT}, on_ AS (SELECT a.*, sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS d FROM (SELECT * FROM comp WHERE label = 1 AND x = 8 AND y = 8 AND z BETWEEN 4 AND 22) a JOIN al b ON b.cc <> a.cc GROUP BY ALL) SELECT x, y, z, round(d, 4) AS radius FROM on_")
 def connect_points(spark, sf_dir):
+    """Through a ball and along its stem: the middle line, with the distances to the surface."""
     v, _ = analysis.connect_points(src.small_tubes(spark).where("label = 1"), cube(spark, 24), (8, 8, 4), (8, 8, 22))
-    return out(v, "vidx", "x", "y", "z", "radius")
+    return v.select(*[F.col(a).cast("long").alias(a) for a in "xyz"], F.round(F.col("radius").cast("double"), 4).alias("radius"))
 
 
-@query()
+@query(WITH + TUBES + f", {ROOTS}{EDT}, path AS (SELECT a.x, a.y, a.z, a.cc, 1.5 * sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) + 2 AS reach FROM (SELECT * FROM comp WHERE label = 1 AND x = 8 AND y = 8 AND z BETWEEN 12 AND 20) a JOIN al b ON b.cc <> a.cc GROUP BY a.x, a.y, a.z, a.cc) SELECT cc, vid FROM comp c WHERE EXISTS (SELECT 1 FROM path p WHERE p.cc = c.cc AND sqrt((p.x-c.x)*(p.x-c.x) + (p.y-c.y)*(p.y-c.y) + (p.z-c.z)*(p.z-c.z)) < reach)")
 def invalidated_voxels(spark, sf_dir):
+    """What a path along a stem takes out of the ball and the stem, which both lie open to it."""
     volumes = cube(spark, 24)
     found = distance.with_dbf(cc.connected_components(src.small_tubes(spark), volumes), volumes)
     path = found.where("label = 1 AND x = 8 AND y = 8 AND z BETWEEN 12 AND 20")
-    return morphology.invalidated(found, path, 1.5, 2.0, (1.0, 1.0, 1.0)).groupBy("cc").agg(F.count("*").alias("removed"))
+    return morphology.invalidated(found, path, 1.5, 2.0, (1.0, 1.0, 1.0)).select("cc", "vid")
 
 
 @query(WITH + POLY + ", c AS (SELECT e.label, sum(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS cable FROM edge e JOIN vert a ON a.label = e.label AND a.vidx = e0 JOIN vert b ON b.label = e.label AND b.vidx = e1 GROUP BY e.label) SELECT label FROM c WHERE cable <= 5000")
@@ -785,68 +850,77 @@ def size_classes(spark, sf_dir):
     return out(agg.size_class(agg.box_stats(order_voxels(spark, sf_dir), "label")), "label", "size_class")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(364 AS BIGINT)), (1, 273), (2, 182), (3, 91), (4, 10)) t(i, x)")
+@query(
+    WITH + generated_sql("vox", 9, "WHEN true THEN 1") + ", cost AS (SELECT *, CASE WHEN z = 0 THEN 0 ELSE 1 + (x * 7 + y * 5 + z * 3) % 11 END AS c FROM vox), nb AS MATERIALIZED (SELECT a.vid AS a, b.vid AS b, b.c AS w FROM cost a JOIN cost b ON abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1 AND abs(a.z-b.z) <= 1 AND a.vid <> b.vid AND b.z > 0 AND a.z > 0), "
+    "s(id, d) USING KEY (id) AS (SELECT vid, 0::DOUBLE FROM vox WHERE x = 4 AND y = 4 AND z = 4 UNION SELECT nb.b, min(s.d + nb.w) FROM s JOIN nb ON nb.a = s.id LEFT JOIN recurring.s r ON r.id = nb.b WHERE r.d IS NULL OR s.d + nb.w < r.d GROUP BY nb.b) SELECT min(d) AS cost, CAST(0 AS BIGINT) AS last_z FROM s JOIN vox ON vid = id WHERE z = 1"
+)
 def railroad_path(spark, sf_dir):
-    """From the middle of a cube to the nearest voxel of a plane of rails, as indices."""
-    cells = src.generated(spark, (9, 9, 9), F.lit(1)).withColumns({"cc": F.col("label"), "cost": F.when(F.col("z") == 0, 0.0).otherwise(1.0)})
+    """The cheapest path from the middle of a costly cube to a plane of rails: its cost, and where it ends."""
+    cells = src.generated(spark, (9, 9, 9), F.lit(1)).withColumns({"cc": F.col("label"), "cost": F.expr("CASE WHEN z = 0 THEN 0 ELSE 1 + (x * 7 + y * 5 + z * 3) % 11 END").cast("double")})
     start = spark.createDataFrame([(0, 1, 4 + 9 * (4 + 9 * 4))], "volume_id long, cc long, target long")
-    return paths.railroads(cells, start).select("i", F.col("vid").alias("x"))
+    path = paths.railroads(cells, start).join(cells.select("vid", "z", "cost"), "vid")
+    return path.agg(F.sum(F.when(F.col("i") > 0, F.col("cost"))).alias("cost"), F.max_by("z", "i").alias("last_z"))
 
 
-@query(WITH + TUBES + " SELECT CAST(1 AS BIGINT) AS starts, CAST(1 AS BIGINT) AS ends, true AS adjacent")
+@query(
+    WITH + TUBES + ", ball AS (SELECT *, 1 + (x * 7 + y * 5 + z * 3) % 11 AS c FROM vox WHERE label = 1), nb AS MATERIALIZED (SELECT a.vid AS a, b.vid AS b, b.c AS w FROM ball a JOIN ball b ON abs(a.x-b.x) <= 1 AND abs(a.y-b.y) <= 1 AND abs(a.z-b.z) <= 1 AND a.vid <> b.vid), "
+    "s(id, d) USING KEY (id) AS (SELECT min(vid), 0::DOUBLE FROM ball UNION SELECT nb.b, min(s.d + nb.w) FROM s JOIN nb ON nb.a = s.id LEFT JOIN recurring.s r ON r.id = nb.b WHERE r.d IS NULL OR s.d + nb.w < r.d GROUP BY nb.b) SELECT d AS cost, (SELECT min(vid) FROM ball) AS source, id AS target, true AS adjacent FROM s WHERE id = (SELECT max(vid) FROM ball)"
+)
 def backtrace_path(spark, sf_dir):
-    """A path through the parents of an entry-cost field leads from the source to the target in steps of one voxel."""
-    ball = src.small_tubes(spark).where("label = 1").withColumns({"cc": F.col("label"), "cost": (1 + (F.col("x") + F.col("y")) % 3).cast("double")})
+    """A path through the parents of an entry-cost field is a cheapest one, in steps of one voxel."""
+    ball = src.small_tubes(spark).where("label = 1").withColumns({"cc": F.col("label"), "cost": (1 + (F.col("x") * 7 + F.col("y") * 5 + F.col("z") * 3) % 11).cast("double")})
     tree = distance.component_field(ball, "entry", (1.0, 1.0, 1.0))
-    last = ball.agg(F.max("vid").alias("target"), F.min("vid").alias("source"))
-    goal = last.select(F.lit(0).cast("long").alias("volume_id"), F.lit(1).cast("long").alias("cc"), "target")
-    path = paths.backtraces(tree, goal).join(ball.select("vid", "x", "y", "z"), "vid")
+    goal = ball.groupBy("volume_id", "cc").agg(F.max("vid").alias("target"))
+    path = paths.backtraces(tree, goal).join(ball.select("vid", "x", "y", "z", "cost"), "vid")
     step = F.expr("greatest(abs(x - lag(x) OVER (ORDER BY i)), abs(y - lag(y) OVER (ORDER BY i)), abs(z - lag(z) OVER (ORDER BY i)))")  # one path
-    marked = path.withColumn("step", step).join(last)
-    return marked.agg(F.count_if(F.expr("i = 0 AND vid = source")).alias("starts"), F.count_if(F.expr("vid = target")).alias("ends"), F.bool_and(F.expr("step IS NULL OR step = 1")).alias("adjacent"))
+    return path.withColumn("step", step).agg(F.sum(F.when(F.col("i") > 0, F.col("cost"))).alias("cost"), F.min_by("vid", "i").alias("source"), F.max_by("vid", "i").alias("target"), F.bool_and(F.expr("step IS NULL OR step = 1")).alias("adjacent"))
 
 
-@query(WITH + TUBES + " SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT)), (2, 0), (3, 0)) t(cc, loops)")
+@query(WITH + shapes.comb_sql() + f", number AS (SELECT label, dense_rank() OVER (ORDER BY min(vid)) AS cc FROM vox GROUP BY label) SELECT cc, x, y, z FROM {shapes.comb_kept()} JOIN number USING (label)")
 def traced_components(spark, sf_dir):
-    volumes = cube(spark, 24)
-    found = distance.with_dbf(cc.connected_components(src.small_tubes(spark), volumes), volumes)
-    return post.loop_counts(*paths.traces(found, TRACE, (1.0, 1.0, 1.0))).select(F.col("label").alias("cc"), "loops")
+    volumes = shapes.size(spark, shapes.COMB_SHAPE)
+    found = distance.with_dbf(cc.connected_components(shapes.combs(spark), volumes), volumes)
+    v, _ = paths.traces(found, TRACE, (1.0, 1.0, 1.0))
+    return v.select(F.col("label").alias("cc"), *[F.col(a).cast("long").alias(a) for a in "xyz"])
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, CAST(729 AS BIGINT)), (2, false, 0)) t(cc, soma, filled)")
+@query(WITH + HOLLOW + VOIDS + ", solid AS (SELECT 1 AS cc, x, y, z FROM vox WHERE label = 42 UNION ALL SELECT 1, x, y, z FROM inside UNION ALL SELECT 2, x, y, z FROM vox WHERE label = 77), deep AS (SELECT s.cc, sqrt(min((s.x-c.x)*(s.x-c.x) + (s.y-c.y)*(s.y-c.y) + (s.z-c.z)*(s.z-c.z))) AS d FROM solid s, cell c WHERE NOT EXISTS (SELECT 1 FROM solid o WHERE o.cc = s.cc AND o.x = c.x AND o.y = c.y AND o.z = c.z) GROUP BY s.cc, s.x, s.y, s.z) SELECT CAST(cc AS BIGINT) AS cc, max(d) > 4 AS soma, max(d) AS deepest, CASE cc WHEN 1 THEN (SELECT count(*) FROM inside) ELSE 0 END AS filled FROM deep GROUP BY cc")
 def soma_flags(spark, sf_dir):
-    """A hollow box is filled and then deep enough; its core is not."""
+    """A hollow box is filled and then deep enough; its core is not.  With scale 1 the radius is the greatest depth."""
     volumes = cube(spark, 15)
     found = distance.with_dbf(cc.connected_components(src.hollow_box(spark), volumes), volumes)
-    return out(morphology.soma_flags(found, volumes, 0.5, 4.0, 1.0, 0.0), "cc", "soma", "filled")
+    own = morphology.soma_flags(found, volumes, 0.5, 4.0, 1.0, 0.0)
+    return own.join(found.groupBy("cc").agg(F.max("dbf").cast("double").alias("shallow")), "cc").select("cc", "soma", F.when(F.col("soma"), F.col("radius")).otherwise(F.col("shallow")).alias("deepest"), "filled")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS cc, CAST(2197 AS BIGINT) AS voxels")
+@query(WITH + generated_sql("vox", 15, "WHEN x BETWEEN 4 AND 10 AND y BETWEEN 4 AND 10 AND z BETWEEN 4 AND 10 THEN 2 WHEN x BETWEEN 1 AND 13 AND y BETWEEN 1 AND 13 AND z BETWEEN 1 AND 13 THEN 1") + " SELECT CAST(1 AS BIGINT) AS cc, vid FROM vox")
 def repaired_components(spark, sf_dir):
     """A core that its surroundings enclose becomes part of them."""
     v = src.generated(spark, (15, 15, 15), F.expr("CASE WHEN x BETWEEN 4 AND 10 AND y BETWEEN 4 AND 10 AND z BETWEEN 4 AND 10 THEN 2 WHEN x BETWEEN 1 AND 13 AND y BETWEEN 1 AND 13 AND z BETWEEN 1 AND 13 THEN 1 ELSE 0 END"))
     volumes = cube(spark, 15)
     found = distance.with_dbf(cc.connected_components(v, volumes), volumes)
-    return morphology.repaired(found, volumes, 5.0).groupBy("cc").agg(F.count("*").alias("voxels"))
+    return morphology.repaired(found, volumes, 5.0).select("cc", "vid")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS cc, CAST(729 AS BIGINT) AS added")
+@query(WITH + HOLLOW + VOIDS + " SELECT CAST(1 AS BIGINT) AS cc, x, y, z FROM inside")
 def filled_masks(spark, sf_dir):
+    """The voids of the shell alone; the core has none."""
     found = cc.connected_components(src.hollow_box(spark), cube(spark, 15))
-    return morphology.filled_masks(found).where("added").groupBy("cc").agg(F.count("*").alias("added"))
+    return morphology.filled_masks(found).where("added").select("cc", "x", "y", "z")
 
 
-@query(WITH + GRAPH_CELLS + " SELECT vid, CAST(0.5 AS DOUBLE) AS dbf FROM vox WHERE label > 0")
+@query(WITH + GRAPH_CELLS + ", d AS (WITH fine AS (SELECT 2 * x + dx AS x, 2 * y + dy AS y, 2 * z + dz AS z, label > 0 AND (dx + dy + dz <> 1 OR (bits >> (CASE WHEN dx = 1 THEN 0 WHEN dy = 1 THEN 2 ELSE 4 END)) & 1 = 1) AS free FROM vox, range(2) a(dx), range(2) b(dy), range(2) c(dz)) SELECT vid, sqrt(min((2*v.x-f.x)*(2*v.x-f.x) + (2*v.y-f.y)*(2*v.y-f.y) + (2*v.z-f.z)*(2*v.z-f.z))) / 2 AS raw FROM (SELECT * FROM vox WHERE label > 0) v, fine f WHERE NOT free GROUP BY vid) SELECT vid, round(raw, 5) AS dbf FROM d")
 def graph_distances(spark, sf_dir):
-    """Without any permitted step over a face, every voxel is half a voxel from a wall."""
-    cells = graph_cells(spark).withColumn("graph_bits", F.lit(0).cast("long")).join(cube(spark, 0, sides=(6, 5, 4)).select("ax", "ay", "az"))
-    return distance.graph_dbf(cells).where("label > 0").select("vid", F.col("dbf").cast("double").alias("dbf"))
+    """Distances where forbidden steps over faces are walls half a voxel away, on a grid of twice the resolution."""
+    cells = graph_cells(spark).join(cube(spark, 0, sides=(6, 5, 4)).select("ax", "ay", "az"))  # one row
+    return distance.graph_dbf(cells).where("label > 0").select("vid", F.round(F.col("dbf").cast("double"), 5).alias("dbf"))
 
 
-@query(WITH + POLY + " SELECT label, CAST(0 AS BIGINT) AS path, count(*) AS vertices FROM vert GROUP BY label")
+@query(WITH + COMBS + " SELECT label, CAST(0 AS BIGINT) AS leaf, max(n) AS vertices FROM spine GROUP BY label UNION ALL SELECT label, 1000000 + vidx * 10 + long, n - vidx + long FROM roots")
 def path_decomposition(spark, sf_dir):
-    """A polyline is one path."""
-    return post.path_decomposition(*polylines(spark, sf_dir)).groupBy("label", "path").agg(F.count("*").alias("vertices"))
+    """Combs as paths from the far end of the spine to its near end and to the tip of every tooth."""
+    found = post.path_decomposition(*comb_graph(spark, sf_dir))
+    return found.groupBy("label", "path").agg(F.min_by("vidx", "i").alias("leaf"), F.count("*").alias("vertices")).select("label", "leaf", "vertices")
 
 
 @query(WITH + POLY + " SELECT label, count(*) - 1 AS edges FROM vert GROUP BY label")
@@ -859,19 +933,19 @@ def join_close_components(spark, sf_dir):
     return links.groupBy("label").agg(F.count("*").alias("edges"))
 
 
-@query(WITH + POLY + " SELECT label, count(*) - 1 AS edges FROM vert GROUP BY label")
+@query(WITH + COMBS + " SELECT label, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM point WHERE vidx < 1000000 OR 1 + (((vidx - 1000000) // 10) * 3 + label) % 7 > 4")
 def remove_ticks(spark, sf_dir):
-    """Polylines have no branch points, so no branch goes."""
-    _, links = post.remove_ticks(*polylines(spark, sf_dir), 1000.0)
-    return links.groupBy("label").agg(F.count("*").alias("edges"))
+    """Of combs, the teeth of up to 4 vertices go."""
+    v, e = post.remove_ticks(*comb_graph(spark, sf_dir), 4.5)
+    return v.select("label", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
-@query(WITH + POLY + " SELECT label, CAST(0 AS BIGINT) AS loops FROM vert GROUP BY label")
+@query(WITH + COMBS + LOOPS + " SELECT label, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM point ANTI JOIN bypassed USING (label, vidx)")
 def remove_loops(spark, sf_dir):
-    """Polylines whose every twentieth vertices are linked as well have loops, and none afterwards."""
-    v, e = polylines(spark, sf_dir)
-    extra = v.where("vidx % 20 = 0 AND vidx >= 20").select("volume_id", "label", (F.col("vidx") - 20).alias("e0"), F.col("vidx").alias("e1"))
-    return out(post.loop_counts(*post.remove_loops(v, e.unionByName(extra))), "label", "loops")
+    """Combs with chords: of each loop the side of more vertices goes."""
+    v, e = comb_graph(spark, sf_dir)
+    v, e = post.remove_loops(v, e.unionByName(chords(v)))
+    return v.select("label", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
 @query(WITH + POLY + " SELECT volume_id, label, count(*) AS vertices FROM vert, (SELECT CAST(range AS BIGINT) AS volume_id FROM range(2)) GROUP BY volume_id, label")
@@ -879,3 +953,59 @@ def combined_batches(spark, sf_dir):
     """Two batches side by side; equal labels stay apart by volume."""
     v, e = polylines(spark, sf_dir)
     return setops.combined([(v, e), (v, e)])[0].groupBy("volume_id", "label").agg(F.count("*").alias("vertices"))
+
+
+@query(WITH + SPECKLES + f", {ROOTS} SELECT vid, root, cc FROM comp")
+def slab_components(spark, sf_dir):
+    """A volume that a stream brings in slabs of six planes: the components of the whole."""
+    base = f"{shared_base(spark)}/slabs-{uuid.uuid4().hex}"
+    rows = src.speckles(spark)
+    for low in range(0, 24, 6):
+        rows.where(F.col("z").between(low, low + 5)).coalesce(1).select(*[c.split()[0] for c in VOXELS.split(", ")]).write.mode("append").parquet(f"{base}/in")
+    slabs = SlabComponents(spark, cube(spark, 24), f"{base}/labelled")
+    stream = slabs.from_stream(f"{base}/in")
+    stream.awaitTermination()
+    return out(slabs.finish(), "vid", "root", "cc")
+
+
+@query(WITH + POLY + " SELECT DISTINCT x // 5 AS x, y // 40 AS y, z FROM vert")
+def distinct_points(spark, sf_dir):
+    v, _ = polylines(spark, sf_dir)
+    rounded = v.withColumns({"x": F.expr("x div 5"), "y": F.floor(F.col("y") / 40)})
+    return out(agg.distinct_points(rounded), "x", "y", "z")
+
+
+@query(WITH + ORDERS + FIELD + " SELECT vid, CASE WHEN d % 5 = 0 THEN CAST('Infinity' AS FLOAT) ELSE CAST(d AS FLOAT) END AS dbf FROM f")
+def normalised_distances(spark, sf_dir):
+    """Foreground without a distance counts as infinitely deep."""
+    rows = field(spark, sf_dir).withColumn("dbf", F.when(F.col("d") % 5 == 0, 0).otherwise(F.col("d")).cast("float"))
+    return out(morphology.normalised_distances(rows), "vid", "dbf")
+
+
+@query(WITH + POLY + ", s AS (SELECT label % 3 AS label, label AS part, vidx FROM vert) SELECT label, row_number() OVER (PARTITION BY label ORDER BY part, vidx) - 1 AS vidx, part * 1000000 + vidx AS was FROM s")
+def same_label(spark, sf_dir):
+    """Skeletons of components that share a label are numbered on, part after part."""
+    v, _ = polylines(spark, sf_dir)
+    parts = v.select("volume_id", (F.col("label") % 3).alias("label"), F.col("label").alias("part"), "vidx", (F.col("label") * 1000000 + F.col("vidx")).alias("was"))
+    return out(setops.same_label(parts), "label", "vidx", "was")
+
+
+@query(WITH + ORDERS + " SELECT label FROM (SELECT DISTINCT label FROM vox) WHERE label NOT IN (SELECT 1 + s_nationkey % 2 FROM supplier)")
+def repair_candidates(spark, sf_dir):
+    """Labels found but not settled yet."""
+    found = order_voxels(spark, sf_dir).select("label").distinct()
+    settled = table(spark, sf_dir, "supplier").select((1 + F.col("s_nationkey") % 2).cast("long").alias("label")).distinct()
+    return setops.candidates(found, settled)
+
+
+@query("SELECT x0, y0, z0, CAST(x0 * 16 AS DOUBLE) AS px, CAST(y0 * 16 AS DOUBLE) AS py, CAST(z0 * 40 AS DOUBLE) AS pz FROM (SELECT range AS x0 FROM range(0, 199, 63)), (SELECT range AS y0 FROM range(0, 99, 31)), (SELECT range AS z0 FROM range(0, 49, 49))")
+def physical_origins(spark, sf_dir):
+    return out(filters.physical_origins(src.iter_chunks(spark, (200, 100, 50), (64, 32, 50)), (16, 16, 40)), "x0", "y0", "z0", "px", "py", "pz")
+
+
+@query(WITH + TUBES + ", p AS (SELECT * FROM vox WHERE z BETWEEN 16 AND 19 AND x BETWEEN 16 AND 19) SELECT x, y, z, y - 2 AS vidx FROM p")
+def section_planes(spark, sf_dir):
+    """A straight line along a square tube: every voxel lies in the section of the vertex in its plane."""
+    line = spark.range(2, 22).select(F.lit(0).cast("long").alias("volume_id"), F.lit(2).cast("long").alias("label"), (F.col("id") - 2).alias("vidx"), F.lit(17).cast("float").alias("x"), F.col("id").cast("float").alias("y"), F.lit(17).cast("float").alias("z"), F.lit(1).cast("float").alias("radius"))
+    tube = src.small_tubes(spark).where("x BETWEEN 16 AND 19 AND z BETWEEN 16 AND 19")
+    return out(analysis.section_planes(tube, cube(spark, 24), line, src.polyline_edges(line)), "x", "y", "z", "vidx")
