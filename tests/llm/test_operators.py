@@ -736,6 +736,25 @@ def test_katz_by_brute_force(spark, docs, odd_rows, monkeypatch):
         assert math.isclose(mine[5], plain[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(mine[6], plain[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_a_stored_model_scores_other_texts_alike(spark, docs, odd_rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 2000)
+    folder = str(tmp_path / "model")
+    own = katz.score(docs, language_id.bucket("doc_id") == 1, save=folder).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3])
+    got = sorted((tuple(r) for r in katz.score_stored(docs, folder).collect()), key=key)
+    want = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score) for r in own), key=key)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-9)
+    # the tables are n-grams with their counts
+    bigrams, unigrams = spark.read.parquet(f"{folder}/bigrams"), spark.read.parquet(f"{folder}/unigrams")
+    sequences = [[2, *[xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(low(r[1] or ""))], 1] for r in odd_rows if bucket(r[0]) != 1]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    assert {(r[0], r[1]): r[2] for r in bigrams.select("history", "word", "count").collect()} == Counter((signed(a), signed(b)) for s in sequences for a, b in zip(s, s[1:]))
+    assert {r[0]: r[1] for r in unigrams.select("word", "count").collect()} == Counter(signed(h) for s in sequences for h in s[1:])
+    other = spark.createDataFrame([(1, "the house of the unseen"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in katz.score_stored(other, folder).collect()} == {1: 6, 2: 1}
+
+
 def test_discounts_stay_between_nothing_and_all():
     for counts in ({}, {1: 10}, {1: 100, 2: 40, 3: 20, 4: 10}, {5: 3, 9: 1}, {1: 1, 2: 100, 3: 1000}):
         d = katz.Discount(counts)(np.arange(1, 1000))

@@ -12,28 +12,36 @@ n-grams with its own counts, packed in a row a bucket, and gets the totals in th
 pair is one entry a block, however often it occurs, and bigrams are dealt by their own hash, not by their history.
 A history's sums are made in parts, each bigram by the one block that owns it, and merged by history.  Three rounds
 (unigrams, bigrams, weights) give all that the scores need; each is a written table, so that a lost executor costs a
-retry and not a recount.  The driver sees counts of counts and totals only.
+retry and not a recount.  The driver sees counts of counts and totals only.  Buckets follow the number of tokens, so a
+bucket, and a task, has as much to do at any size of the corpus.
 
-Words are told apart by 64-bit hashes.  Defined results: null or blank text is the end token alone; a null id counts as
+``save`` also stores the model as plain tables, partitioned by n-gram: unigrams (word, count), bigrams (history, word,
+count), weights (history, weight), totals.  ``score_stored`` scores any other corpus with such tables, by joins.
+
+Words are told apart by 64-bit hashes, the same as Spark's ``xxhash64``, and within the rounds bigrams by 64-bit hashes of
+two of those (of 10^9 distinct ones, under 0.03 pairs are expected to meet).  Defined results: null or blank text is the end token alone; a null id counts as
 an empty one for the split; repeated rows are counted and scored as often as they occur; with nothing to train on every
 token is unknown, with probability 1; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.llm.common import shared_dir, slices, texts_as_bytes, written
 
-BLOCK_TOKENS = 1_500_000
+#: Tokens of a block, and about as many that a bucket of a count table is asked for.
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
+SEED = 42  # Spark's
 TURING, FITTED, DEFAULT_SLOPE = 5, 50, -1.5
+#: Places of the end token and of a text's begin among the hashes.
 END_HASH, BEGIN_HASH = np.uint64(1), np.uint64(2)
 
 
@@ -120,7 +128,7 @@ def blocks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
         total = 0
 
         def row() -> pa.RecordBatch:
-            words = np.array([END_HASH, *map(xxhash.xxh64_intdigest, numbers)], "<u8")
+            words = np.array([END_HASH, *[xxhash.xxh64_intdigest(w, SEED) for w in numbers]], "<u8")
             values = [base + count, total, ids, held_out, squeeze(np.array(lengths, "<i4")), squeeze(words), squeeze(np.concatenate(parts))]
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["block", "n_tokens", "doc_ids", "held", "lengths", "words", "tokens"])
@@ -179,7 +187,7 @@ def ask_pairs(stored: DataFrame, buckets: int) -> DataFrame:
     return stored.mapInArrow(run, ASK_SCHEMA)
 
 
-def answers(asks: DataFrame) -> DataFrame:
+def answers(asks: DataFrame, buckets: int) -> DataFrame:
     """A bucket's part of a count table, as each block asked for it: 2 * total + 1 if the block owns the n-gram (it is
     the first with a count), else 2 * total.  Rows with a null block hold the bucket's counts of counts (r, n)."""
 
@@ -201,7 +209,7 @@ def answers(asks: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "bucket", "totals", "r", "n"])
 
-    return asks.groupBy("bucket").applyInArrow(merge, ANSWER_SCHEMA)
+    return _dealt(asks, "bucket", buckets).applyInArrow(merge, ANSWER_SCHEMA)
 
 
 class Discount:
@@ -230,21 +238,30 @@ class Discount:
         return d
 
 
+def discounted(r: Column, slope: float, turing: dict[int, float]) -> Column:
+    """A discount times its count, as a column."""
+    d = F.pow(1 + 1 / r, F.lit(1 + slope))
+    for k, v in turing.items():
+        d = F.when(r == k, F.lit(float(v))).otherwise(d)
+    return d * r
+
+
 def _counts_of_counts(table: DataFrame) -> tuple[Discount, DataFrame]:
     """The discount, and the rows (r, n) that it came from; only n_r of small r reach the driver."""
     rows = table.where("block IS NULL").select(F.explode(F.arrays_zip("r", "n")).alias("x")).groupBy(F.col("x.r").alias("r")).agg(F.sum("x.n").alias("n"))
     return Discount({x["r"]: x["n"] for x in rows.where(F.col("r") <= FITTED + 1).collect()}), rows
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of rounds that are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _dealt(rows: DataFrame, key: str, groups: int):
+    """Groups by ``key``, in as many tasks as there are groups (or shuffle partitions, if more)."""
+    return rows.repartition(max(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key).groupBy(key)
 
 
 class Model:
     """Totals and discounts, small enough to travel with a task."""
 
+    FIELDS = "tokens long, types long, unknown double, word_slope double, word_turing map<long, double>, pair_slope double, pair_turing map<long, double>"
+
     def __init__(self, tokens: int, types: int, unknown: float, words: Discount, pairs: Discount) -> None:
         self.tokens, self.types, self.unknown, self.words, self.pairs = tokens, types, unknown, words, pairs
 
@@ -252,6 +269,9 @@ class Model:
         """Probabilities of words with training counts ``c``."""
         return np.where(c > 0, self.words(c) * c / max(1, self.tokens), self.unknown)
 
+    def row(self) -> tuple:
+        return self.tokens, self.types, float(self.unknown), float(self.words.slope), self.words.turing, float(self.pairs.slope), self.pairs.turing
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
@@ -327,36 +347,89 @@ def _last_pass(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Trains on the rows where ``held`` is false, and scores all whole texts (log10 probabilities)."""
+def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", save: str | None = None) -> DataFrame:
+    """Trains on the rows where ``held`` is false, and scores all whole texts (log10 probabilities).  The model's tables
+    are stored in the folder ``save``, if one is given."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     stored = written(blocks(docs, F.coalesce(held, F.lit(False)), id_col, text_col), "blocks", folder)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = written(answers(ask_words(stored.drop("n_tokens"), buckets)), "unigrams", folder)
+    size = stored.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    stored = stored.drop("n_tokens")
+    buckets = max(1, math.ceil(size["tokens"] / BUCKET_TOKENS))
+    words = written(answers(ask_words(stored, buckets), buckets), "unigrams", folder)
     word_discount, word_counts = _counts_of_counts(words)
-    r = F.col("r").cast("double")
-    d = F.pow(1 + 1 / r, F.lit(1 + word_discount.slope))
-    for k, v in word_discount.turing.items():
-        d = F.when(F.col("r") == k, F.lit(v)).otherwise(d)
-    sums = word_counts.agg(F.sum(F.col("r") * F.col("n")).alias("tokens"), F.sum("n").alias("types"), F.sum(d * r * F.col("n")).alias("kept")).first()
+    kept = discounted(F.col("r").cast("double"), word_discount.slope, word_discount.turing)
+    sums = word_counts.agg(F.sum(F.col("r") * F.col("n")).alias("tokens"), F.sum("n").alias("types"), F.sum(kept * F.col("n")).alias("kept")).first()
     tokens, types = sums["tokens"] or 0, sums["types"] or 0
     unknown = 1 - sums["kept"] / tokens if tokens else 1.0
-    _release(spark)
-    pairs = written(answers(ask_pairs(stored.drop("n_tokens"), buckets)), "bigrams", folder)
+    pairs = written(answers(ask_pairs(stored, buckets), buckets), "bigrams", folder)
     pair_discount, _ = _counts_of_counts(pairs)
-    _release(spark)
     model = Model(tokens, types, unknown, word_discount, pair_discount)
 
     def kind(df: DataFrame, name: str) -> DataFrame:
         return df.where("block IS NOT NULL").select("block", F.lit(name).alias("kind"), "bucket", "totals")
 
-    with_totals = stored.drop("n_tokens").unionByName(kind(words, "w").unionByName(kind(pairs, "p")), allowMissingColumns=True)
-    parts = written(with_totals.groupBy("block").applyInArrow(_first_pass(model, buckets), PART_SCHEMA), "parts", folder)
-    _release(spark)
+    with_totals = stored.unionByName(kind(words, "w").unionByName(kind(pairs, "p")), allowMissingColumns=True)
+    parts = written(_dealt(with_totals, "block", size["blocks"]).applyInArrow(_first_pass(model, buckets), PART_SCHEMA), "parts", folder)
     asks = parts.where("bucket IS NOT NULL").select("block", "bucket", "need", "own", "mass", "lower", "seen")
-    weights = written(asks.groupBy("bucket").applyInArrow(_weights, "block long, bucket int, weights binary"), "weights", folder)
-    _release(spark)
+    weights = written(_dealt(asks, "bucket", buckets).applyInArrow(_weights, "block long, bucket int, weights binary"), "weights", folder)
+    if save:
+        _store(model, with_totals, size["blocks"], save)
     waiting = parts.where("bucket IS NULL").select("block", "doc_ids", "held", "lengths", "known", "base", "partial", "waits_doc", "waits_for")
-    scored = waiting.unionByName(weights, allowMissingColumns=True).groupBy("block").applyInArrow(_last_pass, SCORE_SCHEMA)
+    scored = _dealt(waiting.unionByName(weights, allowMissingColumns=True), "block", size["blocks"]).applyInArrow(_last_pass, SCORE_SCHEMA)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# the model as plain tables
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    """Kernel of a block with its totals: the bigrams that it owns, as (history, word, count)."""
+    rows = table.to_pylist()
+    b = Block(next(x for x in rows if x["tokens"] is not None))
+    b.find_pairs()
+    total = np.empty(len(b.keys), np.int64)
+    total[b.pair_order] = np.concatenate([expand(x, "<i8") for _, x in sorted((x["bucket"], x["totals"]) for x in rows if x["kind"] == "p")])
+    own, hashes = np.flatnonzero(total & 1), np.append(b.words, BEGIN_HASH).view(np.int64)
+    return pa.table({"history": hashes[b.first[own]], "word": hashes[b.second[own]], "count": total[own] >> 1})
+
+
+def _store(model: Model, with_totals: DataFrame, blocks_: int, folder: str) -> None:
+    spark = with_totals.sparkSession
+    spark.createDataFrame([model.row()], Model.FIELDS).write.mode("overwrite").parquet(f"{folder}/totals")
+    listed = _dealt(with_totals, "block", blocks_).applyInArrow(_listed, "history long, word long, count long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed.repartition(max(parts, blocks_), "history", "word").write.mode("overwrite").parquet(f"{folder}/bigrams")
+    bigrams = spark.read.parquet(f"{folder}/bigrams")
+    # each token ends one bigram, so the counts of words are sums of bigrams'
+    bigrams.groupBy("word").agg(F.sum("count").alias("count")).write.mode("overwrite").parquet(f"{folder}/unigrams")
+    unigrams = spark.read.parquet(f"{folder}/unigrams")
+    uni = discounted(F.col("c").cast("double"), model.words.slope, model.words.turing) / max(1, model.tokens)
+    kept = discounted(F.col("count").cast("double"), model.pairs.slope, model.pairs.turing)
+    rows = bigrams.join(unigrams.withColumnRenamed("count", "c"), "word").select("history", "count", kept.alias("kept"), uni.alias("uni"))
+    sums = rows.groupBy("history").agg(F.sum("count").alias("seen"), F.sum("kept").alias("mass"), F.sum("uni").alias("lower"))
+    weight = F.log10(F.greatest((1 - F.col("mass") / F.col("seen")) / F.greatest(1 - F.col("lower"), F.lit(1e-300)), F.lit(1e-300)))
+    sums.select("history", "seen", weight.alias("weight")).write.mode("overwrite").parquet(f"{folder}/weights")
+
+
+def score_stored(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, score) of every whole text with the model that ``score`` stored in ``folder``: each
+    distinct bigram of a text is looked up once, then its history's weight and its word's count where it isn't there.
+    DataFrame functions only; frequent words meet their rows of the tables in joins that Spark may split."""
+    spark = docs.sparkSession
+    t = spark.read.parquet(f"{folder}/totals").first()
+    bigrams, unigrams, weights = (spark.read.parquet(f"{folder}/{n}") for n in ("bigrams", "unigrams", "weights"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = written(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "texts")  # numbers that a retry keeps
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    ends = lambda n: F.array(F.lit(int(n)).cast("long"))
+    pairs = F.arrays_zip(F.concat(ends(BEGIN_HASH), words).alias("history"), F.concat(words, ends(END_HASH)).alias("word"))
+    asked = rows.select("row", F.explode(pairs).alias("p")).groupBy("row", F.col("p.history").alias("history"), F.col("p.word").alias("word")).agg(F.count("*").alias("n"))
+    c, r = F.coalesce(F.col("c"), F.lit(0)), F.col("count")
+    uni = F.when(c > 0, discounted(c.cast("double"), t["word_slope"], t["word_turing"]) / max(1, t["tokens"])).otherwise(F.lit(t["unknown"]))
+    seen = discounted(r.cast("double"), t["pair_slope"], t["pair_turing"]) / F.col("seen")
+    lp = F.when(r.isNotNull(), F.log10(seen)).otherwise(F.coalesce("weight", F.lit(0.0)) + F.log10(uni))
+    looked = asked.join(bigrams, ["history", "word"], "left").join(unigrams.withColumnRenamed("count", "c"), "word", "left").join(weights, "history", "left")
+    sums = looked.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * lp).alias("score"))
+    return rows.select("doc_id", "row").join(sums, "row").select("doc_id", "n_tokens", "n_known", "score")
