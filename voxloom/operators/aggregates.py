@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: The box of an id without voxels.
@@ -141,8 +143,16 @@ def removed_per_label(before: DataFrame, after: DataFrame, key: str = "cc") -> D
 
 
 def ranked(voxels: DataFrame, field: str, key: str = "cc") -> DataFrame:
-    """Order of tracing targets: the field from high to low, the index from high to low on ties."""
-    return voxels.withColumn("rank", F.row_number().over(Window.partitionBy("volume_id", key).orderBy(F.col(field).desc(), F.col("vid").desc())).cast("long"))
+    """Order of tracing targets: the field from high to low, the index from high to low on ties.  Voxels are sorted among
+    those of equal value only; where a value starts comes from a sum over the component's distinct values."""
+    of = ["volume_id", key, field]
+    counts = voxels.groupBy(*of).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("volume_id", key).orderBy(F.col(field).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(*of).orderBy(F.col("vid").desc()))
+    same = reduce(lambda x, y: x & y, [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in of])
+    joined = voxels.withColumn("__within", within).alias("v").join(starts.alias("s"), same)
+    return joined.select("v.*", (F.col("__start") + F.col("__within")).cast("long").alias("rank")).drop("__within")
 
 
 def next_targets(ranked_voxels: DataFrame, key: str = "cc") -> DataFrame:
@@ -152,9 +162,8 @@ def next_targets(ranked_voxels: DataFrame, key: str = "cc") -> DataFrame:
 
 def run_starts(voxels: DataFrame, key: str = "label") -> DataFrame:
     """The first voxel of each run of equal ids in the order of the index; a gap in the stored voxels ends a run."""
-    before = Window.partitionBy("volume_id").orderBy("vid")
-    rows = voxels.withColumns({"__v": F.lag("vid").over(before), "__k": F.lag(key).over(before)})
-    return rows.where(F.col("__v").isNull() | (F.col("__v") != F.col("vid") - 1) | (F.col("__k") != F.col(key))).drop("__v", "__k")
+    before = voxels.select("volume_id", (F.col("vid") + 1).alias("vid"), F.col(key).alias("__k"))
+    return voxels.join(before, ["volume_id", "vid"], "left").where(F.col("__k").isNull() | (F.col("__k") != F.col(key))).select(*voxels.columns)
 
 
 def smoothed_path(path: DataFrame, window: int, values: tuple[str, ...] = ("x", "y", "z"), keys: tuple[str, ...] = ("volume_id", "label")) -> DataFrame:

@@ -6,7 +6,7 @@ axis), so a group holds at most ``PENCIL``^2 whole lines; three shuffles, whatev
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.voxel import steps
 from voxloom.kernels.edt import _pass, edt, graph_edt
@@ -19,7 +19,7 @@ from voxloom.plans.fixpoint import distances
 PENCIL = 64
 
 
-def _axis_pass(axis: int, black_border: bool, first: bool):
+def _axis_pass(axis: int, black_border: bool, first: bool, carry: tuple[str, ...]):
     def kernel(c):
         at, low = box_of(c)
         size = at.max(axis=0) - low + 1
@@ -38,29 +38,39 @@ def _axis_pass(axis: int, black_border: bool, first: bool):
         else:
             steps = (float(w) * k) ** 2
         out = _pass(labels, squared, axis, steps, black_border)
-        return {n: c[n].astype(np.int64) for n in ("vid", "x", "y", "z", "cc")} | {"d2": out[place]}
+        return {n: c[n].astype(np.int64) for n in ("vid", "x", "y", "z", "cc", *carry)} | {"d2": out[place]}
 
     return kernel
 
 
-def squared_edt(voxels: DataFrame, volumes: DataFrame, black_border: bool = False, key: str = "cc") -> DataFrame:
+def axis_pass(rows: DataFrame, volumes: DataFrame, axis: int, black_border: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One axis of ``squared_edt``, over rows with ``cc`` and, but for the first axis, ``d2``; ``carry`` names further
+    columns of integers that stay with their voxels."""
+    a, others = "xyz"[axis], [b for b in "xyz" if b != "xyz"[axis]]
+    cut = rows.join(volumes.select("volume_id", F.col(f"s{a}").alias("size"), F.col(f"a{a}").alias("spacing")), "volume_id")
+    cut = cut.withColumns({f"p{b}": F.floor(F.col(b) / PENCIL) for b in others})
+    schema = ", ".join(["volume_id long", *[f"{c} long" for c in (f"p{others[0]}", f"p{others[1]}", "vid", "x", "y", "z", "cc", *carry)], "d2 double"])
+    return grouped(cut, ["volume_id", *[f"p{b}" for b in others]], _axis_pass(axis, black_border, axis == 0, carry), schema).drop(*[f"p{b}" for b in others])
+
+
+def squared_edt(voxels: DataFrame, volumes: DataFrame, black_border: bool = False, key: str = "cc", carry: tuple[str, ...] = ()) -> DataFrame:
     """Voxels with ``d2``: the squared distance to the nearest voxel with another ``key``, background among them;
     infinite where a volume has none.  With ``black_border`` the outside counts too."""
-    rows = voxels.withColumn("cc", F.col(key)).select("volume_id", "vid", "x", "y", "z", "cc")
-    size = volumes.select("volume_id", "sx", "sy", "sz", "ax", "ay", "az")
-    for axis, a in enumerate("xyz"):
-        others = [b for b in "xyz" if b != a]
-        cut = rows.join(size.select("volume_id", F.col(f"s{a}").alias("size"), F.col(f"a{a}").alias("spacing")), "volume_id")
-        cut = cut.withColumns({f"p{b}": F.floor(F.col(b) / PENCIL) for b in others})
-        schema = f"volume_id long, p{others[0]} long, p{others[1]} long, vid long, x long, y long, z long, cc long, d2 double"
-        rows = grouped(cut, ["volume_id", *[f"p{b}" for b in others]], _axis_pass(axis, black_border, axis == 0), schema).drop(*[f"p{b}" for b in others])
+    rows = voxels.withColumn("cc", F.col(key)).select("volume_id", "vid", "x", "y", "z", "cc", *carry)
+    for axis in range(3):
+        rows = axis_pass(rows, volumes, axis, black_border, carry)
     return rows.withColumnRenamed("cc", key)
 
 
+def depth() -> Column:
+    """The distance, as float, of the column ``d2``."""
+    return F.sqrt(F.col("d2").cast("float")).cast("float")
+
+
 def with_dbf(voxels: DataFrame, volumes: DataFrame, black_border: bool = False) -> DataFrame:
-    """Voxels (with ``cc``) and their distance to the surface, as float."""
-    d = squared_edt(voxels, volumes, black_border).select("volume_id", "vid", F.sqrt(F.col("d2").cast("float")).cast("float").alias("dbf"))
-    return voxels.join(d, ["volume_id", "vid"])
+    """Voxels (with ``cc``) and their distance to the surface, as float.  Columns of integers travel with the voxels."""
+    carry = tuple(c for c, kind in voxels.dtypes if c not in ("volume_id", "vid", "x", "y", "z", "cc") and kind in ("bigint", "int", "smallint", "tinyint"))
+    return squared_edt(voxels, volumes, black_border, carry=carry).select("volume_id", "vid", "x", "y", "z", *carry, "cc", depth().alias("dbf"))
 
 
 def graph_dbf(cells: DataFrame) -> DataFrame:

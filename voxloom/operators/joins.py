@@ -68,7 +68,7 @@ def synapse_targets(queries: DataFrame, voxels: DataFrame) -> DataFrame:
     return found.groupBy("x", "y", "z").agg(F.max_by("tag", F.struct("label", "tag")).alias("tag"))
 
 
-def radius_pairs(vertices: DataFrame, radius: float, part: str = "part") -> DataFrame:
+def radius_pairs(vertices: DataFrame, radius: float, part: str = "part", with_parts: bool = False) -> DataFrame:
     """(volume_id, label, a, b, d2): vertices of different parts of a label that are nearer than ``radius``; a cell of a
     grid with that side meets the cells around it."""
     cell = {a: F.floor(F.col(a) / radius) for a in "xyz"}
@@ -80,16 +80,14 @@ def radius_pairs(vertices: DataFrame, radius: float, part: str = "part") -> Data
     right = rows.select("volume_id", "label", "gx", "gy", "gz", F.col("vidx").alias("b"), F.col("part").alias("pb"), *[F.col(c).alias(f"{c}b") for c in "xyz"])
     d2 = sum(((F.col(f"{c}a") - F.col(f"{c}b")) * (F.col(f"{c}a") - F.col(f"{c}b")) for c in "xyz"), F.lit(0))
     pairs = left.join(right, ["volume_id", "label", "gx", "gy", "gz"]).where("pa < pb").withColumn("d2", d2)
-    return pairs.where(F.col("d2") < radius * radius).select("volume_id", "label", "a", "b", "d2")
+    return pairs.where(F.col("d2") < radius * radius).select("volume_id", "label", "a", "b", "d2", *(["pa", "pb"] if with_parts else []))
 
 
 def nearest_between_parts(vertices: DataFrame, radius: float, part: str = "part") -> DataFrame:
     """The closest vertices of each two parts within the radius: (volume_id, label, pa, pb, a, b, d2)."""
-    parts = vertices.select("volume_id", "label", "vidx", F.col(part).alias("p"))
-    pairs = radius_pairs(vertices, radius, part)
-    keys = ["volume_id", "label"]
-    named = pairs.join(parts.withColumnsRenamed({"vidx": "a", "p": "pa"}), [*keys, "a"]).join(parts.withColumnsRenamed({"vidx": "b", "p": "pb"}), [*keys, "b"])
-    return named.groupBy(*keys, "pa", "pb").agg(F.min(F.struct("d2", "a", "b")).alias("m")).select(*keys, "pa", "pb", "m.a", "m.b", "m.d2")
+    keys = ["volume_id", "label", "pa", "pb"]
+    # the least of each cell's pairs is found where the cells meet; only those are shuffled
+    return radius_pairs(vertices, radius, part, True).groupBy(*keys).agg(F.min(F.struct("d2", "a", "b")).alias("m")).select(*keys, "m.a", "m.b", "m.d2")
 
 
 def ownership(filled: DataFrame, owners: DataFrame) -> DataFrame:

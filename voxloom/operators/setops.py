@@ -41,6 +41,25 @@ def merge_fragments(vertices: DataFrame, edges: DataFrame, origins: DataFrame |
     return consolidated(rows.withColumn("vidx", number), edges.withColumns({e: F.struct("fragment", F.col(e).alias("vidx")) for e in ("e0", "e1")}))
 
 
+def fused(vertices: DataFrame, edges: DataFrame, low, high, origins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fragments cut to a closed box and merged; where the fragments have origins, the box is in the whole's place."""
+    rows = vertices if origins is None else moved(vertices, origins)
+    inside = reduce(lambda x, y: x & y, [F.col(a).between(p, q) for a, p, q in zip("xyz", low, high)])
+    names = rows.where(inside).select("fragment", "volume_id", "label", "vidx")
+    for e in ("e0", "e1"):
+        edges = edges.join(names.withColumnRenamed("vidx", e), ["fragment", "volume_id", "label", e], "left_semi")
+    return merge_fragments(rows.where(inside), edges)
+
+
+def in_space(vertices: DataFrame, volumes: DataFrame, space: str) -> DataFrame:
+    """Vertices in units of voxels (``voxel``) taken to physical units (``physical``), or back."""
+    if space not in ("voxel", "physical"):
+        raise ValueError("a space is voxel or physical")
+    rows = vertices.join(volumes.select("volume_id", "ax", "ay", "az"), "volume_id")
+    scale = lambda a: F.col(a) * F.col(f"a{a}") if space == "physical" else F.col(a) / F.col(f"a{a}")
+    return rows.withColumns({a: scale(a).cast("float") for a in "xyz"}).select(*vertices.columns)
+
+
 def combined(batches: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Skeletons of several batches side by side, with the batch's number as volume; equal labels stay apart."""
     tag = lambda df, i: df.withColumn("volume_id", F.lit(i).cast("long"))

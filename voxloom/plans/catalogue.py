@@ -19,7 +19,7 @@ from voxloom.plans import pipeline, shapes
 from voxloom.plans.fixpoint import shared_base
 from voxloom.schemas import VOLUMES, VOXELS
 from voxloom.sources import volumes as src
-from voxloom.streaming.slabs import SlabComponents
+from voxloom.streaming.slabs import SlabComponents, SlabDistances, SlabSkeletons
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -122,10 +122,29 @@ def warm_up_volume(spark, sf_dir):
 
 @query(WITH + TUBES + " SELECT x, y, z, vid, label FROM vox")
 def blocks_to_voxels(spark, sf_dir):
-    """The volume as blocks of bytes, and back."""
-    rows = src.small_tubes(spark).select("x", "y", "z", "label").collect()
-    blocks = spark.createDataFrame(src.blocks_of(src.dense(rows, (24, 24, 24)), side=16))
-    return out(src.voxels_of_blocks(blocks, cube(spark, 24)), "x", "y", "z", "vid", "label")
+    """The volume as blocks of compressed bytes, and back."""
+    blocks = src.to_blocks(src.small_tubes(spark), cube(spark, 24), side=16)
+    return out(src.voxels_of_compressed(blocks, cube(spark, 24)), "x", "y", "z", "vid", "label")
+
+
+@query(WITH + ORDERS + " SELECT vid, x, y, z FROM vox WHERE label = 2")
+def blocks_of_one_label(spark, sf_dir):
+    """Only blocks that list the label are decoded."""
+    v = order_voxels(spark, sf_dir)
+    size = order_volume(spark, v)
+    return out(src.voxels_of_compressed(src.to_blocks(v, size, side=32), size, label=2), "vid", "x", "y", "z")
+
+
+@query(WITH + TUBES + " SELECT x, y, z, vid, label FROM vox")
+def arrow_to_voxels(spark, sf_dir):
+    """Columns that arrive in memory as Arrow."""
+    return out(src.from_arrow(spark, src.small_tubes(spark).toArrow(), cube(spark, 24)), "x", "y", "z", "vid", "label")
+
+
+@query(WITH + ORDERS + " SELECT f AS factor, CASE WHEN max(label) * f < 256 THEN 'u1' WHEN max(label) * f < 65536 THEN 'u2' WHEN max(label) * f < 4294967296 THEN 'u4' ELSE 'u8' END AS type FROM vox, (VALUES (CAST(1 AS BIGINT)), (1000), (1000000), (10000000000)) m(f) GROUP BY f")
+def label_types(spark, sf_dir):
+    rows = order_voxels(spark, sf_dir).withColumn("factor", F.explode(F.array(*[F.lit(f).cast("long") for f in (1, 1000, 1000000, 10000000000)])))
+    return src.narrowest(rows.withColumns({"label": F.col("label") * F.col("factor"), "volume_id": F.col("factor")})).select(F.col("volume_id").alias("factor"), "type")
 
 
 @query(WITH + ORDERS + " SELECT vid, x, y, z, vid % 64 AS ux, (vid // 64) % sy AS uy, vid // (64 * sy) AS uz FROM vox, dims")
@@ -958,10 +977,7 @@ def combined_batches(spark, sf_dir):
 @query(WITH + SPECKLES + f", {ROOTS} SELECT vid, root, cc FROM comp")
 def slab_components(spark, sf_dir):
     """A volume that a stream brings in slabs of six planes: the components of the whole."""
-    base = f"{shared_base(spark)}/slabs-{uuid.uuid4().hex}"
-    rows = src.speckles(spark)
-    for low in range(0, 24, 6):
-        rows.where(F.col("z").between(low, low + 5)).coalesce(1).select(*[c.split()[0] for c in VOXELS.split(", ")]).write.mode("append").parquet(f"{base}/in")
+    base = streamed(spark, src.speckles(spark), 6, 24)
     slabs = SlabComponents(spark, cube(spark, 24), f"{base}/labelled")
     stream = slabs.from_stream(f"{base}/in")
     stream.awaitTermination()
@@ -1009,3 +1025,91 @@ def section_planes(spark, sf_dir):
     line = spark.range(2, 22).select(F.lit(0).cast("long").alias("volume_id"), F.lit(2).cast("long").alias("label"), (F.col("id") - 2).alias("vidx"), F.lit(17).cast("float").alias("x"), F.col("id").cast("float").alias("y"), F.lit(17).cast("float").alias("z"), F.lit(1).cast("float").alias("radius"))
     tube = src.small_tubes(spark).where("x BETWEEN 16 AND 19 AND z BETWEEN 16 AND 19")
     return out(analysis.section_planes(tube, cube(spark, 24), line, src.polyline_edges(line)), "x", "y", "z", "vidx")
+
+
+def streamed(spark, rows: DataFrame, height: int, depth: int) -> str:
+    """A folder of files with ``height`` planes each."""
+    base = f"{shared_base(spark)}/slabs-{uuid.uuid4().hex}"
+    for low in range(0, depth, height):
+        rows.where(F.col("z").between(low, low + height - 1)).coalesce(1).select(*[c.split()[0] for c in VOXELS.split(", ")]).write.mode("append").parquet(f"{base}/in")
+    return base
+
+
+@query(WITH + TUBES + f", {ROOTS}{EDT} SELECT a.vid, CAST(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS BIGINT) AS d2 FROM comp a JOIN al b ON b.cc <> a.cc AND abs(a.x-b.x) <= 6 AND abs(a.y-b.y) <= 6 AND abs(a.z-b.z) <= 6 GROUP BY a.vid")
+def slab_distances(spark, sf_dir):
+    """Distances of a volume that a stream brings in slabs."""
+    base = streamed(spark, src.small_tubes(spark), 5, 24)
+    slabs = SlabDistances(spark, cube(spark, 24), f"{base}/planes")
+    slabs.from_stream(f"{base}/in").awaitTermination()
+    return slabs.finish().select("vid", F.round(F.col("dbf") * F.col("dbf")).cast("long").alias("d2"))
+
+
+@query(WITH + shapes.comb_sql() + f" SELECT {SHOWN} FROM {shapes.comb_kept()}")
+def slab_skeletons(spark, sf_dir):
+    """Skeletons of a volume that a stream brings in slabs."""
+    base = streamed(spark, shapes.combs(spark), 4, shapes.COMB_SHAPE[2])
+    slabs = SlabSkeletons(spark, shapes.size(spark, shapes.COMB_SHAPE), f"{base}/parts")
+    for stream in slabs.from_stream(f"{base}/in"):
+        stream.awaitTermination()
+    return shown(slabs.finish(TRACE, 0)[0])
+
+
+@query(WITH + POLY + " SELECT label, count(*) AS vertices, (SELECT count(*) FROM edge e WHERE e.label = i.label AND e.e0 >= 5 AND e.e1 <= 40) AS edges FROM vert i WHERE x BETWEEN 5 AND 40 GROUP BY label")
+def fused_fragments(spark, sf_dir):
+    """Overlapping halves of each polyline cut to a box and merged."""
+    v, e = halves(spark, sf_dir)
+    v, e = setops.fused(v, e, (5, -100000, -1), (40, 100000, 99))
+    return v.groupBy("label").agg(F.count("*").alias("vertices")).join(e.groupBy("label").agg(F.count("*").alias("edges")), "label").select("label", "vertices", "edges")
+
+
+@query(WITH + POLY + " SELECT label, vidx, CAST(x * 16 AS DOUBLE) AS px, CAST(y * 16 AS DOUBLE) AS py, CAST(z * 40 AS DOUBLE) AS pz, CAST(x AS DOUBLE) AS bx FROM vert")
+def spaces(spark, sf_dir):
+    """Vertices in physical units, and back in voxels."""
+    v, _ = polylines(spark, sf_dir)
+    size = cube(spark, 1, aniso=(16.0, 16.0, 40.0))
+    there = setops.in_space(v, size, "physical")
+    back = setops.in_space(there, size, "voxel").select("label", "vidx", F.col("x").cast("double").alias("bx"))
+    return there.select("label", "vidx", *[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"]).join(back, ["label", "vidx"])
+
+
+@query(WITH + POLY + ", n AS (SELECT label, count(*) AS v, dense_rank() OVER (ORDER BY label) - 1 AS i FROM vert GROUP BY label), o AS (SELECT label, v, i, CAST(coalesce(sum(v) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM n) SELECT label, off - (SELECT min(off) FROM o WHERE i BETWEEN 2 AND 5) AS v_off, v AS vertices FROM o WHERE i BETWEEN 2 AND 5")
+def packed_slice(spark, sf_dir):
+    rows = src.row_view(src.packed(*polylines(spark, sf_dir)), 2, 6)
+    return rows.select("label", F.col("v_off").cast("long").alias("v_off"), F.size("vertices").cast("long").alias("vertices"))
+
+
+@query(WITH + POLY + ", g AS (SELECT label, vidx, row_number() OVER (ORDER BY label, vidx) - 1 AS g FROM vert) SELECT e.label, a.g AS g0, b.g AS g1 FROM edge e JOIN g a ON a.label = e.label AND a.vidx = e0 JOIN g b ON b.label = e.label AND b.vidx = e1")
+def global_edges(spark, sf_dir):
+    """Edges for an export with one list of vertices."""
+    return out(src.global_edges(src.packed(*polylines(spark, sf_dir))), "label", "g0", "g1")
+
+
+@query(WITH + shapes.comb_sql() + f", n AS (SELECT label, count(*) AS v FROM {shapes.comb_kept()} GROUP BY label) SELECT label, v AS vertices, v - 1 AS edges, CAST(coalesce(sum(v) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS v_off FROM n")
+def skeletonize_packed(spark, sf_dir):
+    """Skeletons as one row each, with offsets."""
+    rows = src.packed(*traced(spark))
+    return rows.select("label", F.size("vertices").cast("long").alias("vertices"), F.size("edges").cast("long").alias("edges"), "v_off")
+
+
+@query(WITH + TUBES + ", bg AS (SELECT i % 26 - 1 AS x, i // 26 - 1 AS y FROM range(676) r(i)) SELECT a.vid, CAST(min((a.x-bg.x)*(a.x-bg.x) + (a.y-bg.y)*(a.y-bg.y)) AS BIGINT) AS d2 FROM vox a, bg WHERE a.z IN (3, 8, 17) AND NOT EXISTS (SELECT 1 FROM vox b WHERE b.x = bg.x AND b.y = bg.y AND b.z = a.z AND b.label = a.label) GROUP BY a.vid")
+def edt_planes(spark, sf_dir):
+    """Distances within planes."""
+    rows = distance.line_edt(src.small_tubes(spark).where("z IN (3, 8, 17)"), (1.0, 1.0, 1.0), 2)
+    return rows.select("vid", F.round(F.col("d") * F.col("d")).cast("long").alias("d2"))
+
+
+@query(WITH + TUBES + ", lo AS (SELECT * FROM vox WHERE z < 12), hi AS (SELECT x, y, z - 12 AS z, x + 24 * (y + 24 * (z - 12)) AS vid, label FROM vox WHERE z >= 12), both_ AS (SELECT 0 AS volume_id, * FROM lo UNION ALL SELECT 1, * FROM hi), cell AS (SELECT i % 24 AS x, (i // 24) % 24 AS y, i // 576 AS z FROM range(6912) r(i)) SELECT CAST(a.volume_id AS BIGINT) AS volume_id, a.vid, CAST(min((a.x-c.x)*(a.x-c.x) + (a.y-c.y)*(a.y-c.y) + (a.z-c.z)*(a.z-c.z)) AS BIGINT) AS d2 FROM both_ a JOIN cell c ON abs(a.x-c.x) <= 6 AND abs(a.y-c.y) <= 6 AND abs(a.z-c.z) <= 6 WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.volume_id = a.volume_id AND b.x = c.x AND b.y = c.y AND b.z = c.z AND b.label = a.label) GROUP BY a.volume_id, a.vid")
+def edt_stack(spark, sf_dir):
+    """A stack of independent samples: no distance reaches from one into the next."""
+    rows = src.small_tubes(spark)
+    halves_ = rows.where("z < 12").unionByName(rows.where("z >= 12").withColumns({"volume_id": F.lit(1).cast("long"), "z": F.col("z") - 12})).withColumn("vid", flat_index("x", "y", "z", F.lit(24), F.lit(24)))
+    volumes = cube(spark, 0, sides=(24, 24, 12)).unionByName(cube(spark, 0, sides=(24, 24, 12)).withColumn("volume_id", F.lit(1).cast("long")))
+    return distance.squared_edt(halves_, volumes, key="label").select("volume_id", "vid", F.col("d2").cast("long").alias("d2"))
+
+
+@query(WITH + shapes.comb_sql() + " SELECT label, vid FROM vox WHERE y = 4")
+def trace_first_path(spark, sf_dir):
+    """With a limit of two paths (the spine's and one tooth's), the spine is there and one end beside it."""
+    v, _ = pipeline.skeletonize(shapes.combs(spark), shapes.size(spark, shapes.COMB_SHAPE), {**TRACE, "max_paths": 2}, dust_threshold=0)
+    rows = v.where("y = 4").select("label", *[F.col(a).cast("long").alias(a) for a in "xyz"])
+    return rows.select("label", flat_index("x", "y", "z", F.lit(48), F.lit(20)).alias("vid"))

@@ -45,8 +45,15 @@ def _check_targets(targets: DataFrame | None) -> None:
         raise ValueError(f"targets need the columns {TARGETS}")
 
 
+def _bounded(sizes: DataFrame, what: str) -> None:
+    """Groups larger than a task may hold are an error before any is made; ``sizes`` has a column ``voxels``."""
+    if not sizes.where(F.col("voxels") > MAX_GROUP_VOXELS).isEmpty():
+        raise ValueError(f"a {what} is too large for one task; cut the volume into chunks")
+
+
 def _by_volume(voxels: DataFrame, volumes: DataFrame, params: TeasarParams, dust: float, options: dict, targets: DataFrame | None) -> DataFrame:
     """Whole volumes as groups, for options whose steps depend on each other across components."""
+    _bounded(volumes.select((F.col("sx") * F.col("sy") * F.col("sz")).alias("voxels")), "volume")
     rows = voxels.join(volumes, "volume_id")
     if targets is not None:
         lists = targets.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct("kind", "ord", "x", "y", "z"))).alias("targets"))
@@ -71,11 +78,20 @@ def _by_volume(voxels: DataFrame, volumes: DataFrame, params: TeasarParams, dust
 
 def _by_component(voxels: DataFrame, volumes: DataFrame, params: TeasarParams, dust: float, fix_branching: bool, fix_borders: bool, targets: DataFrame | None) -> DataFrame:
     found = reliable(connected_components(voxels, volumes))
-    table = component_table(found)
+    return traced_fields(found, None, volumes, params, dust, fix_branching, fix_borders, targets)
+
+
+def traced_fields(found: DataFrame, measured: DataFrame | None, volumes: DataFrame, params: TeasarParams, dust: float, fix_branching: bool = True, fix_borders: bool = True, targets: DataFrame | None = None) -> DataFrame:
+    """Rows of ``SKELETONS``, one a component: ``found`` are voxels with their components, ``measured`` the same with their
+    distances (computed here where there are none)."""
+    table = reliable(component_table(found))
+    _bounded(table, "component")
     kept = table.where((F.col("voxels") > dust) & (F.col("voxels") > 1)).select("volume_id", "cc", F.col("label").alias("name"))
     # a volume of one component without background has walls outside
     whole = table.groupBy("volume_id").agg(F.count("*").alias("n"), F.sum("voxels").alias("v")).join(volumes, "volume_id").where("n = 1 AND v = sx * sy * sz").select("volume_id")
-    if whole.isEmpty():
+    if measured is not None:
+        pass
+    elif whole.isEmpty():
         measured = with_dbf(found, volumes)
     else:
         measured = with_dbf(found.join(whole, "volume_id", "left_anti"), volumes).unionByName(with_dbf(found.join(whole, "volume_id", "left_semi"), volumes, True))
@@ -93,8 +109,6 @@ def _by_component(voxels: DataFrame, volumes: DataFrame, params: TeasarParams, d
 
     def kernel(c):
         at, _ = box_of(c)
-        if len(at) > MAX_GROUP_VOXELS:
-            raise ValueError("a component is too large for one task; cut the volume into chunks")
         w = tuple(float(c[f"a{a}"][0]) for a in "xyz")
         size = [int(c[f"s{a}"][0]) for a in "xyz"]
         wanted = c["targets"][0] if "targets" in c and c["targets"][0] is not None else []
@@ -127,6 +141,11 @@ def skeletonize(
         found = _by_volume(rows, volumes, params, dust_threshold, options, targets)
     else:
         found = _by_component(rows, volumes, params, dust_threshold, fix_branching, fix_borders, targets)
+    return united(found)
+
+
+def united(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of rows of ``SKELETONS``: components of one label share its skeleton."""
     vertices, edges = split(reliable(found))
     number = lambda c: F.struct("part", F.col(c).alias("i")).alias(c)
     return consolidated(vertices.withColumn("vidx", number("vidx")).drop("part"), edges.withColumns({e: number(e) for e in ("e0", "e1")}).drop("part"))

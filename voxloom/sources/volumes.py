@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom import schemas
 from voxloom.functions.voxel import flat_index, integer_label, unravel
+from voxloom.operators.grouped import grouped
 from voxloom.params import check_anisotropy
 
 KINDS = "u1 u2 u4 u8 i1 i2 i4 i8 f4 f8".split()
@@ -68,6 +70,49 @@ def voxels_of_blocks(blocks: DataFrame, volumes: DataFrame) -> DataFrame:
     return cells.join(volumes.select("volume_id", "sx", "sy"), "volume_id").select("volume_id", flat_index("x", "y", "z", "sx", "sy").alias("vid"), "x", "y", "z", "label")
 
 
+def to_blocks(voxels: DataFrame, volumes: DataFrame, side: int = 64) -> DataFrame:
+    """Voxels as blocks with bytes, a group each; blocks without foreground are left out.  ``labels`` lists a block's
+    labels, and its bytes are compressed."""
+    origin = {f"o{a}": F.floor(F.col(a) / side) * side for a in "xyz"}
+    rows = voxels.join(volumes.select("volume_id", "sx", "sy", "sz"), "volume_id").withColumns(origin)
+
+    def kernel(c):
+        at = np.stack([c[a].astype(np.int64) - int(c[f"o{a}"][0]) for a in "xyz"], axis=1)
+        shape = [min(side, int(c[f"s{a}"][0]) - int(c[f"o{a}"][0])) for a in "xyz"]
+        block = np.zeros(shape, "<i8")
+        block[tuple(at.T)] = c["label"]
+        return {f"s{a}": [n] for a, n in zip("xyz", shape)} | {"dtype": ["i8"], "data": [zlib.compress(block.tobytes(order="F"), 1)], "labels": [np.unique(c["label"]).tolist()]}
+
+    return grouped(rows, ["volume_id", "ox", "oy", "oz"], kernel, f"{schemas.BLOCKS}, labels array<long>")
+
+
+def voxels_of_compressed(blocks: DataFrame, volumes: DataFrame, label: int | None = None) -> DataFrame:
+    """Foreground of compressed blocks; of one label, if it is named: then only blocks that list it are decoded."""
+    rows = blocks if label is None else blocks.where(F.array_contains("labels", label))
+
+    def plain(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            data = [zlib.decompress(x) for x in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(data, pa.binary())], schema=batch.schema)
+
+    names = [c.split()[0] for c in schemas.BLOCKS.split(", ")]
+    found = voxels_of_blocks(rows.select(*names).mapInArrow(plain, schemas.BLOCKS), volumes)
+    return found if label is None else found.where(F.col("label") == label)
+
+
+def from_arrow(spark: SparkSession, table: pa.Table, volumes: DataFrame) -> DataFrame:
+    """Voxels of an Arrow table (volume_id, x, y, z, label) in memory; other columns are left out."""
+    rows = spark.createDataFrame(table.select(["volume_id", "x", "y", "z", "label"]))
+    sized = rows.join(volumes.select("volume_id", "sx", "sy"), "volume_id").where("label <> 0")
+    return sized.select(F.col("volume_id").cast("long"), flat_index("x", "y", "z", "sx", "sy").alias("vid"), *[F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "label")])
+
+
+def narrowest(voxels: DataFrame) -> DataFrame:
+    """(volume_id, type): the least unsigned type that holds a volume's labels."""
+    top = F.max("label")
+    return voxels.groupBy("volume_id").agg(F.when(top < 1 << 8, "u1").when(top < 1 << 16, "u2").when(top < 1 << 32, "u4").otherwise("u8").alias("type"))
+
+
 def volume(spark: SparkSession, array, volume_id: int = 0, anisotropy=(1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
     """(volumes, voxels) of one array in memory."""
     a = as_volume(array)
@@ -217,6 +262,24 @@ def unpacked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.selectExpr("volume_id", "label", "inline(vertices)"), rows.selectExpr("volume_id", "label", "inline(edges)")
 
 
+def row_view(rows: DataFrame, start: int, stop: int) -> DataFrame:
+    """The skeletons number ``start`` to ``stop`` - 1 of ``packed`` rows, by label, with offsets from 0."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("volume_id").orderBy("label")
+    some = rows.withColumn("__i", F.row_number().over(order) - 1).where(F.col("__i").between(start, stop - 1)).drop("__i")
+    return some.withColumns({c: F.col(c) - F.min(c).over(Window.partitionBy("volume_id")) for c in ("v_off", "e_off")})
+
+
+def global_edges(rows: DataFrame) -> DataFrame:
+    """(volume_id, label, g0, g1): edges of ``packed`` rows between numbers that run over all skeletons of a volume."""
+    number = rows.select("volume_id", "label", "v_off", F.posexplode("vertices").alias("i", "v")).select("volume_id", "label", "v.vidx", (F.col("v_off") + F.col("i")).alias("g"))
+    out = unpacked(rows)[1]
+    for e in ("0", "1"):
+        out = out.join(number.withColumnsRenamed({"vidx": f"e{e}", "g": f"g{e}"}), ["volume_id", "label", f"e{e}"])
+    return out.select("volume_id", "label", "g0", "g1")
+
+
 def padded(vertices: DataFrame, max_skeletons: int, max_vertices: int) -> DataFrame:
     """(volume_id, slot, label, xs, ys, zs, mask): a fixed number of skeletons and vertices, cut or filled up with 0; the
     label of an empty slot is -1."""

@@ -1,16 +1,20 @@
-"""Components of a volume that arrives slab by slab.
+"""Components, distances and skeletons of a volume that arrives slab by slab.
 
 Every slab (one micro-batch of voxels) is labelled on its own; only its voxels on the first and last plane are kept to
 meet its neighbours.  When the stream has ended, the planes give the seams, and the components come out as if the volume
-had been there at once: the same roots and the same numbers."""
+had been there at once: the same roots and the same numbers.  Distances take the passes along x and y within a slab, and the one
+along z when all planes are there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxloom.operators.components import labelled, numbered
+from voxloom.operators.distance import axis_pass, depth
 from voxloom.operators.filters import with_steps
-from voxloom.plans.fixpoint import components
+from voxloom.params import TeasarParams
+from voxloom.plans.fixpoint import components, reliable
+from voxloom.plans.pipeline import traced_fields, united
 from voxloom.schemas import VOXELS
 
 
@@ -44,3 +48,36 @@ class SlabComponents:
         found = roots.select("node.volume_id", F.col("node.vid").alias("local"), F.col("root.vid").alias("root"))
         joined = rows.join(found, ["volume_id", "local"], "left").withColumn("root", F.coalesce("root", "local"))
         return numbered(joined.select("volume_id", "vid", "x", "y", "z", "label", "root"))
+
+
+class SlabDistances(SlabComponents):
+    """Collects slabs with their distances in the planes; ``finish`` gives voxels with ``dbf``.  Components of one label
+    never touch, so the distance to another label is that to another component."""
+
+    def add(self, slab: DataFrame, batch: int) -> None:
+        rows = slab.select("volume_id", "vid", "x", "y", "z", F.col("label").alias("cc"))
+        for axis in (0, 1):
+            rows = axis_pass(rows, self.volumes, axis)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/slab={batch}")
+
+    def finish(self) -> DataFrame:
+        rows = self.spark.read.parquet(self.folder).drop("slab")
+        return axis_pass(rows, self.volumes, 2).select("volume_id", "vid", "x", "y", "z", F.col("cc").alias("label"), depth().alias("dbf"))
+
+
+class SlabSkeletons:
+    """Components and distances of slabs, traced when the stream has ended: the skeletons of the whole volume."""
+
+    def __init__(self, spark: SparkSession, volumes: DataFrame, folder: str) -> None:
+        self.volumes = volumes
+        self.parts = SlabComponents(spark, volumes, f"{folder}/components"), SlabDistances(spark, volumes, f"{folder}/distances")
+
+    def from_stream(self, path: str, files_per_batch: int = 1) -> list:
+        return [part.from_stream(path, files_per_batch) for part in self.parts]
+
+    def finish(self, teasar_params=None, dust_threshold: float = 1000, fix_branching: bool = True, fix_borders: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(vertices, edges), as ``pipeline.skeletonize`` gives them."""
+        found, distances = (part.finish() for part in self.parts)
+        found = reliable(found)
+        measured = found.join(distances.select("volume_id", "vid", "dbf"), ["volume_id", "vid"])
+        return united(traced_fields(found, measured, self.volumes, TeasarParams.of(teasar_params), dust_threshold, fix_branching, fix_borders))
