@@ -17,6 +17,7 @@ from voxloom.operators.aggregates import branch_counts, cable_lengths
 from voxloom.operators.components import skeleton_components
 from voxloom.operators.filters import prune_unused
 from voxloom.operators.grouped import grouped
+from voxloom.plans.fixpoint import reliable
 from voxloom.schemas import SKELETONS
 
 KEYS = ["volume_id", "label"]
@@ -77,6 +78,7 @@ def remove_dust(vertices: DataFrame, edges: DataFrame, threshold: float) -> tupl
         return vertices, edges
     parts = skeleton_components(edges)
     tagged = edges.join(parts.withColumnRenamed("vidx", "e0"), [*KEYS, "e0"])
+    tagged = reliable(tagged)
     long = cable_lengths(vertices, tagged, "part").where(F.col("cable") > threshold).select(*KEYS, "part")
     kept = tagged.join(long, [*KEYS, "part"], "left_semi").select(*KEYS, "e0", "e1")
     return prune_unused(vertices, kept)
@@ -91,9 +93,11 @@ def loop_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _where_needed(vertices: DataFrame, edges: DataFrame, needed: DataFrame, change) -> tuple[DataFrame, DataFrame]:
-    """``change`` for the skeletons named in ``needed``; all others stay as they are."""
+    """``change`` for the skeletons named in ``needed``; all others stay as they are.  What kernels return is a written
+    table, so that vertices and edges don't each run them."""
+    needed = reliable(needed)
     part = lambda df, how: df.join(needed, KEYS, how)
-    v, e = _without_part(split(_each(nested(part(vertices, "left_semi"), part(edges, "left_semi")), change)))
+    v, e = _without_part(split(reliable(_each(nested(part(vertices, "left_semi"), part(edges, "left_semi")), change))))
     return part(vertices, "left_anti").select(*KEYS, "vidx", "x", "y", "z", "radius").unionByName(v), part(edges, "left_anti").select(*KEYS, "e0", "e1").unionByName(e)
 
 
@@ -139,7 +143,7 @@ def terminal_branches(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def postprocess(vertices: DataFrame, edges: DataFrame, dust_threshold: float, tick_threshold: float) -> tuple[DataFrame, DataFrame]:
     """Dust, loops, gaps within the radii, ticks; one pass of the kernels for each skeleton."""
     v, e = remove_dust(vertices, edges, dust_threshold)
-    return _without_part(split(_each(nested(v, e), lambda s: g.postprocess(s, 0, tick_threshold))))
+    return _without_part(split(reliable(_each(nested(v, e), lambda s: g.postprocess(s, 0, tick_threshold)))))
 
 
 def gathered(vertices: DataFrame, attributes: DataFrame, names: list[str]) -> DataFrame:

@@ -802,7 +802,8 @@ def postprocess_tree(spark, sf_dir):
     v, e = comb_graph(spark, sf_dir)
     speck = v.where("vidx IN (0, 1)").withColumns({"x": (F.col("vidx") - 5000).cast("float"), "vidx": F.col("vidx") + 900000})
     dust = speck.groupBy("volume_id", "label").agg(F.lit(900000).cast("long").alias("e0"), F.lit(900001).cast("long").alias("e1"))
-    cut = e.where("e0 % 40 <> 38 OR e1 > 1000000")
+    ends = v.where("vidx < 1000000").groupBy("volume_id", "label").agg(F.max("vidx").alias("last"))
+    cut = e.join(ends, ["volume_id", "label"]).where("e0 % 40 <> 38 OR e1 > 1000000 OR e1 = last").select(*e.columns)  # a lone vertex would be no part
     v, e = post.postprocess(v.unionByName(speck), cut.unionByName(chords(v)).unionByName(dust), 5, 4.5)
     return v.groupBy("label").agg(F.count("*").alias("vertices")).join(e.groupBy("label").agg(F.count("*").alias("edges")), "label").select("label", "vertices", "edges")
 
