@@ -162,15 +162,19 @@ def invalidate(voxels: Voxels, alive: np.ndarray, dbf: np.ndarray, path: list[in
     heap = [(0.0, s, s) for s in set(path)]
     heapq.heapify(heap)
     gone: list[int] = []
-    while heap:
+    most, waiting = int(alive.sum()), alive.copy()  # what is settled takes no more offers
+    while heap and len(gone) < most:
         m, s, u = heapq.heappop(heap)
         if best.get(u) != (m, s):
             continue
         if alive[u]:
             gone.append(u)
+        waiting[u] = False
         around = voxels.near[u]
         around = around[around >= 0]
-        around = around[alive[around]]
+        around = around[waiting[around]]
+        if not len(around):
+            continue
         delta = w * (place[around] - place[s])
         away = np.sqrt((delta * delta).sum(axis=1, dtype=np.float32))
         for v, d in zip(around[away < reach[s]].tolist(), away[away < reach[s]].tolist()):

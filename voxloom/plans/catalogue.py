@@ -1114,3 +1114,22 @@ def trace_first_path(spark, sf_dir):
     v, _ = pipeline.skeletonize(shapes.combs(spark), shapes.size(spark, shapes.COMB_SHAPE), {**TRACE, "max_paths": 2}, dust_threshold=0)
     rows = v.where("y = 4").select("label", *[F.col(a).cast("long").alias(a) for a in "xyz"])
     return rows.select("label", flat_index("x", "y", "z", F.lit(48), F.lit(20)).alias("vid"))
+
+
+@query(WITH + shapes.star_sql() + ", mid AS (SELECT *, sqrt((x-24)*(x-24) + (y-24)*(y-24) + (z-24)*(z-24)) AS far FROM vox), body AS (SELECT sqrt(min((a.x-24)*(a.x-24) + (a.y-24)*(a.y-24) + (a.z-24)*(a.z-24))) AS deep FROM (SELECT i % 48 AS x, (i // 48) % 48 AS y, i // 2304 AS z, i AS vid FROM range(110592) r(i)) a ANTI JOIN vox USING (vid)) SELECT x, y, z, round(CASE WHEN far = 0 THEN deep ELSE 1 END, 4) AS radius FROM mid, body WHERE far = 0 OR far > deep + 1")
+def skeleton_of_a_body(spark, sf_dir):
+    """A cell body becomes its middle, and its arms begin where its radius (scale 1, const 1) ends."""
+    params = {**TRACE, "soma_detection_threshold": 5, "soma_acceptance_threshold": 5.5, "soma_invalidation_scale": 1, "soma_invalidation_const": 1}
+    v, _ = pipeline.skeletonize(shapes.star(spark), cube(spark, 48), params, dust_threshold=0)
+    return v.select(*[F.col(a).cast("long").alias(a) for a in "xyz"], F.round(F.col("radius").cast("double"), 4).alias("radius"))
+
+
+#: Parameters and spacing of the published runs, but for the chunking.
+PUBLISHED = {"scale": 1.5, "const": 300, "pdrf_exponent": 4, "pdrf_scale": 100000, "soma_detection_threshold": 1100, "soma_acceptance_threshold": 3500, "soma_invalidation_scale": 1.0, "soma_invalidation_const": 300}
+
+
+@query(WITH + shapes.DENSE_SKELETONS + " SELECT label, CAST(x * 16 AS BIGINT) AS x, CAST(y * 16 AS BIGINT) AS y, CAST(z * 40 AS BIGINT) AS z, CAST(radius * 16 AS BIGINT) AS radius FROM line")
+def skeletonize_dense(spark, sf_dir):
+    """A dense volume, 120 voxels a side, with the parameters of the published runs."""
+    v, _ = pipeline.skeletonize(shapes.dense_bars(spark), cube(spark, shapes.DENSE_SIDE, aniso=(16.0, 16.0, 40.0)), PUBLISHED, dust_threshold=1000)
+    return v.select("label", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "radius")])

@@ -72,6 +72,30 @@ def bar_sql(name: str = "vox") -> str:
     return f"{name} AS (SELECT * FROM {_cells(BAR_SHAPE, BAR_CASE)} WHERE label <> 0)"
 
 
+#: Bars along z, three voxels wide and one apart, that touch no face of 120 voxels a side: 841 labels, 52 % of the voxels.
+DENSE_SIDE = 120
+DENSE_CASE = "WHEN x % 4 > 0 AND y % 4 > 0 AND x < 116 AND y < 116 AND z BETWEEN 1 AND 118 THEN 1 + (x // 4) + 29 * (y // 4)"
+#: SQL: their skeletons: the middle line, and a corner at each end.
+DENSE_SKELETONS = """line AS (SELECT CAST(1 + p + 29 * q AS BIGINT) AS label, 4 * p + 1 + m AS x, 4 * q + 1 + m AS y, z, CASE WHEN m = 1 THEN 2 ELSE 1 END AS radius
+    FROM (SELECT p, q, z, CASE z WHEN 1 THEN 0 WHEN 118 THEN 2 ELSE 1 END AS m FROM range(29) a(p), range(29) b(q), range(1, 119) c(z)))"""
+
+
+def dense_bars(spark: SparkSession) -> DataFrame:
+    return src.generated(spark, (DENSE_SIDE,) * 3, F.expr(f"CASE {DENSE_CASE.replace('//', 'div')} ELSE 0 END"))
+
+
+#: A ball with six arms of one voxel, 48 a side: a cell body and its branches.
+STAR_SIDE, STAR_CASE = 48, "WHEN (x-24)*(x-24) + (y-24)*(y-24) + (z-24)*(z-24) <= 36 THEN 1 WHEN (x BETWEEN 2 AND 45 AND y = 24 AND z = 24) OR (y BETWEEN 2 AND 45 AND x = 24 AND z = 24) OR (z BETWEEN 2 AND 45 AND x = 24 AND y = 24) THEN 1"
+
+
+def star(spark: SparkSession) -> DataFrame:
+    return src.generated(spark, (STAR_SIDE,) * 3, F.expr(f"CASE {STAR_CASE} ELSE 0 END"))
+
+
+def star_sql(name: str = "vox") -> str:
+    return f"{name} AS (SELECT * FROM {_cells((STAR_SIDE,) * 3, STAR_CASE)} WHERE label <> 0)"
+
+
 def size(spark: SparkSession, shape: tuple[int, int, int], volume_id: int = 0) -> DataFrame:
     return spark.createDataFrame([(volume_id, *shape, 1.0, 1.0, 1.0)], VOLUMES)
 
