@@ -97,6 +97,32 @@ def test_long_words_are_scored_whole(monkeypatch):
     assert np.allclose(language_id.Model(["a", "b", "c"], probs, PIECES).predict([f"the house {words[0]}"])[0][1], huge[1][1])
 
 
+def test_expected_counts_and_predictions_by_enumeration():
+    """All segmentations listed one by one."""
+    vocab, _ = language_id.pieces(PIECES)
+    names, probs = [*vocab, None], np.random.default_rng(6).random((len(vocab) + 1, 2)) / len(vocab)
+
+    def cuts(s: str) -> list[list[int]]:
+        if not s:
+            return [[]]
+        ends = [n for n in range(1, len(s) + 1) if s[:n] in vocab]
+        heads = [(n, vocab[s[:n]]) for n in ends] + ([] if 1 in ends else [(1, len(vocab))])
+        return [[piece, *rest] for n, piece in heads for rest in cuts(s[n:])]
+
+    words, counts = ["hello", "straße", "die", "x日y"], np.random.default_rng(7).random((4, 2))
+    want, logs = np.zeros_like(probs), []
+    for word, count in zip(words, counts):
+        found = cuts("▁" + word)
+        each = np.array([probs[c].prod(axis=0) for c in found])
+        for c, share in zip(found, each / each.sum(axis=0)):
+            np.add.at(want, c, share * count)
+        logs.append(np.log(each.sum(axis=0)))
+    assert len(names) == len(probs) and np.allclose(language_id.Lattice.of(words, PIECES).expected(probs, counts), want)
+    total = logs[0] + 2 * logs[1] + logs[3]
+    got = language_id.Model(["a", "b"], probs, PIECES).predict(["Hello straße, 12 Straße! x日y"])[0]
+    assert got[0] == "ab"[int(total.argmax())] and math.isclose(got[1], np.exp(total - total.max()).max() / np.exp(total - total.max()).sum())
+
+
 def test_learning_is_alike_for_short_and_long_words(docs, monkeypatch):
     one = language_id.train(docs.where("doc_id < 6"), PIECES)
     monkeypatch.setattr(language_id, "SHORT", 3)
@@ -537,6 +563,38 @@ def test_all_streams_of_all_programs_are_read():
     assert torn.streams[1].payload == payloads[0x101] and len(torn.streams[0].payload) < len(payloads[0x100])
 
 
+def test_a_stream_by_hand():
+    """What the own writer doesn't write: null packets, packets of adaptation alone, a table in two packets after a
+    pointer, elementary packets of open length and without a header, padding."""
+    pes = lambda kind, body, length: b"\x00\x00\x01" + bytes((kind,)) + length.to_bytes(2, "big") + body
+    counters: Counter[int] = Counter()
+
+    def packet(pid: int, data: bytes, start: bool = False, flags: int | None = None) -> bytes:
+        room = 184 - len(data)
+        control = 0x10 if room == 0 and flags is None else 0x30 if data else 0x20
+        field = b"" if control == 0x10 else bytes((room - 1,)) + (bytes((flags or 0,)) + b"\xff" * (room - 2) if room > 1 else b"")
+        head = bytes((0x47, (0x40 if start else 0) | pid >> 8, pid & 255, control | counters[pid] & 15))
+        counters[pid] += bool(data)
+        return head + field + data
+
+    section = lambda body: body + transport_stream.crc32_mpeg(body).to_bytes(4, "big")
+    pat = section(bytes((0, 0xB0, 17, 0, 1, 0xC1, 0, 0, 0, 0, 0xE0, 0x1F, 0, 5, 0xF0, 0x20)))  # a network table, then program 5
+    info = bytes((0x05, 180)) + b"d" * 180  # a descriptor that makes the map table longer than a packet
+    body = bytes((0, 5, 0xC1, 0, 0, 0xE1, 0x00, 0xF0 | len(info) >> 8, len(info) & 255)) + info + bytes((0x1B, 0xE1, 0x00, 0xF0, 0, 0x0F, 0xE1, 0x01, 0xF0, 0))
+    pmt = section(bytes((2, 0xB0 | (len(body) + 4) >> 8, (len(body) + 4) & 255)) + body)
+    first, second = bytes(range(200)), b"next" * 10
+    video = [pes(0xE0, b"\x80\x80\x05" + transport_stream._stamp(90_000) + first, 0), pes(0xE0, b"\x80\x00\x00" + second, 0)]
+    packets = [packet(0, b"\x00" + pat + b"\xff" * (183 - len(pat)), True), packet(0x1FFF, b"\xff" * 184)]
+    packets += [packet(0x1020, b"\x00" + pmt[:183], True), packet(0x100, b"", flags=0), packet(0x1020, pmt[183:] + b"\xff" * (184 - len(pmt[183:])))]
+    packets += [packet(0x100, video[0][:180], True, 0x40), packet(0x101, pes(0xBF, b"plain bytes", 11), True), packet(0x1FFF, b"\xff" * 184), packet(0x100, video[0][180:])]
+    packets += [packet(0x101, pes(0xBE, b"\xff" * 20, 20), True), packet(0x100, video[1], True)]
+    assert all(len(p) == 188 for p in packets)
+    got = transport_stream.demux(b"".join(packets))
+    assert got.error is None and [(e.program, e.pid, e.stream_type, e.payload) for e in got.streams] == [(5, 0x100, 0x1B, first + second), (5, 0x101, 0x0F, b"plain bytes")]
+    assert [(u.pts, u.offset, u.random_access, u.whole) for u in got.streams[0].units] == [(90_000, 0, True, True), (None, 200, False, True)]
+    assert got.total("continuity_errors") == 0
+
+
 def test_damaged_streams_are_reported():
     packets = lambda m: [m[i : i + 188] for i in range(0, len(m), 188)]
     good = packets(transport_stream.mux(bytes(range(256)) * 64))

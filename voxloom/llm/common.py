@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from voxloom.plans.fixpoint import shared_base
+
 #: Bytes of text that a kernel handles at once; a single longer text is handled alone.
 SLICE_BYTES = 8 << 20
 
@@ -21,13 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is
-    unset (local mode only)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="voxloom-")
-    return f"{base.rstrip('/')}/voxloom-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share, under spark.checkpoint.dir."""
+    return f"{shared_base(spark)}/voxloom-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
