@@ -90,8 +90,9 @@ def section(mask: np.ndarray, point: np.ndarray, normal: np.ndarray, anisotropy)
     return float(area[here].sum()), contacts, where
 
 
-def section_areas(mask: np.ndarray, skeleton: Skeleton, anisotropy, smoothing_window: int = 1, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(areas, contacts) of every vertex, given in voxels of ``mask``; branch points get the mean over their paths."""
+def section_areas(mask: np.ndarray, skeleton: Skeleton, anisotropy, smoothing_window: int = 1, step: int = 1, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(areas, contacts) of every vertex (or of those ``wanted``; 0 for others), given in voxels of ``mask``; branch points
+    get the mean over their paths."""
     count = len(skeleton.vertices)
     areas, contacts = np.zeros(count, np.float32), np.zeros(count, np.uint8)
     degree = np.bincount(skeleton.edges.ravel(), minlength=count)
@@ -104,7 +105,7 @@ def section_areas(mask: np.ndarray, skeleton: Skeleton, anisotropy, smoothing_wi
             if since < step and 0 < i < len(path) - 1:
                 continue
             since = 0 if since == step else since
-            if areas[v] and degree[v] < 3:
+            if (areas[v] and degree[v] < 3) or not (wanted is None or wanted[v]):
                 continue
             areas[v], touched, _ = section(mask, skeleton.vertices[v].astype(np.float64), normal[i], anisotropy)
             contacts[v] |= touched

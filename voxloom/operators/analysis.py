@@ -27,9 +27,19 @@ def _crop(table: pa.Table, shape, fill_holes: bool) -> tuple[np.ndarray, np.ndar
 
 def cross_sectional_area(
     voxels: DataFrame, volumes: DataFrame, vertices: DataFrame, edges: DataFrame, smoothing_window: int = 1, step: int = 1, fill_holes: bool = False, physical: bool = True,
+    previous: DataFrame | None = None, multipass: bool = False, repair_contacts: bool = False,
 ) -> DataFrame:
     """(volume_id, label, vidx, area, contacts) of every vertex: the plane across the smoothed direction of its path, cut
-    with the connected part of its label.  A label without voxels has area -1.  A group is one label with its skeleton."""
+    with the connected part of its label.  A label without voxels has area -1.  A group is one label with its skeleton.
+
+    ``previous`` are rows of an earlier pass, over a smaller or a cut volume.  With ``multipass`` areas above 0 stay and the
+    others are measured; with ``repair_contacts`` only sections that touched a face are measured again."""
+    if (multipass or repair_contacts) and previous is None:
+        raise ValueError("a further pass needs the rows of the previous one")
+    graphs = nested(vertices, edges)
+    if previous is not None:
+        lists = previous.groupBy(*KEYS).agg(F.collect_list(F.struct("vidx", "area", "contacts")).alias("p"))
+        graphs = graphs.join(lists, KEYS, "left")
     schema = "volume_id long, label long, vidx long, area float, contacts long"
     sized = voxels.join(volumes, "volume_id").select(*KEYS, "x", "y", "z", "sx", "sy", "sz", "ax", "ay", "az")
 
@@ -38,12 +48,18 @@ def cross_sectional_area(
         for row in right.to_pylist():
             names = [p["vidx"] for p in row["v"]]
             areas, contacts = np.full(len(names), -1, np.float32), np.zeros(len(names), np.int64)
-            if left.num_rows > 1:
+            before = {q["vidx"]: (q["area"], q["contacts"]) for q in row.get("p") or []}
+            old = [before.get(v, (-1.0, 0)) for v in names]
+            wanted = np.array([(v not in before) or (repair_contacts and c > 0) or (multipass and a <= 0) for v, (a, c) in zip(names, old)], bool)
+            if left.num_rows > 1 and wanted.any():
                 w = np.array([left.column(f"a{a}")[0].as_py() for a in "xyz"])
                 mask, low = _crop(left, np.array([left.column(f"s{a}")[0].as_py() for a in "xyz"]), fill_holes)
                 s = skeleton_from(row["v"], row["e"])
                 s.vertices = (np.rint(s.vertices / w.astype(np.float32)) if physical else s.vertices) - low
-                areas, contacts = section_areas(mask, s, w, smoothing_window, step)
+                areas, contacts = section_areas(mask, s, w, smoothing_window, step, wanted)
+            if before:
+                areas = np.where(wanted, areas, np.array([a for a, _ in old], np.float32))
+                contacts = np.where(wanted, contacts, np.array([c for _, c in old], np.int64))
             out["vidx"] += names
             out["area"] += areas.tolist()
             out["contacts"] += contacts.tolist()
@@ -51,7 +67,7 @@ def cross_sectional_area(
             out["label"] += [row["label"]] * len(names)
         return pa.table({n: pa.array(v, pa.float32() if n == "area" else pa.int64()) for n, v in out.items()})
 
-    return sized.groupBy(*KEYS).cogroup(nested(vertices, edges).groupBy(*KEYS)).applyInArrow(run, schema)
+    return sized.groupBy(*KEYS).cogroup(graphs.groupBy(*KEYS)).applyInArrow(run, schema)
 
 
 def section_planes(voxels: DataFrame, volumes: DataFrame, vertices: DataFrame, edges: DataFrame, smoothing_window: int = 1) -> DataFrame:

@@ -1133,3 +1133,32 @@ def skeletonize_dense(spark, sf_dir):
     """A dense volume, 120 voxels a side, with the parameters of the published runs."""
     v, _ = pipeline.skeletonize(shapes.dense_bars(spark), cube(spark, shapes.DENSE_SIDE, aniso=(16.0, 16.0, 40.0)), PUBLISHED, dust_threshold=1000)
     return v.select("label", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "z", "radius")])
+
+
+def tube_line(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A square tube, and a straight line along it as vertices and edges."""
+    tube = src.small_tubes(spark).where("x BETWEEN 16 AND 19 AND z BETWEEN 16 AND 19")
+    line = spark.range(2, 22).select(F.lit(0).cast("long").alias("volume_id"), F.lit(2).cast("long").alias("label"), (F.col("id") - 2).alias("vidx"), F.lit(17).cast("float").alias("x"), F.col("id").cast("float").alias("y"), F.lit(17).cast("float").alias("z"), F.lit(1).cast("float").alias("radius"))
+    return tube, line, src.polyline_edges(line)
+
+
+PASSES = TUBES + ", p AS (SELECT y, count(*) AS n FROM vox WHERE z BETWEEN 16 AND 19 AND x BETWEEN 16 AND 19 GROUP BY y)"
+
+
+@query(WITH + PASSES + " SELECT y, CAST(CASE WHEN y % 3 = 0 THEN 99 ELSE n END AS DOUBLE) AS area FROM p")
+def section_multipass(spark, sf_dir):
+    """A second pass measures the vertices that a first one left at 0, and leaves all others."""
+    tube, line, edges = tube_line(spark)
+    first = line.select("volume_id", "label", "vidx", F.when(F.col("y") % 3 == 0, 99.0).otherwise(0.0).cast("float").alias("area"), F.lit(0).cast("long").alias("contacts"))
+    areas = analysis.cross_sectional_area(tube, cube(spark, 24), line, edges, previous=first, multipass=True)
+    return areas.select((F.col("vidx") + 2).alias("y"), F.col("area").cast("double").alias("area"))
+
+
+@query(WITH + PASSES + " SELECT y, CAST(n AS DOUBLE) AS area, CAST(0 AS BIGINT) AS contacts FROM p")
+def section_repair(spark, sf_dir):
+    """Sections cut short by a crop at x = 17 touch its face; a second pass over the whole volume measures them again."""
+    tube, line, edges = tube_line(spark)
+    crop = tube.where("x <= 17").withColumn("vid", F.expr("x + 18 * (y + 24 * z)"))
+    first = analysis.cross_sectional_area(crop, cube(spark, 0, sides=(18, 24, 24)), line, edges)
+    areas = analysis.cross_sectional_area(tube, cube(spark, 24), line, edges, previous=first, repair_contacts=True)
+    return areas.select((F.col("vidx") + 2).alias("y"), F.col("area").cast("double").alias("area"), "contacts")
