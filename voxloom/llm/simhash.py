@@ -227,7 +227,9 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, limit: int = 96
         low, high = np.where(flip, ends[1], ends[0]), np.where(flip, ends[0], ends[1])
         return pa.table({f"{n}_{c}": e[c].astype(np.uint64).view(np.int64) for n, e in (("a", low), ("b", high)) for c in ("fp", "more")})
 
-    cells = distinct.select("fp", "more").mapInArrow(deal, "cell long, points binary")
+    # as many tasks as there are full cells' worth of points, or shuffle partitions, if more
+    tasks = max(-(-count * len(family) // CELL_POINTS), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = distinct.select("fp", "more").mapInArrow(deal, "cell long, points binary").repartition(tasks, "cell")
     return cells.groupBy("cell").applyInArrow(walk, "a_fp long, a_more long, b_fp long, b_more long").distinct()
 
 
