@@ -110,12 +110,22 @@ class Lattice:
 
     @classmethod
     def of(cls, words: list[str], path: str) -> Lattice:
+        vocab, beginnings = pieces(path)
         w, a, b, p = [], [], [], []
-        for k, word in enumerate(words):
+        for k, word in enumerate(words):  # as ``arcs``, in place: most of the time goes here
             s = "▁" + word
-            for i in range(len(s)):
-                for j, piece in arcs(s, i, path):
-                    w.append(k), a.append(i), b.append(j), p.append(piece)
+            n = len(s)
+            for i in range(n):
+                single = False
+                for j in range(i + 1, n + 1):
+                    part = s[i:j]
+                    if part not in beginnings:
+                        break
+                    if (piece := vocab.get(part)) is not None:
+                        w.append(k), a.append(i), b.append(j), p.append(piece)
+                        single |= j == i + 1
+                if not single:
+                    w.append(k), a.append(i), b.append(i + 1), p.append(len(vocab))
         as_ints = lambda x: np.array(x, dtype=np.int64)
         return cls(len(words), as_ints(w), as_ints(a), as_ints(b), as_ints(p), as_ints([len(x) + 1 for x in words]))
 
