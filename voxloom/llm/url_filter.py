@@ -69,10 +69,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str =
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).withColumns({"rule": rule, "__verdict": verdict})
     rows = rows.select("page_id", "host", "path", "rule", "__verdict", "canonical", F.when(F.col("rule").isNull(), F.col("canonical")).alias("__asked"))
     possible = bloom.mark(rows, F.col("__asked"), bloom.build(keys, F.col("canonical"), keys.count())).drop("__asked")
-    # a very common URL meets its key in as many places as there are salts
+    # a very common URL meets its key in as many places as there are salts; the list is never broadcast
     salted = keys.select("canonical", F.lit(True).alias("listed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     asked = possible.where("__hit").withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    exact = asked.join(salted, ["canonical", "__salt"], "left").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.coalesce("listed", F.lit(False)).alias("listed"))
+    exact = asked.join(salted.hint("merge"), ["canonical", "__salt"], "left").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.coalesce("listed", F.lit(False)).alias("listed"))
     clear = possible.where("NOT __hit").select("page_id", "host", "path", "rule", "__verdict", "canonical", F.when(F.col("rule").isNull(), F.lit(False)).alias("listed"))
     return exact.union(clear).withColumn("verdict", F.coalesce("__verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("__verdict")
 
