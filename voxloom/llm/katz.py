@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxloom.llm.common import shared_dir, slices, texts_as_bytes, written
 
 #: Tokens of a block, and about as many that a bucket of a count table is asked for.
-BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
 SEED = 42  # Spark's
 TURING, FITTED, DEFAULT_SLOPE = 5, 50, -1.5
 #: Places of the end token and of a text's begin among the hashes.
@@ -253,8 +253,8 @@ def _counts_of_counts(table: DataFrame) -> tuple[Discount, DataFrame]:
 
 
 def _dealt(rows: DataFrame, key: str, groups: int):
-    """Groups by ``key``, in as many tasks as there are groups (or shuffle partitions, if more)."""
-    return rows.repartition(max(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key).groupBy(key)
+    """Groups by ``key``, in twice as many tasks as there are groups, so that few share one (or shuffle partitions, if more)."""
+    return rows.repartition(max(2 * groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key).groupBy(key)
 
 
 class Model:
