@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
+
+from voxloom.kernels.grid import sequential_components
 
 #: Edges that a task holds at once while it shortens chains before the joins.
 HELD_EDGES = 1 << 17
+#: The same where nodes are numbers.
+HELD_NUMBERS = 1 << 20
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -55,7 +61,7 @@ def settled(edges: DataFrame) -> bool:
 def shortened(edges: DataFrame) -> DataFrame:
     """The same components with fewer edges: each task replaces every ``HELD_EDGES`` of its edges by stars around the least
     nodes that these edges alone connect."""
-    arrow = to_arrow_schema(edges.schema)
+    arrow = to_arrow_schema(edges.select("a", "b").schema)
     names = [f.name for f in kind.fields] if isinstance(kind := edges.schema["a"].dataType, StructType) else None
     plain = lambda n: tuple(n.values()) if names else n
     shown = lambda n: dict(zip(names, n)) if names else n
@@ -74,6 +80,14 @@ def shortened(edges: DataFrame) -> DataFrame:
         linked = [(root, n) for n in parent if (root := find(n)) != n]
         return pa.RecordBatch.from_arrays([pa.array([shown(x[i]) for x in linked], arrow[i].type) for i in (0, 1)], schema=arrow)
 
+    def number_stars(held: list[pa.RecordBatch]):
+        a, b = (np.concatenate([batch.column(i).to_numpy() for batch in held]) for i in (0, 1))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = sequential_components(len(nodes), place[: len(a)], place[len(a) :])
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        for some in np.array_split(linked, len(linked) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[root[some]]), pa.array(nodes[some])], schema=arrow)
+
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
@@ -84,15 +98,73 @@ def shortened(edges: DataFrame) -> DataFrame:
                     held = []
         yield stars(held)
 
-    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+    def run_numbers(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD_NUMBERS:
+                yield from number_stars(held)
+                held, rows = [], 0
+        if rows:
+            yield from number_stars(held)
+
+    numbers = arrow[0].type == arrow[1].type == pa.int64()
+    return edges.select("a", "b").mapInArrow(run_numbers if numbers else run, edges.select("a", "b").schema)
+
+
+def packing(edges: DataFrame, names: list[str]) -> tuple[int, list[tuple[str, int, int]] | None]:
+    """How many rows ``edges`` has, and (field, least value, range) of every field of its nodes, structs of integers, if
+    their values fit together into one number that keeps the order."""
+    ends = [F.min(F.least(f"a.{n}", f"b.{n}")).alias(f"lo_{n}") for n in names] + [F.max(F.greatest(f"a.{n}", f"b.{n}")).alias(f"hi_{n}") for n in names]
+    found = edges.agg(F.count("*").alias("rows"), *ends, F.count_if(F.expr(" OR ".join(f"{e}.{n} IS NULL" for e in "ab" for n in names))).alias("nulls")).first()
+    if not found["rows"] or found["nulls"]:
+        return found["rows"], None
+    fields = [(n, found[f"lo_{n}"], found[f"hi_{n}"] - found[f"lo_{n}"] + 1) for n in names]
+    return found["rows"], fields if math.prod(size for _, _, size in fields) < 1 << 63 else None
+
+
+def packed(node: str, fields: list[tuple[str, int, int]]) -> Column:
+    """A struct as one number, in the same order."""
+    out = F.lit(0).cast("long")
+    for name, low, size in fields:
+        out = out * F.lit(size) + (F.col(f"{node}.{name}") - F.lit(low))
+    return out
+
+
+def unpacked(node: str, fields: list[tuple[str, int, int]]) -> Column:
+    out, rest = [], F.col(node)
+    for name, low, size in reversed(fields):
+        out.insert(0, (F.pmod(rest, F.lit(size)) + F.lit(low)).cast("long").alias(name))
+        rest = F.call_function("div", rest, F.lit(size))
+    return F.struct(*out)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the component's least node.
 
-    Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain.  The
-    least neighbours are a table of their own, so that the join with them may be split where a node has very many edges."""
-    now = reliable(shortened(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain.  Nodes
+    that are structs of integers become single numbers where their ranges allow it: those are hashed instead of sorted.
+    Edges are dealt by ranges first, so that what lies close together is contracted within a task.
+    The least neighbours are a table of their own, so that the join with them may be split where a node has very many
+    edges."""
+    kind = edges.schema["a"].dataType
+    names = [f.name for f in kind.fields] if isinstance(kind, StructType) and all(isinstance(f.dataType, LongType) for f in kind.fields) else []
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not names and not isinstance(kind, LongType):
+        return _contracted(reliable(shortened(pairs.distinct())), rounds)
+    raw = reliable(pairs)
+    rows, fields = packing(raw, names) if names else (raw.count(), None)
+    if names and not fields:
+        return _contracted(reliable(shortened(raw.distinct())), rounds)
+    if fields:
+        raw = raw.select(packed("a", fields).alias("a"), packed("b", fields).alias("b"))
+    tasks = max(raw.sparkSession.sparkContext.defaultParallelism, -(-rows // HELD_NUMBERS))
+    roots = _contracted(reliable(shortened(raw.repartitionByRange(tasks, "a", "b"))), rounds)
+    return roots.select(unpacked("node", fields).alias("node"), unpacked("root", fields).alias("root")) if fields else roots
+
+
+def _contracted(now: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         if settled(now):
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
