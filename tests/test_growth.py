@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom.kernels import graph as g
 from voxloom.operators import postprocess as post
-from voxloom.plans import fixpoint
+from voxloom.plans import catalogue, fixpoint
 from voxloom.plans.fixpoint import components
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_nodes_become_numbers(spark, monkeypatch):
     """Structs of integers are contracted as single numbers, unless their ranges are too wide for one."""
@@ -45,3 +50,18 @@ def test_one_skeleton_at_a_time(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: (100 - k - 270, 10, 270.0) for k in range(30)} | {99: (100 - lone.first().x, 1, 0.0)}
+
+
+def plan(name: str, spark) -> str:
+    return catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_tasks_follow_the_input(spark):
+    """No product of partitions, no ranking of all vertices in one task, one exchange for all windows over a path, and
+    partitions of a fixed number before lineitem's rows are told apart."""
+    assert "CartesianProduct" not in plan("spaces", spark)
+    assert "dense_rank(label" not in plan("padded_export", spark)
+    assert plan("path_moving_average", spark).count("Exchange hashpartitioning(label") == 1
+    for name in ("vertex_degree", "blocks_of_one_label", "nearest_label_voxel"):
+        assert "REPARTITION_BY_NUM" in plan(name, spark)

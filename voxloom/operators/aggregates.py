@@ -171,9 +171,10 @@ def smoothed_path(path: DataFrame, window: int, values: tuple[str, ...] = ("x",
 
     def once(df: DataFrame, order: str) -> DataFrame:
         df = df.withColumn("__i", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.expr(order))) - 1).cast("long"))
-        mirrored = df.where(F.col("__i") < window - 1).withColumn("__i", -F.col("__i") - 1)
+        # a row and its mirror image stay in their task
+        both = F.when(F.col("__i") < window - 1, F.array(F.col("__i"), -F.col("__i") - 1)).otherwise(F.array("__i"))
         frame = Window.partitionBy(*keys).orderBy("__i").rowsBetween(-(window - 1), 0)
-        out = df.unionByName(mirrored).withColumns({v: F.avg(v).over(frame) for v in values})
+        out = df.withColumn("__i", F.explode(both)).withColumns({v: F.avg(v).over(frame) for v in values})
         return out.where("__i >= 0").drop("__i")
 
     if window < 2:

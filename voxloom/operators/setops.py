@@ -55,7 +55,8 @@ def in_space(vertices: DataFrame, volumes: DataFrame, space: str) -> DataFrame:
     """Vertices in units of voxels (``voxel``) taken to physical units (``physical``), or back."""
     if space not in ("voxel", "physical"):
         raise ValueError("a space is voxel or physical")
-    rows = vertices.join(volumes.select("volume_id", "ax", "ay", "az"), "volume_id")
+    # a row a volume; where volume_id is a constant, the join would otherwise pair all partitions
+    rows = vertices.join(F.broadcast(volumes.select("volume_id", "ax", "ay", "az")), "volume_id")
     scale = lambda a: F.col(a) * F.col(f"a{a}") if space == "physical" else F.col(a) / F.col(f"a{a}")
     return rows.withColumns({a: scale(a).cast("float") for a in "xyz"}).select(*vertices.columns)
 
