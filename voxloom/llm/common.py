@@ -26,11 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/voxloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, kind: str, folder: str | None = None, packed: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.  Values that are
+    ``packed`` already are stored as they are: a codec would hold pages of many MB in buffers outside the heap."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{kind}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", "none") if packed else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -83,8 +83,8 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.held, self.lengths = np.array(row["held"], bool), expand(row["lengths"], "<i4").astype(np.int64)
-        self.words, self.tokens = expand(row["words"], "<u8"), expand(row["tokens"], "<i4").astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.words, self.tokens = expand(row["words"], "<u8"), expand(row["tokens"], "<i4")
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.word_order = np.argsort(self.words, kind="stable")
 
@@ -94,11 +94,19 @@ class Block:
     def find_pairs(self) -> None:
         """Distinct (history, word); the history of a first token is the number after the last word."""
         n = len(self.words) + 1
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = n - 1
-        codes, self.pair = np.unique(before * n + self.tokens, return_inverse=True)
-        self.first, self.second = codes // n, codes % n
+        codes = np.empty(len(self.tokens), np.int64)
+        codes[1:] = self.tokens[:-1]
+        codes[self.starts] = n - 1
+        codes *= n
+        codes += self.tokens
+        self.pair = np.argsort(codes).astype(np.int32)
+        codes = codes[self.pair]
+        new = np.append(True, codes[1:] != codes[:-1]) if len(codes) else np.empty(0, bool)
+        place = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        codes = codes[new]
+        order, self.pair = self.pair, np.empty_like(self.pair)
+        self.pair[order] = place
+        self.first, self.second = (codes // n).astype(np.int32), (codes % n).astype(np.int32)
         hashes = np.append(self.words, BEGIN_HASH)
         self.keys = pair_keys(hashes[self.first], hashes[self.second])
         self.pair_order = np.argsort(self.keys, kind="stable")
@@ -283,12 +291,17 @@ def _first_pass(model: Model, buckets: int):
         rows = table.to_pylist()
         row = next(x for x in rows if x["tokens"] is not None)
         b = Block(row)
+        del table
+        row["words"] = row["tokens"] = None
         b.find_pairs()
         total = {}
         for kind, size, order in (("w", len(b.words), b.word_order), ("p", len(b.keys), b.pair_order)):
             parts = sorted((x["bucket"], x["totals"]) for x in rows if x["kind"] == kind)
-            total[kind] = np.empty(size, np.int64)
-            total[kind][order] = np.concatenate([expand(x, "<i8") for _, x in parts])
+            total[kind], at = np.empty(size, np.int64), 0
+            for _, x in parts:
+                part = expand(x, "<i8")
+                total[kind][order[at : at + len(part)]] = part
+                at += len(part)
         c = total["w"] >> 1
         history = np.append(c, c[0])  # the begin of a document is a history as often as its end is a token
         r, owned = total["p"] >> 1, (total["p"] & 1) == 1
@@ -352,17 +365,17 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     are stored in the folder ``save``, if one is given."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    stored = written(blocks(docs, F.coalesce(held, F.lit(False)), id_col, text_col), "blocks", folder)
+    stored = written(blocks(docs, F.coalesce(held, F.lit(False)), id_col, text_col), "blocks", folder, packed=True)
     size = stored.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     stored = stored.drop("n_tokens")
     buckets = max(1, math.ceil(size["tokens"] / BUCKET_TOKENS))
-    words = written(answers(ask_words(stored, buckets), buckets), "unigrams", folder)
+    words = written(answers(ask_words(stored, buckets), buckets), "unigrams", folder, packed=True)
     word_discount, word_counts = _counts_of_counts(words)
     kept = discounted(F.col("r").cast("double"), word_discount.slope, word_discount.turing)
     sums = word_counts.agg(F.sum(F.col("r") * F.col("n")).alias("tokens"), F.sum("n").alias("types"), F.sum(kept * F.col("n")).alias("kept")).first()
     tokens, types = sums["tokens"] or 0, sums["types"] or 0
     unknown = 1 - sums["kept"] / tokens if tokens else 1.0
-    pairs = written(answers(ask_pairs(stored, buckets), buckets), "bigrams", folder)
+    pairs = written(answers(ask_pairs(stored, buckets), buckets), "bigrams", folder, packed=True)
     pair_discount, _ = _counts_of_counts(pairs)
     model = Model(tokens, types, unknown, word_discount, pair_discount)
 
@@ -370,9 +383,9 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
         return df.where("block IS NOT NULL").select("block", F.lit(name).alias("kind"), "bucket", "totals")
 
     with_totals = stored.unionByName(kind(words, "w").unionByName(kind(pairs, "p")), allowMissingColumns=True)
-    parts = written(_dealt(with_totals, "block", size["blocks"]).applyInArrow(_first_pass(model, buckets), PART_SCHEMA), "parts", folder)
+    parts = written(_dealt(with_totals, "block", size["blocks"]).applyInArrow(_first_pass(model, buckets), PART_SCHEMA), "parts", folder, packed=True)
     asks = parts.where("bucket IS NOT NULL").select("block", "bucket", "need", "own", "mass", "lower", "seen")
-    weights = written(_dealt(asks, "bucket", buckets).applyInArrow(_weights, "block long, bucket int, weights binary"), "weights", folder)
+    weights = written(_dealt(asks, "bucket", buckets).applyInArrow(_weights, "block long, bucket int, weights binary"), "weights", folder, packed=True)
     if save:
         _store(model, with_totals, size["blocks"], save)
     waiting = parts.where("bucket IS NULL").select("block", "doc_ids", "held", "lengths", "known", "base", "partial", "waits_doc", "waits_for")
