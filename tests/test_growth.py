@@ -65,3 +65,26 @@ def test_tasks_follow_the_input(spark):
     assert plan("path_moving_average", spark).count("Exchange hashpartitioning(label") == 1
     for name in ("vertex_degree", "blocks_of_one_label", "nearest_label_voxel"):
         assert "REPARTITION_BY_NUM" in plan(name, spark)
+
+
+def test_contraction_follows_its_rows(spark, monkeypatch):
+    """A round's tasks follow its rows and are not merged for being small in bytes; the session's settings stay."""
+    monkeypatch.setattr(fixpoint, "TASK_ROWS", 10)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")
+    before, seen, keep = [spark.conf.get(n) for n in names], [], fixpoint.reliable
+    monkeypatch.setattr(fixpoint, "reliable", lambda df, rows=None: seen.append((keep(df, rows), rows)) or seen[-1][0])
+    monkeypatch.setattr(fixpoint, "HELD_NUMBERS", 4)
+    found = components(spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r.root for r in found.collect()} == {0} and found.count() == 201
+    dealt_out = [(len(df.inputFiles()), rows) for df, rows in seen if rows]
+    assert len(dealt_out) > 3 and max(files for files, _ in dealt_out) > 8
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_loops_are_counted_without_a_hot_key(spark):
+    """Repeated, mirrored and empty edges count once or not at all; parts are told by their roots."""
+    rows = [(0, 1, 1, 2), (0, 1, 2, 1), (0, 1, 2, 3), (0, 1, 3, 1), (0, 1, 3, 1), (0, 1, 9, 9), (0, 1, 5, 6), (0, 2, 1, 2), (1, 1, 7, 8)]
+    e = spark.createDataFrame(rows, "volume_id long, label long, e0 long, e1 long")
+    found = post.loop_counts(e.select("volume_id", "label", F.col("e0").alias("vidx")), e)
+    assert {(r.volume_id, r.label): r.loops for r in found.collect()} == {(0, 1): 1, (0, 2): 0, (1, 1): 0}
+    assert "count(distinct" not in found._jdf.queryExecution().toString().lower()

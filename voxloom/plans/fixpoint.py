@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
 
 from voxloom.kernels.grid import sequential_components
+from voxloom.operators.grouped import TASK_ROWS
 
 #: Edges that a task holds at once while it shortens chains before the joins.
 HELD_EDGES = 1 << 17
@@ -33,11 +35,29 @@ def shared_base(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="voxloom-")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.  Cuts the lineage, and survives lost executors."""
+@contextmanager
+def tasks_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans that run meanwhile shuffle into a task for every ``TASK_ROWS`` of ``rows``, and scan files as small: tasks
+    aren't merged, since numbers compress so well that one would hold millions of rows.  Joins may still be split."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    own = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4m"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def reliable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.  Cuts the lineage, and survives lost executors.  If it is known
+    how many ``rows`` its shuffles get, tasks follow them."""
     spark: SparkSession = df.sparkSession
     path = f"{shared_base(spark)}/voxloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tasks_of(spark, rows) if rows is not None else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -156,7 +176,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raw = reliable(pairs)
     rows, fields = packing(raw, names) if names else (raw.count(), None)
     if names and not fields:
-        return _contracted(reliable(shortened(raw.distinct())), rounds)
+        return _contracted(reliable(shortened(raw.distinct()), rows), rounds)
     if fields:
         raw = raw.select(packed("a", fields).alias("a"), packed("b", fields).alias("b"))
     tasks = max(raw.sparkSession.sparkContext.defaultParallelism, -(-rows // HELD_NUMBERS))
@@ -166,13 +186,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _contracted(now: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
-        if settled(now):
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        rows = 2 * now.count()
+        with tasks_of(now.sparkSession, rows):
+            done = settled(now)
+        if done:
+            roots = reliable(now.select("a").distinct(), rows)
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots.select(F.col("a").alias("node"), F.col("a").alias("root")))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = reliable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = reliable(both.join(least, "a").where("b > a AND m <> b").select(F.col("m").alias("a"), "b").distinct())
+        least = reliable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), rows)
+        large = reliable(both.join(least, "a").where("b > a AND m <> b").select(F.col("m").alias("a"), "b").distinct(), rows)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        now = reliable(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
+        now = reliable(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), rows)
     raise RuntimeError("components did not settle")
 
 
