@@ -88,3 +88,25 @@ def test_loops_are_counted_without_a_hot_key(spark):
     found = post.loop_counts(e.select("volume_id", "label", F.col("e0").alias("vidx")), e)
     assert {(r.volume_id, r.label): r.loops for r in found.collect()} == {(0, 1): 1, (0, 2): 0, (1, 1): 0}
     assert "count(distinct" not in found._jdf.queryExecution().toString().lower()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_components_are_ranked_in_ranges(spark, monkeypatch):
+    """No task ranks all components of a volume, and the numbers are those of the SQL."""
+    import duckdb
+
+    from voxloom.operators import components as cc
+
+    monkeypatch.setattr(cc, "TASK_ROWS", 5)
+    ranges, keep = [], cc.reliable
+    monkeypatch.setattr(cc, "reliable", lambda df: ranges.append(keep(df)) or ranges[-1] if "__range" in df.columns else keep(df))
+    found = catalogue.queries()["component_stats"](spark, DATA)
+    assert len(ranges) == 1 and ranges[0].select("__range").distinct().count() > 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM '{DATA}/lineitem.parquet'")
+    want = con.execute(catalogue.oracle_sql()["component_stats"]).fetchall()
+    named = found.select("cc", "label", "root", "voxels", "lo_x", "hi_x", "lo_y", "hi_y", "lo_z", "hi_z")
+    assert sorted(map(tuple, named.collect())) == sorted(want) and len(want) > 5
+    many = spark.range(1000).select((F.col("id") % 3).alias("volume_id"), (F.col("id") * 7919 % 10007).alias("root"))
+    rows = sorted((r.volume_id, r.root, r.cc) for r in cc.ranked(many).collect())
+    assert [r[2] for r in rows] == [*range(1, 335), *range(1, 334), *range(1, 334)]

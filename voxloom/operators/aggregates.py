@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: The box of an id without voxels.
 EMPTY_LOW, EMPTY_HIGH = (1 << 31) - 1, -1
 
 
-def box_stats(voxels: DataFrame, key: str = "cc") -> DataFrame:
-    """Bounding box and voxel count of each component; partial sums are made before the shuffle."""
-    return voxels.groupBy("volume_id", key).agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("voxels"), F.min("vid").alias("root"))
+def box_stats(voxels: DataFrame, key: str = "cc", *more: Column) -> DataFrame:
+    """Bounding box and voxel count of each component, and ``more`` of it; partial sums are made before the shuffle."""
+    return voxels.groupBy("volume_id", key).agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("voxels"), F.min("vid").alias("root"), *more)
 
 
 def dense_boxes(voxels: DataFrame, key: str, count: int) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxloom.kernels.grid import GRAPH_BITS, OFFSETS, Voxels, flat, sequential_components
 from voxloom.operators.filters import with_steps
-from voxloom.operators.grouped import box_of, grouped
-from voxloom.plans.fixpoint import components as graph_roots
+from voxloom.operators.grouped import TASK_ROWS, box_of, grouped
+from voxloom.plans.fixpoint import components as graph_roots, reliable
 
 BLOCK = 64
 
@@ -75,13 +75,24 @@ def labelled(voxels: DataFrame, volumes: DataFrame, block: int = BLOCK, graph: b
     return local.join(found, ["volume_id", "local"], "left").select("volume_id", "vid", "x", "y", "z", "label", F.coalesce("root", "local").alias("root"), *(["graph_bits"] if graph else []))
 
 
-def numbered(rooted: DataFrame) -> DataFrame:
-    """Voxels with ``cc``: components as 1, 2, ... in the order of their least index.
+def ranked(roots: DataFrame) -> DataFrame:
+    """Distinct (volume_id, root), and whatever other columns, with ``cc``: 1, 2, ... in a volume, in the order of the roots.
+
+    Roots are dealt by ranges and ranked within them; only ranges' sizes are summed up in one task."""
+    roots = reliable(roots)
+    tasks = max(1, -(-roots.count() // TASK_ROWS))
+    dealt_out = reliable(roots.repartitionByRange(tasks, "volume_id", "root").withColumn("__range", F.spark_partition_id()))
+    sizes = dealt_out.groupBy("volume_id", "__range").agg(F.count("*").alias("__n"))
+    above = Window.partitionBy("volume_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("volume_id", "__range", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__above"))
+    within = F.row_number().over(Window.partitionBy("volume_id", "__range").orderBy("root"))
+    placed = dealt_out.repartition(tasks, "volume_id", "__range").withColumn("__at", within).join(sizes, ["volume_id", "__range"])
+    return placed.withColumn("cc", (F.col("__above") + F.col("__at")).cast("long")).drop("__range", "__at", "__above")
 
-    Only the roots are ranked; within a volume that is one sort of as many rows as components."""
-    roots = rooted.where("vid = root").select("volume_id", "root")
-    number = roots.withColumn("cc", F.row_number().over(Window.partitionBy("volume_id").orderBy("root")).cast("long"))
-    return rooted.join(number, ["volume_id", "root"])
+
+def numbered(rooted: DataFrame) -> DataFrame:
+    """Voxels with ``cc``: components as 1, 2, ... in the order of their least index; only the roots are ranked."""
+    return rooted.join(ranked(rooted.where("vid = root").select("volume_id", "root")), ["volume_id", "root"])
 
 
 def connected_components(voxels: DataFrame, volumes: DataFrame, block: int = BLOCK) -> DataFrame:

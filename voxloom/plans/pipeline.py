@@ -15,7 +15,7 @@ from voxloom.functions.voxel import flat_index
 from voxloom.kernels.trace import Skeleton, prepare, skeleton_of
 from voxloom.kernels.volume import skeletonize_volume
 from voxloom.operators.aggregates import box_stats
-from voxloom.operators.components import component_table, connected_components
+from voxloom.operators.components import component_table, connected_components, labelled, ranked
 from voxloom.operators.distance import with_dbf
 from voxloom.operators.filters import keep_ids
 from voxloom.operators.grouped import box_of, grouped
@@ -24,7 +24,7 @@ from voxloom.operators.morphology import border_targets
 from voxloom.operators.postprocess import postprocess, skeleton_rows, split
 from voxloom.operators.setops import consolidated, merge_fragments
 from voxloom.params import TeasarParams, check_anisotropy
-from voxloom.plans.fixpoint import reliable
+from voxloom.plans.fixpoint import reliable, tasks_of
 from voxloom.schemas import SKELETONS, TARGETS
 from voxloom.sources.volumes import to_chunks
 
@@ -34,10 +34,13 @@ MAX_GROUP_VOXELS = 1 << 26
 
 def component_stats(voxels: DataFrame, volumes: DataFrame, dust_threshold: float = 0, object_ids=None) -> DataFrame:
     """(volume_id, cc, label, voxels, root, box) of the components above the dust threshold."""
-    rows = voxels if object_ids is None else keep_ids(voxels, object_ids)
-    found = connected_components(rows, volumes)
-    names = found.groupBy("volume_id", "cc").agg(F.min_by("label", "vid").alias("label"))
-    return box_stats(found).where(F.col("voxels") > dust_threshold).join(names, ["volume_id", "cc"])
+    rows = reliable(voxels if object_ids is None else keep_ids(voxels, object_ids))
+    with tasks_of(rows.sparkSession, rows.count()):
+        # a component has one label; it is summed up under its root, and only then numbered
+        found = labelled(rows, volumes).withColumnRenamed("root", "__root")
+        stats = reliable(box_stats(found, "__root", F.min("label").alias("label")))
+    kept = ranked(stats.drop("__root")).where(F.col("voxels") > dust_threshold)
+    return kept.select("volume_id", "cc", *[f"{n}_{a}" for a in "xyz" for n in ("lo", "hi")], "voxels", "root", "label")
 
 
 def _check_targets(targets: DataFrame | None) -> None:
