@@ -133,3 +133,22 @@ def test_dust_goes_in_one_exchange(spark, monkeypatch, held):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert joined == ([] if held > 9 else [{1}])
+
+
+def test_complete_stars_take_no_part_in_rounds(spark, monkeypatch):
+    """What a task completes is not contracted again, unless another task's numbers reach there; roots are those of a walk."""
+    assert sorted(fixpoint.alone([(7, 0, 9), (8, 8, 20), (9, 12, 12)])) == [(7, 0, 7), (8, 13, 20)]
+    assert fixpoint.alone([(1, 0, 5), (2, 0, 5)]) == [] and fixpoint.alone([]) == []
+    monkeypatch.setattr(fixpoint, "HELD_NUMBERS", 64)
+    seen, contracted = [], fixpoint._contracted
+    monkeypatch.setattr(fixpoint, "_contracted", lambda now, rounds: seen.append(now.count()) or contracted(now, rounds))
+    pairs = [(n, n + 1) for n in range(-500, 1500) if n % 10 != 9]
+    far = [(3, 700), (703, 1201), (5, 5), (8, 7), (8, 7)]
+    for edges, most in ((pairs, 0.2), (pairs + far, 0.9), (pairs + [(-490, 1490)], 1), ([(n, 5000 - n) for n in range(0, 2000, 3)], 1.1)):
+        root = {n: n for e in edges if e[0] != e[1] for n in e}
+        while any(root[a] != root[b] for a, b in edges):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(found) == len(root) and {r.node: r.root for r in found} == root
+        assert seen.pop() <= most * len(edges)

@@ -10,6 +10,7 @@ from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
@@ -100,14 +101,6 @@ def shortened(edges: DataFrame) -> DataFrame:
         linked = [(root, n) for n in parent if (root := find(n)) != n]
         return pa.RecordBatch.from_arrays([pa.array([shown(x[i]) for x in linked], arrow[i].type) for i in (0, 1)], schema=arrow)
 
-    def number_stars(held: list[pa.RecordBatch]):
-        a, b = (np.concatenate([batch.column(i).to_numpy() for batch in held]) for i in (0, 1))
-        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = sequential_components(len(nodes), place[: len(a)], place[len(a) :])
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        for some in np.array_split(linked, len(linked) // 100_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[root[some]]), pa.array(nodes[some])], schema=arrow)
-
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
@@ -118,19 +111,48 @@ def shortened(edges: DataFrame) -> DataFrame:
                     held = []
         yield stars(held)
 
-    def run_numbers(batches):
-        held, rows = [], 0
+    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+
+
+def starred(edges: DataFrame) -> DataFrame:
+    """(a, b, top, chunk) for edges (a, b) of numbers: each task replaces every ``HELD_NUMBERS`` of its edges, a chunk, by
+    stars around the least nodes that these edges alone connect; the least nodes are rows of their own (a = b).  ``top`` is
+    the star's greatest node."""
+    arrow = pa.schema([(c, pa.int64()) for c in ("a", "b", "top", "chunk")])
+
+    def stars(held: list[pa.RecordBatch], chunk: int):
+        a, b = (np.concatenate([batch.column(i).to_numpy() for batch in held]) for i in (0, 1))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = sequential_components(len(nodes), place[: len(a)], place[len(a) :])
+        top = np.zeros(len(nodes), np.int64)
+        np.maximum.at(top, root, np.arange(len(nodes)))
+        for some in np.array_split(np.arange(len(nodes)), len(nodes) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[root[some]], nodes[some], nodes[top[root[some]]], np.full(len(some), chunk))], schema=arrow)
+
+    def run(batches):
+        held, rows, chunk = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
             if rows >= HELD_NUMBERS:
-                yield from number_stars(held)
-                held, rows = [], 0
+                yield from stars(held, chunk)
+                held, rows, chunk = [], 0, chunk + 1
         if rows:
-            yield from number_stars(held)
+            yield from stars(held, chunk)
 
-    numbers = arrow[0].type == arrow[1].type == pa.int64()
-    return edges.select("a", "b").mapInArrow(run_numbers if numbers else run, edges.select("a", "b").schema)
+    return edges.select("a", "b").mapInArrow(run, "a long, b long, top long, chunk long")
+
+
+def alone(chunks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(chunk, first, last): the longest run of numbers that lies within this chunk's (chunk, low, high) and no other's."""
+    ends = sorted([(low, True, c) for c, low, _ in chunks] + [(high + 1, False, c) for c, _, high in chunks])
+    best, open_now = {}, set()
+    for (at, opens, c), (until, _, _) in zip(ends, ends[1:]):
+        (open_now.add if opens else open_now.remove)(c)
+        if len(open_now) == 1 and until > at:
+            (only,) = open_now
+            best[only] = max(best.get(only, (0, 0, 0)), (until - at, at, until - 1))
+    return [(c, first, last) for c, (_, first, last) in best.items()]
 
 
 def packing(edges: DataFrame, names: list[str]) -> tuple[int, list[tuple[str, int, int]] | None]:
@@ -165,7 +187,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two contractions (large star, small star), so rounds grow with the logarithm of the longest chain.  Nodes
     that are structs of integers become single numbers where their ranges allow it: those are hashed instead of sorted.
-    Edges are dealt by ranges first, so that what lies close together is contracted within a task.
+    Edges are dealt by ranges first, so that what lies close together is contracted within a task; what is complete there
+    takes no part in the rounds.
     The least neighbours are a table of their own, so that the join with them may be split where a node has very many
     edges."""
     kind = edges.schema["a"].dataType
@@ -180,10 +203,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if fields:
         raw = raw.select(packed("a", fields).alias("a"), packed("b", fields).alias("b"))
     tasks = max(raw.sparkSession.sparkContext.defaultParallelism, -(-rows // HELD_NUMBERS))
-    roots = _contracted(reliable(shortened(raw.repartitionByRange(tasks, "a", "b"))), rounds)
+    stars = reliable(starred(raw.repartitionByRange(tasks, "a", "b").sortWithinPartitions("a", "b")))
+    roots = _closed_apart(stars, rounds)
     return roots.select(unpacked("node", fields).alias("node"), unpacked("root", fields).alias("root")) if fields else roots
 
 
+def _closed_apart(stars: DataFrame, rounds: int) -> DataFrame:
+    """(node, root) from ``starred``: a star between numbers that no other chunk reaches is a whole component.  Only the
+    others are contracted."""
+    chunks = [tuple(r) for r in stars.groupBy("chunk").agg(F.min("a"), F.max("top")).collect()]  # a row for HELD_NUMBERS edges
+    marked = stars.withColumn("closed", F.lit(False))
+    if own := alone(chunks):
+        reach = stars.sparkSession.createDataFrame(own, "chunk long, first long, last long")
+        marked = stars.join(F.broadcast(reach), "chunk", "left").withColumn("closed", F.coalesce(F.expr("a >= first AND top <= last"), F.lit(False)))
+    closed = marked.where("closed")
+    if not own or closed.isEmpty():
+        return _contracted(stars.where("a <> b").select("a", "b"), rounds)
+    rest = _contracted(reliable(marked.where("NOT closed AND a <> b").select("a", "b")), rounds)
+    return closed.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(rest)
+
+
 def _contracted(now: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         rows = 2 * now.count()
